@@ -93,7 +93,8 @@ def release_season(season: Column, aired: Column) -> Column:
     """The listed season when it is a known one, else the quarter the title started in."""
     known = F.lower(clean_text(season))
     quarter = F.ceil(air_month(aired) / 3).cast("int")
-    by_month = F.element_at(F.array(*[F.lit(s) for s in SEASONS]), quarter)
+    # get(), because element_at() takes a null position of a constant array as the last one.
+    by_month = F.get(F.array(*[F.lit(s) for s in SEASONS]), quarter - 1)
     return F.when(known.isin(*SEASONS), known).otherwise(by_month)
 
 
