@@ -219,7 +219,7 @@ def page_folder(spark, folder: str) -> str:  # noqa: ANN001
             + f", 'producers', {none}, 'licensors', {named(('CAST(NULL AS BIGINT)', chr(39) + 'Horgos' + chr(39)))}) AS item",
         )
         last = t.agg(F.max("page")).first()[0]
-        items = t.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("id", "item"))).alias("i"))
+        items = t.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("id", "item"))).alias("i"))
         landed = items.where(F.col("page") % 41 != 7).select(
             F.lit("top").alias("endpoint"),
             "page",

@@ -61,7 +61,7 @@ def group_medians(cells: DataFrame, *keys: str) -> DataFrame:
     sizes = ranked.groupBy(*keys).agg(
         F.sum("n").alias("n"),
         F.percentile("score", 0.5, F.col("n")).alias("median"),
-        F.array_sort(F.collect_list(F.struct("upto", "score"))).alias("steps"),
+        F.sort_array(F.collect_list(F.struct("upto", "score"))).alias("steps"),
     )
     ranks = sizes.withColumn("ranks", interval_ranks("n"))
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from titleworks.functions.cells import trim_all
-
 MAX_TERMS = 30_000
 MIN_TITLES = 2
 # Common English words (a parameter; pass another list for other texts).
@@ -32,22 +30,32 @@ def is_placeholder(synopsis: Column) -> Column:
 
 def usable_text(synopsis: Column) -> Column:
     """The text, or null when it is missing, blank or the stock sentence."""
-    return F.when((trim_all(synopsis) != "") & ~is_placeholder(synopsis), synopsis)
+    return F.when(synopsis.rlike(r"(?U)[^\s\x1c-\x1f]") & ~is_placeholder(synopsis), synopsis)
 
 
-def term_list(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
-    """Words without stop words, then pairs of neighbouring words, with repeats."""
+def word_list(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
+    """Lower-case words of two letters or more, without stop words."""
     found = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    words = F.filter(found, lambda w: ~w.isin(*stop_words))
+    return F.filter(found, lambda w: ~w.isin(*stop_words))
+
+
+def with_pairs(words: Column) -> Column:
+    """The words, then all pairs of neighbouring words."""
     n = F.size(words) - 1
     pairs = F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
     return F.when(n > 0, F.concat(words, pairs)).otherwise(words)
 
 
 def term_counts(titles: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """(mal_id, term, tf). A title's terms start in one task, so the shuffle carries each once."""
-    terms = F.explode(term_list(usable_text(F.col("synopsis")), stop_words))
-    return titles.select("mal_id", terms.alias("term")).groupBy("mal_id", "term").agg(F.count("*").alias("tf"))
+    """(mal_id, term, tf).
+
+    The texts are shuffled by id first: they are smaller than their terms, and the count per
+    (id, term) then needs no shuffle of its own. The word list is a column of its own because
+    an expression that is used several times would be computed as often.
+    """
+    texts = titles.select("mal_id", usable_text(F.col("synopsis")).alias("text")).where("text is not null")
+    words = texts.repartition("mal_id").select("mal_id", word_list(F.col("text"), stop_words).alias("words"))
+    return words.select("mal_id", F.explode(with_pairs(F.col("words"))).alias("term")).groupBy("mal_id", "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, n_titles: int, max_terms: int = MAX_TERMS, min_titles: int = MIN_TITLES) -> DataFrame:
@@ -71,14 +79,15 @@ def text_vectors(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     A title has at most max_terms entries, so packing them keeps a row bounded. The vocabulary
     is broadcast: it has at most max_terms rows.
     """
-    entry = F.struct("term_id", (F.col("tf") * F.col("idf")).alias("w"))
-    packed = (
-        counts.join(F.broadcast(vocab.select("term", "term_id", "idf")), "term")
-        .groupBy("mal_id")
-        .agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    weighted = counts.join(F.broadcast(vocab.select("term", "term_id", "idf")), "term").select(
+        "mal_id", "term_id", (F.col("tf") * F.col("idf")).alias("w")
+    )
+    # The length is an aggregate too: as an expression of the packed list it would be computed
+    # again for every element.
+    packed = weighted.groupBy("mal_id").agg(
+        F.sort_array(F.collect_list(F.struct("term_id", "w"))).alias("e"),
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
     )
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    packed = packed.withColumn("norm", norm)
     return packed.select(
         "mal_id",
         F.col("e.term_id").alias("term_ids"),
@@ -92,7 +101,7 @@ def unpack_text(vectors: DataFrame) -> DataFrame:
 
 def tag_sets(links: DataFrame) -> DataFrame:
     """(mal_id, tags): each title's distinct tags, sorted. Every tag weighs 1 / sqrt(how many)."""
-    return links.groupBy("mal_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    return links.groupBy("mal_id").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
 
 
 def tag_vectors(sets: DataFrame) -> DataFrame:

@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TEXT_WEIGHT, TAG_WEIGHT = 0.7, 0.3
-QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096
+QUERY_BLOCK, CANDIDATE_BLOCK = 320, 16_384
 # Equal pairs must compare equal whatever block they are in, so sums are rounded below this.
 DIGITS = 9
 BANDS = 128
-_TERMS_AT_ONCE = 4096
+_IDS_AT_ONCE, _PAIRS_AT_ONCE = 2048, 4_000_000
+# Share of all pairs from which an id's pairs are cheaper in a dense product.
+_DENSE_FROM = 0.004
 
 PROFILE = ["mal_id", "term_ids", "weights", "tags", "first_word", "two_words", "key_size", "slot"]
 PICK = (
@@ -38,26 +40,58 @@ PICK = (
 )
 
 
-def _dense(blocks: list[np.ndarray], ids: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
-    """Rows of weights over the wanted (sorted) ids."""
-    m = np.zeros((len(blocks), len(wanted)))
-    if len(wanted) == 0:
-        return m
-    row = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-    flat = np.concatenate(ids) if ids else np.empty(0, "int64")
-    at = np.minimum(np.searchsorted(wanted, flat), len(wanted) - 1)
-    hit = wanted[at] == flat
-    m[row[hit], at[hit]] = np.concatenate(blocks)[hit]
-    return m
+def _entries(ids: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+    return rows, np.concatenate(ids), np.concatenate(weights)
 
 
 def _products(q_ids: list, q_w: list, c_ids: list, c_w: list) -> np.ndarray:
-    """Dot products of sparse rows, a slice of the shared ids at a time."""
-    total = np.zeros((len(q_ids), len(c_ids)))
-    shared = np.intersect1d(np.concatenate(q_ids), np.concatenate(c_ids))
-    for start in range(0, len(shared), _TERMS_AT_ONCE):
-        part = shared[start : start + _TERMS_AT_ONCE]
-        total += _dense(q_w, q_ids, part) @ _dense(c_w, c_ids, part).T
+    """Dot products of all sparse query rows with all sparse candidate rows.
+
+    Ids that many rows of both blocks have go through a dense product; each of the others adds
+    its few pairs one by one. Both work on slices, so memory stays bounded.
+    """
+    shape = (len(q_ids), len(c_ids))
+    total = np.zeros(shape)
+    q_row, q_id, q_val = _entries(q_ids, q_w)
+    c_row, c_id, c_val = _entries(c_ids, c_w)
+    shared = np.intersect1d(q_id, c_id)
+    if not len(shared):
+        return total
+
+    def known(row: np.ndarray, ids: np.ndarray, val: np.ndarray) -> tuple[np.ndarray, ...]:
+        at = np.minimum(np.searchsorted(shared, ids), len(shared) - 1)
+        hit = np.flatnonzero(shared[at] == ids)
+        hit = hit[np.argsort(at[hit], kind="stable")]
+        return row[hit], at[hit], val[hit]
+
+    q_row, q_at, q_val = known(q_row, q_id, q_val)
+    c_row, c_at, c_val = known(c_row, c_id, c_val)
+    q_n, c_n = (np.bincount(at, minlength=len(shared)) for at in (q_at, c_at))
+    q_end, c_end = np.cumsum(q_n), np.cumsum(c_n)
+    frequent = np.flatnonzero(q_n.astype("f8") * c_n > _DENSE_FROM * shape[0] * shape[1])
+
+    for start in range(0, len(frequent), _IDS_AT_ONCE):
+        part = frequent[start : start + _IDS_AT_ONCE]
+        q_part, c_part = np.zeros((shape[0], len(part))), np.zeros((shape[1], len(part)))
+        for m, row, at, val in ((q_part, q_row, q_at, q_val), (c_part, c_row, c_at, c_val)):
+            column = np.minimum(np.searchsorted(part, at), len(part) - 1)
+            inside = part[column] == at
+            m[row[inside], column[inside]] = val[inside]
+        total += q_part @ c_part.T
+
+    rare = np.flatnonzero(~np.isin(q_at, frequent))
+    pairs = np.cumsum(c_n[q_at[rare]])
+    cuts = np.searchsorted(pairs, np.arange(_PAIRS_AT_ONCE, pairs[-1] if len(pairs) else 0, _PAIRS_AT_ONCE))
+    for part in np.split(rare, np.unique(cuts)):
+        n = c_n[q_at[part]]
+        if not n.sum():
+            continue
+        which = np.repeat(np.arange(len(part)), n)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        other = (c_end - c_n)[q_at[part]][which] + step
+        cell = q_row[part][which] * shape[1] + c_row[other]
+        total += np.bincount(cell, q_val[part][which] * c_val[other], total.size).reshape(shape)
     return np.round(total, DIGITS)
 
 
@@ -144,23 +178,27 @@ def _over_tiles(
 ) -> DataFrame:
     """Bring every query block and every candidate block together, one task group per tile."""
     n_q, n_c = blocks
-    keys = ["query_block", "candidate_block"]
 
     def every(n: int):  # noqa: ANN202
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    q = queries.select("*", F.pmod(F.xxhash64("mal_id"), F.lit(n_q)).cast("int").alias(keys[0]), every(n_c).alias(keys[1]))
-    c = candidates.select("*", F.pmod(F.xxhash64("mal_id"), F.lit(n_c)).cast("int").alias(keys[1]), every(n_q).alias(keys[0]))
+    block = lambda n: F.pmod(F.xxhash64("mal_id"), F.lit(n)).cast("int")
+    q = queries.select("*", block(n_q).alias("q_block"), every(n_c).alias("c_block"))
+    # Candidates are some of the queries' rows, so their columns need names of their own.
+    own = [F.col(name).alias(f"own_{name}") for name in candidates.columns]
+    c = candidates.select(*own, every(n_q).alias("own_q_block"), block(n_c).alias("own_c_block"))
     # Few bytes but much arithmetic per tile: a fixed count keeps tiles from being merged.
     tasks = min(4 * n_q * n_c, 20_000)
 
     def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return work(left, right) if len(left) and len(right) else _empty(schema)
+        if not len(left) or not len(right):
+            return _empty(schema)
+        return work(left, right.rename(columns=lambda name: name.removeprefix("own_")))
 
     return (
-        q.repartition(tasks, *keys)
-        .groupBy(*keys)
-        .cogroup(c.repartition(tasks, *keys).groupBy(*keys))
+        q.repartition(tasks, "q_block", "c_block")
+        .groupBy("q_block", "c_block")
+        .cogroup(c.repartition(tasks, "own_q_block", "own_c_block").groupBy("own_q_block", "own_c_block"))
         .applyInPandas(tile, schema)
     )
 
@@ -234,7 +272,7 @@ def _count_bands(queries: DataFrame, candidates: DataFrame, blocks: tuple[int, i
     highest = F.when(F.col("single"), middle).otherwise(F.col("before") + F.col("n"))
     share = lambda rank: F.when(F.col("flat"), 0.0).otherwise((rank - 1) / F.greatest(F.col("total") - 1, F.lit(1)))
     entry = F.struct("at", share(lowest).alias("low"), share(highest).alias("high"))
-    packed = lambda space: F.array_sort(F.collect_list(F.when(F.col("space") == space, entry)))
+    packed = lambda space: F.sort_array(F.collect_list(F.when(F.col("space") == space, entry)))
     return ranked.groupBy("mal_id").agg(
         packed("text").alias("text_bands"),
         packed("tag").alias("tag_bands"),

@@ -54,7 +54,7 @@ def picks_table(catalog: DataFrame, recs: DataFrame) -> DataFrame:
         .select(
             "anime_id", "rank", "similar_id", label.alias("label"),
             F.round(F.col("similarity").cast("double"), 4).alias("match_score"),
-            F.array_sort(F.array_intersect("own", "genres")).alias("shared"), "score",
+            F.sort_array(F.array_intersect("own", "genres")).alias("shared"), "score",
         )
     )
 

@@ -60,14 +60,14 @@ def catalog(titles: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
         tables["title_tags"]
         .join(tables["tags"].select("genre_id", "name"), "genre_id")
         .groupBy(F.col("anime_id").alias("mal_id"))
-        .agg(F.array_sort(F.collect_list("name")).alias("genres"))
+        .agg(F.sort_array(F.collect_list("name")).alias("genres"))
     )
     studios = (
         tables["title_companies"]
         .where("role = 'studio'")
         .join(tables["companies"].select("company_id", "name"), "company_id")
         .groupBy(F.col("anime_id").alias("mal_id"))
-        .agg(F.array_sort(F.collect_list("name")).alias("studios"))
+        .agg(F.sort_array(F.collect_list("name")).alias("studios"))
     )
     none = F.array().cast("array<string>")
     return (

@@ -154,10 +154,10 @@ def metadata(state: dict[str, DataFrame]) -> DataFrame:
         F.count_if(in_population()).alias("analysis_population"),
     )
     sources = titles.groupBy("data_source").agg(F.count("*").alias("n")).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("data_source", "n")))).alias("data_source_counts")
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("data_source", "n")))).alias("data_source_counts")
     )
     rows = G.table_counts(state).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("table_name", "rows")))).alias("row_counts")
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("table_name", "rows")))).alias("row_counts")
     )
     one = lambda df: df.withColumn("_one", F.lit(1))
     joined = one(facts).join(one(sources), "_one").join(one(rows), "_one").drop("_one")

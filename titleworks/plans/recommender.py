@@ -201,7 +201,7 @@ def spot_checks(picks: DataFrame, titles: DataFrame, ids: list[int], top: int =
         picks.where(F.col("anime_id").isin(*ids) & (F.col("rank") <= top))
         .join(names.select(F.col("mal_id").alias("similar_id"), F.col("title").alias("pick")), "similar_id")
         .groupBy(F.col("anime_id").alias("mal_id"))
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "pick"))).alias("p"))
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "pick"))).alias("p"))
     )
     none = F.array().cast("array<string>")
     return asked.join(best, "mal_id", "left").select("mal_id", "title", F.coalesce("p.pick", none).alias("picks"))
