@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from titleworks.session import settle
+
 TEXT_WEIGHT, TAG_WEIGHT = 0.7, 0.3
 QUERY_BLOCK, CANDIDATE_BLOCK = 320, 16_384
 # Equal pairs must compare equal whatever block they are in, so sums are rounded below this.
@@ -242,14 +244,26 @@ def _count_bands(queries: DataFrame, candidates: DataFrame, blocks: tuple[int, i
     """Per query: sorted bands of text cosines, and the (few) distinct tag cosines, with counts."""
     schema = "mal_id bigint, space string, at double, n bigint, low double, high double"
 
+    def groups(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Key, count, lowest and highest value of equal keys; keys grow with the values."""
+        order = np.argsort(values, kind="stable")
+        values, at = values[order], at[order]
+        start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, "int64")
+        n = np.diff(np.r_[start, len(at)])
+        return at[start], n, values[start], values[start + n - 1]
+
     def work(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        t, found = Tile(q, c, skip), []
-        bands = _band(t.text)
-        for i, keep in enumerate(t.allowed):
-            for space, at, values in (("text", bands[i, keep], t.text[i, keep]), ("tag", t.tag[i, keep], t.tag[i, keep])):
-                part = pd.DataFrame({"at": at, "v": values}).groupby("at", as_index=False).agg(n=("v", "size"), low=("v", "min"), high=("v", "max"))
-                found.append(part.assign(mal_id=t.query_ids[i], space=space))
-        return pd.concat(found, ignore_index=True)[["mal_id", "space", "at", "n", "low", "high"]]
+        t, columns, owners, spaces = Tile(q, c, skip), [], [], []
+        for space, keys, values in (("text", _band(t.text), t.text), ("tag", t.tag, t.tag)):
+            for i, keep in enumerate(t.allowed):
+                columns.append(groups(values[i, keep], keys[i, keep]))
+                owners.append(t.query_ids[i])
+                spaces.append(space)
+        sizes = [len(c[0]) for c in columns]
+        at, n, low, high = (np.concatenate(c) for c in zip(*columns, strict=True))
+        return pd.DataFrame(
+            {"mal_id": np.repeat(owners, sizes), "space": np.repeat(spaces, sizes), "at": at, "n": n, "low": low, "high": high}
+        )
 
     counts = (
         _over_tiles(queries, candidates, blocks, work, schema)
@@ -282,23 +296,20 @@ def _count_bands(queries: DataFrame, candidates: DataFrame, blocks: tuple[int, i
 
 
 def _shares(bands: list, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.array([b["at"] for b in bands])
+    """Lowest and highest percentile for each key, from a query's (key, low, high) rows."""
+    keys, low, high = np.array([(b["at"], b["low"], b["high"]) for b in bands]).T
     found = np.searchsorted(keys, at)
-    return np.array([b["low"] for b in bands])[found], np.array([b["high"] for b in bands])[found]
+    return low[found], high[found]
 
 
 def _many_blocks(queries: DataFrame, candidates: DataFrame, blocks: tuple[int, int], pool: int, skip: bool) -> DataFrame:
-    from titleworks.session import settle
-
     bands = settle(_count_bands(queries, candidates, blocks, skip), "bands")
 
     def pick(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        t, kept = Tile(q, c, skip), []
-        usable, band = t.pickable(), _band(t.text)
+        t = Tile(q, c, skip)
+        usable, band, kept = t.pickable(), _band(t.text), []
         for i, keep in enumerate(usable):
             at = np.flatnonzero(keep)
-            if not len(at):
-                continue
             low, high = _shares(q.text_bands.iloc[i], band[i, at])
             tag, _ = _shares(q.tag_bands.iloc[i], t.tag[i, at])
             both = t.both_text[i, at]
@@ -306,9 +317,9 @@ def _many_blocks(queries: DataFrame, candidates: DataFrame, blocks: tuple[int, i
             # The pool's lower end in this block is at most the one over all blocks.
             sure = np.partition(low, len(low) - pool)[len(low) - pool] if len(low) > pool else -np.inf
             stay = high >= sure - 1e-6
-            part = t.picks(np.full(stay.sum(), i), at[stay])
-            kept.append(part.assign(tag_part=tag[stay], low=low[stay], high=high[stay]))
-        return pd.concat(kept, ignore_index=True) if kept else _empty(found_schema)
+            kept.append((np.full(stay.sum(), i), at[stay], tag[stay], low[stay], high[stay]))
+        rows, cols, tag, low, high = (np.concatenate(k) for k in zip(*kept, strict=True))
+        return t.picks(rows, cols).assign(tag_part=tag, low=low, high=high)
 
     found_schema = PICK + ", tag_part double, low double, high double"
     known = queries.join(bands.select("mal_id", "text_bands", "tag_bands"), "mal_id")
@@ -320,12 +331,15 @@ def _many_blocks(queries: DataFrame, candidates: DataFrame, blocks: tuple[int, i
 
     def count_below(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         t, counts = Tile(q, c, skip), []
-        for i, keep in enumerate(t.allowed):
-            values, scores = np.asarray(q["values"].iloc[i], "f8"), np.sort(t.text[i, keep])
-            below = np.searchsorted(scores, values, "left")
-            equal = np.searchsorted(scores, values, "right") - below
-            counts.append(pd.DataFrame({"anime_id": t.query_ids[i], "text_cosine": values, "below": below, "equal": equal}))
-        return pd.concat(counts, ignore_index=True)
+        wanted = _lists(q["values"], "f8")
+        for i, values in enumerate(wanted):
+            scores = np.sort(t.text[i, t.allowed[i]])
+            counts.append([np.searchsorted(scores, values, side) for side in ("left", "right")])
+        below, upto = (np.concatenate(c) for c in zip(*counts, strict=True))
+        owners = np.repeat(t.query_ids, [len(v) for v in wanted])
+        return pd.DataFrame(
+            {"anime_id": owners, "text_cosine": np.concatenate(wanted), "below": below, "equal": upto - below}
+        )
 
     asked = found.groupBy(F.col("anime_id").alias("mal_id")).agg(F.collect_set("text_cosine").alias("values"))
     exact = _over_tiles(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -24,27 +23,30 @@ def local_session(app: str = "titleworks", cores: str = "*", memory: str = "8g")
     return builder.getOrCreate()
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, named by spark.checkpoint.dir.
 
     Only a local session may fall back to a folder of its own: on a cluster a machine-local
     folder would be lost with its executor, so a missing setting is an error there.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = os.path.join(tempfile.mkdtemp(prefix="titleworks-"), "shared")
-        spark.conf.set("spark.checkpoint.dir", folder)
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="titleworks-")
+    return _local_folders[context.applicationId]
 
 
 def working_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, together with the others of this application."""
+    root = f"{shared_folder(spark).rstrip('/')}/titleworks-{spark.sparkContext.applicationId}"
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, name: str = "settled") -> DataFrame:
