@@ -488,7 +488,7 @@ def _refreshed(spark, folder: str) -> DataFrame:  # noqa: ANN001
     store = Store(spark, working_path(spark, "refreshed"))
     reference = settle(tag_rows(spark, folder), "tags")
     run(store, reference, snapshot_file(spark, folder))
-    pages = landed_pages(spark, f"{page_folder(spark, folder)}/endpoint=top", files_per_trigger=100)
+    pages = landed_pages(spark, f"{page_folder(spark, folder)}/endpoint=top")
     refresh(pages, store, reference, working_path(spark, "stream")).awaitTermination()
     return scalars(store.current()["titles"])
 

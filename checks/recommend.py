@@ -131,7 +131,11 @@ check(
     lambda s, d: R.series_sizes(profiles(s, d)),
     f"{DOCS} SELECT q.mal_id, count(c.mal_id) AS hidden FROM p q LEFT JOIN p c ON c.eligible AND c.mal_id <> q.mal_id AND {SERIES} GROUP BY q.mal_id",
 )
-check("rec_topk", lambda s, d: listed(R.top_k(profiles(s, d))), f"{blend_sql(True)} SELECT {LISTED} FROM picks")
+check(
+    "rec_topk",
+    lambda s, d: listed(R.top_k(R.profiles(X.docs(s, d), X.doc_links(s, d)))),
+    f"{blend_sql(True)} SELECT {LISTED} FROM picks",
+)
 check(
     "rec_topk_no_franchise",
     lambda s, d: listed(R.top_k(profiles(s, d), skip_series=False)),
@@ -139,7 +143,8 @@ check(
 )
 check(
     "rec_topk_blocks",
-    lambda s, d: listed(R.top_k(profiles(s, d), query_block=200, candidate_block=100)),
+    # Three candidate blocks, whatever the size.
+    lambda s, d: listed(R.top_k(profiles(s, d), candidate_block=profiles(s, d).where("eligible").count() // 3 + 1)),
     f"{blend_sql(True)} SELECT {LISTED} FROM picks",
 )
 check(

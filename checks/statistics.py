@@ -10,6 +10,7 @@ from checks.catalog import BASE, FACTORS_SQL, QUESTION_TAGS_SQL, factors, popula
 from checks.cleaning import _funnel
 from checks.registry import check, once
 from titleworks.operators import rank_tests as R
+from titleworks.operators.merge import table_counts
 from titleworks.operators.ranks import average_ranks
 from titleworks.operators.regression import design, level_counts, nonzero_entries, reference_levels
 from titleworks.plans import analysis as A
@@ -227,13 +228,7 @@ check(
       CASE WHEN effect_size < 0.01 THEN 'negligible' WHEN effect_size < 0.06 THEN 'small' WHEN effect_size < 0.14 THEN 'medium' ELSE 'large' END AS effect_label
     FROM found""",
 )
-check("analysis_all", lambda s, d: _counts(analysis(s, d).tables))
-
-
-def _counts(tables: dict[str, DataFrame]) -> DataFrame:
-    from titleworks.operators.merge import table_counts
-
-    return table_counts(tables)
+check("analysis_all", lambda s, d: table_counts(A.analyze(X.titles(s, d), X.tables(s, d)).tables))
 
 
 # -- report tables: checked on what the statistics above gave ------------------------------------

@@ -15,32 +15,32 @@ UNIT_SECONDS = {"hr": 3600, "min": 60, "sec": 1}
 SEASONS = ("winter", "spring", "summer", "fall")
 COMPANY_SUFFIXES = ("Inc.", "Inc", "Ltd.", "Ltd", "LLC", "LLC.")
 
-# Unicode-aware white space, plus the separators U+001C..U+001F.
-_SPACE = r"[\s\x1c-\x1f]"
-_EDGES = rf"(?U)^{_SPACE}+|{_SPACE}+$"
+# Every character that counts as white space in a text cell.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_COMMA = f"[{WHITE_SPACE}]*,[{WHITE_SPACE}]*"
+_BETWEEN = "\x01"
 _DURATION = r"(?U)([0-9]+)\s*(hr|min|sec)"
 # ISO 8601 date, extended or basic, with an optional clock time and offset.
 _HOUR, _SIXTY = r"(?:[01]\d|2[0-3])", r"[0-5]\d"
 _CLOCK = rf"{_HOUR}(?::?{_SIXTY}(?::?{_SIXTY}(?:[.,]\d+)?)?)?"
 _OFFSET = rf"(?:Z|[+-]{_HOUR}(?::?{_SIXTY}(?::?{_SIXTY}(?:[.,]\d+)?)?)?)?"
-_ISO = rf"^(\d{{4}})(-?)(\d{{2}})\2(\d{{2}})(?:.{_CLOCK}{_OFFSET})?$"
+# The whole text is replaced, so a text that is no date leaves "--", which is no date either.
+_ISO = rf"(?s)^(?:(\d{{4}})(-?)(\d{{2}})\2(\d{{2}})(?:.{_CLOCK}{_OFFSET})?|.*)$"
 
 
 def trim_all(cell: Column) -> Column:
     """Strip every kind of white space from both ends."""
-    return F.regexp_replace(cell, _EDGES, "")
+    return F.trim(cell, F.lit(WHITE_SPACE))
 
 
 def clean_text(cell: Column) -> Column:
     """The trimmed text, or null for an empty cell."""
-    trimmed = trim_all(cell.cast("string"))
-    return F.when(trimmed != "", trimmed)
+    return F.nullif(trim_all(cell.cast("string")), F.lit(""))
 
 
 def clean_float(cell: Column) -> Column:
     """A number, or null for an empty, unreadable or not-a-number cell."""
-    number = clean_text(cell).try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return F.nanvl(clean_text(cell).try_cast("double"), F.lit(None).cast("double"))
 
 
 def clean_int(cell: Column) -> Column:
@@ -65,24 +65,19 @@ def duration_minutes(cell: Column) -> Column:
     per_unit = F.create_map(*[F.lit(x) for pair in UNIT_SECONDS.items() for x in pair])
     parts = F.zip_with(amounts, units, lambda n, u: n.try_cast("bigint") * per_unit[u])
     seconds = F.aggregate(parts, F.lit(0).cast("bigint"), lambda total, part: total + part)
-    minutes = F.greatest(F.lit(1).cast("bigint"), F.bround(seconds / F.lit(60)).cast("bigint"))
-    return F.when(seconds > 0, minutes)
+    one = F.lit(1).cast("bigint")
+    # A one-element list names the sum, which is used twice but should be computed once.
+    minutes = lambda s: F.when(s > 0, F.greatest(one, F.bround(s / F.lit(60)).cast("bigint")))
+    return F.transform(F.array(seconds), minutes)[0]
 
 
-def _iso_part(cell: Column, group: int) -> Column:
-    text = clean_text(cell)
-    date = F.concat_ws("-", *[F.regexp_extract(text, _ISO, g) for g in (1, 3, 4)])
-    part = F.regexp_extract(text, _ISO, group)
-    return F.when(F.try_to_date(date, "yyyy-MM-dd").isNotNull(), part.try_cast("bigint"))
+def air_date(cell: Column) -> Column:
+    """The day written in an ISO date text, as local to that text (no time zone shift)."""
+    return F.regexp_replace(clean_text(cell), _ISO, "$1-$3-$4").try_cast("date")
 
 
 def air_year(cell: Column) -> Column:
-    """The year written in an ISO date text, as local to that text (no time zone shift)."""
-    return _iso_part(cell, 1)
-
-
-def air_month(cell: Column) -> Column:
-    return _iso_part(cell, 3)
+    return F.year(air_date(cell)).cast("bigint")
 
 
 def release_year(year: Column, aired: Column) -> Column:
@@ -92,30 +87,25 @@ def release_year(year: Column, aired: Column) -> Column:
 def release_season(season: Column, aired: Column) -> Column:
     """The listed season when it is a known one, else the quarter the title started in."""
     known = F.lower(clean_text(season))
-    quarter = F.ceil(air_month(aired) / 3).cast("int")
     # get(), because element_at() takes a null position of a constant array as the last one.
-    by_month = F.get(F.array(*[F.lit(s) for s in SEASONS]), quarter - 1)
+    by_month = F.get(F.array(*[F.lit(s) for s in SEASONS]), F.quarter(air_date(aired)) - 1)
     return F.when(known.isin(*SEASONS), known).otherwise(by_month)
 
 
 def split_list(cell: Column) -> Column:
     """Comma-separated names as an array; empty and "Unknown" cells give an empty array."""
     text = clean_text(cell)
-    pieces = F.filter(F.transform(F.split(text, ","), trim_all), lambda piece: piece != "")
+    pieces = F.array_remove(F.split(text, _COMMA), "")
     no_names = F.array().cast("array<string>")
     return F.when(text.isNull() | (F.lower(text) == "unknown"), no_names).otherwise(pieces)
 
 
 def split_companies(cell: Column) -> Column:
     """Like split_list, but a piece that is only a legal suffix joins the name before it."""
-
-    def add(names: Column, piece: Column) -> Column:
-        joined = F.concat_ws(", ", F.element_at(names, -1), piece)
-        longer = F.concat(F.slice(names, F.lit(1), F.size(names) - 1), F.array(joined))
-        glue = piece.isin(*COMPANY_SUFFIXES) & (F.size(names) > 0)
-        return F.when(glue, longer).otherwise(F.concat(names, F.array(piece)))
-
-    return F.aggregate(split_list(cell), F.array().cast("array<string>"), add)
+    suffixes = "|".join(s.replace(".", r"\.") for s in sorted(COMPANY_SUFFIXES, reverse=True))
+    joined = F.array_join(split_list(cell), _BETWEEN)
+    glued = F.regexp_replace(joined, f"{_BETWEEN}({suffixes})(?={_BETWEEN}|$)", ", $1")
+    return F.array_remove(F.split(glued, _BETWEEN), "")
 
 
 def is_excluded(rating: Column) -> Column:

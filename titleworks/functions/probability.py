@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 _TINY, _STEPS = 1e-300, 10_000
 # Beyond this many rows the normal limit is closer than the continued fraction's own error.
-_NORMAL_FROM = 100_000
+_NORMAL_FROM = 20_000
 
 
 def _fraction(step, start: float) -> float:  # noqa: ANN001
@@ -85,16 +85,19 @@ def median_rank(n: int, middle: int, share: float) -> int:
     A resample's `middle`-th value is at most the k-th value of the data when at least `middle`
     of its n draws fall in the first k, so its distribution is binomial: no draws are needed.
     """
+    z = -1.959963984540054 if share < 0.5 else 1.959963984540054
+    guess = min(max(math.ceil(middle + z * math.sqrt(n) / 2.0), 1), n)
     if n > _NORMAL_FROM:
-        z = -1.959963984540054 if share < 0.5 else 1.959963984540054
-        return min(max(math.ceil(middle + z * math.sqrt(n) / 2.0), 1), n)
-    low, high = 1, n
+        return guess
+    reaches = lambda k: beta_cdf(k / n, middle, n - middle + 1) >= share
+    low, high = max(1, guess - 8), min(n, guess + 8)
+    while low > 1 and reaches(low - 1):
+        low = max(1, low - 32)
+    while high < n and not reaches(high):
+        high = min(n, high + 32)
     while low < high:
         k = (low + high) // 2
-        if beta_cdf(k / n, middle, n - middle + 1) >= share:
-            high = k
-        else:
-            low = k + 1
+        low, high = (low, k) if reaches(k) else (k + 1, high)
     return low
 
 
