@@ -177,7 +177,7 @@ check(
 check(
     "prepare_counts",
     lambda s, d: N.prepare_counts(records(s, d)),
-    f"""WITH {RECORDS_SQL} SELECT 'kaggle' AS data_source, (SELECT count(*) FROM records) AS raw_rows,
+    f"""WITH {RECORDS_SQL} SELECT (SELECT count(*) FROM records) AS raw_rows,
     (SELECT count(*) FROM records) - (SELECT count(*) FROM kept) AS rx_dropped,
     (SELECT count(*) FROM kept) - (SELECT count(*) FROM prepared) AS duplicates_dropped, (SELECT count(*) FROM prepared) AS kept""",
 )

@@ -13,7 +13,8 @@ COMPANY = "struct<name: string, role: string, mal_id: bigint>"
 
 def _record(df: DataFrame, tags: Column, companies: Column, source: str, *extra: str) -> DataFrame:
     text = lambda name: C.clean_text(F.col(name)).alias(name)
-    whole = lambda name: C.clean_int(F.col(name)).alias(name)
+    types = dict(df.dtypes)
+    whole = lambda name: (F.col(name) if types[name] == "bigint" else C.clean_int(F.col(name))).alias(name)
     return df.select(
         whole("mal_id"),
         *[text(name) for name in ("title", "title_english", "type", "source")],
@@ -80,27 +81,44 @@ def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(best).select(key, "last.*").select(*df.columns)
 
 
+def prepare_counted(records: DataFrame, key: str = "mal_id", order: str = "_seq") -> DataFrame:
+    """Per id: its raw rows, how many are excluded, and the last record that is not (or null).
+
+    One pass gives both the prepared records and the numbers of what was dropped.
+    """
+    out = C.is_excluded(F.col("rating"))
+    rest = [c for c in records.columns if c != key]
+    return records.groupBy(key).agg(
+        F.count("*").alias("_rows"),
+        F.count_if(out).alias("_out"),
+        F.max_by(F.struct(*rest), F.when(~out, F.col(order))).alias("last"),
+    )
+
+
 def prepare(records: DataFrame, key: str = "mal_id", order: str = "_seq") -> DataFrame:
     """Drop excluded titles, then keep the last record of every id."""
-    return last_per_key(drop_excluded(records), key, order)
+    return prepared_rows(prepare_counted(records, key, order), key)
+
+
+def prepared_rows(counted: DataFrame, key: str = "mal_id") -> DataFrame:
+    return counted.where("_rows > _out").select(key, "last.*")
+
+
+def dropped_counts(counted: DataFrame) -> DataFrame:
+    """Raw rows, and how many the exclusion and the de-duplication drop; one row."""
+    zero, kept = F.lit(0).cast("bigint"), F.count_if(F.col("_rows") > F.col("_out"))
+    return counted.agg(
+        F.coalesce(F.sum("_rows"), zero).alias("raw_rows"),
+        F.coalesce(F.sum("_out"), zero).alias("rx_dropped"),
+        (F.coalesce(F.sum(F.col("_rows") - F.col("_out")), zero) - kept).alias("duplicates_dropped"),
+        kept.alias("kept"),
+    )
 
 
 def prepare_counts(records: DataFrame, key: str = "mal_id") -> DataFrame:
-    """Raw rows, and how many the exclusion and the de-duplication drop, in one pass per source."""
+    """The dropped counts alone, reading only the id and the rating."""
     out = C.is_excluded(F.col("rating"))
-    return (
-        records.groupBy("data_source", key)
-        .agg(F.count("*").alias("rows"), F.count_if(out).alias("out"))
-        .groupBy("data_source")
-        .agg(
-            F.sum("rows").alias("raw_rows"),
-            F.sum("out").alias("rx_dropped"),
-            (F.sum(F.col("rows") - F.col("out")) - F.count_if(F.col("rows") > F.col("out"))).alias(
-                "duplicates_dropped"
-            ),
-            F.count_if(F.col("rows") > F.col("out")).alias("kept"),
-        )
-    )
+    return dropped_counts(records.groupBy(key).agg(F.count("*").alias("_rows"), F.count_if(out).alias("_out")))
 
 
 def unreadable_counts(rows: DataFrame) -> DataFrame:

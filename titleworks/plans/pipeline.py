@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titleworks.operators import merge as G
-from titleworks.operators.cleaning import clean_items, clean_snapshot, prepare, prepare_counts
+from titleworks.operators.cleaning import clean_items, clean_snapshot, dropped_counts, prepare_counted, prepared_rows
 from titleworks.plans.marts import in_population
 from titleworks.schemas import RUNS
 from titleworks.session import settle
@@ -109,35 +109,35 @@ def run(
     state, failed = store.current(), 0
 
     def take(records: DataFrame, state: dict[str, DataFrame] | None) -> dict[str, DataFrame]:
-        raw = settle(records, "records")
-        dropped = prepare_counts(raw).first()
-        kept = settle(prepare(raw), "prepared")
-        merged, lost = load(state, kept, reference)
-        merged = {name: settle(df, name) for name, df in merged.items()}
+        counted = settle(prepare_counted(records), "prepared")
+        merged, lost = load(state, prepared_rows(counted), reference)
+        dropped = dropped_counts(counted).first()
         done["unmatched_tags"] += lost.agg(F.coalesce(F.sum("titles"), F.lit(0))).first()[0]
-        if dropped is not None:
-            done["rx_dropped"] += dropped.rx_dropped
-            done["duplicates_dropped"] += dropped.duplicates_dropped
-            done["upserted"] += dropped.kept
+        done["rx_dropped"] += dropped.rx_dropped
+        done["duplicates_dropped"] += dropped.duplicates_dropped
+        done["upserted"] += dropped.kept
         return merged
 
     if snapshot:
         try:
             state = take(snapshot_records(store.spark, snapshot), state)
+            state = store.write(run_id if not pages else f"{run_id}-base", state)
         except Exception as error:
             store.log(**known, finished_at=now(), status="failed", anime_upserted=0, api_pages_failed=0, message=f"CSV load: {error}"[:1000])
             raise
     if pages:
         try:
             landed = read_pages(store.spark, pages_folder, TOP, pages)
-            state = take(page_records(landed), state)
-            failed = failed_pages(landed, pages).count()
+            missing = failed_pages(landed, pages).count()
+            merged = take(page_records(landed), state)
+            store.write(run_id, merged)
+            failed = missing
         except Exception as error:  # noqa: BLE001 - the base data stays usable
             failed = pages
             notes.append(f"API refresh failed: {str(error)[:500]}")
+            if state is not None:
+                store.write(run_id, state)
     status = "partial" if failed else "success"
-    if state is not None:
-        store.write(run_id, state)
     notes.append(" ".join(f"{k}={done[k]}" for k in ("rx_dropped", "duplicates_dropped", "unmatched_tags")))
     store.log(
         **known, finished_at=now(), status=status, anime_upserted=done["upserted"], api_pages_failed=failed,

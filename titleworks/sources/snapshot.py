@@ -46,4 +46,8 @@ def read_snapshot(
         return (clean_int(text) if name in INTEGER_COLUMNS else text).alias(name)
 
     columns = [cell(name) for name in SNAPSHOT_COLUMNS]
-    return raw.select(*columns, *([file_order().alias("_seq")] if with_order else []))
+    rows = raw.select(*columns, *([file_order().alias("_seq")] if with_order else []))
+    # Fewer files than cores (never the case for a large landing): share the rows out, because
+    # cleaning costs far more than reading.
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if raw.rdd.getNumPartitions() < cores else rows
