@@ -12,10 +12,10 @@ from titleworks.streaming.refresh import landed_pages, refresh
 
 TAGS = [(2, "Adventure", "genre"), (8, "Drama", "genre"), (26, "Girls Love", "genre"), (27, "Shounen", "demographic")]
 ROWS = [
-    {"mal_id": "1", "title": "One", "genres": "Adventure, Drama", "studios": "Madhouse, Inc.", "members": "10"},
+    {"mal_id": "1", "title": "One", "genres": "Adventure, Drama", "studios": "Lantern, Inc.", "members": "10"},
     {"mal_id": "2", "title": "Two", "genres": "Shoujo Ai, Made Up", "rating": "Rx - Adults"},
-    {"mal_id": "3", "title": "Three", "genres": "Shoujo Ai, Made Up, Drama, Drama", "demographics": "Shounen", "producers": "Aniplex", "licensors": "Aniplex"},
-    {"mal_id": "1", "title": "One again", "genres": "Drama", "studios": "Madhouse, Inc.", "members": "11"},
+    {"mal_id": "3", "title": "Three", "genres": "Shoujo Ai, Made Up, Drama, Drama", "demographics": "Shounen", "producers": "Pier", "licensors": "Pier"},
+    {"mal_id": "1", "title": "One again", "genres": "Drama", "studios": "Lantern, Inc.", "members": "11"},
 ]
 
 
@@ -65,7 +65,7 @@ def test_load_twice_changes_nothing_and_links_follow_the_newest(spark, reference
     assert content(state) == {
         "titles": [(1, "One again", "kaggle"), (3, "Three", "kaggle")],
         "title_tags": [(1, 8), (3, 8), (3, 26), (3, 27)],
-        "companies": [("Aniplex", None), ("Madhouse, Inc.", None)],
+        "companies": [("Lantern, Inc.", None), ("Pier", None)],
         "title_companies": [(1, "studio"), (3, "licensor"), (3, "producer")],
     }
     assert [tuple(r) for r in lost.collect()] == [("Made Up", 1)]

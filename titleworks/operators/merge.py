@@ -65,10 +65,7 @@ def merge_companies(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
 
 
 def match_tags(records: DataFrame, reference: DataFrame) -> DataFrame:
-    """Every tag of every title with the id its name (or its current name) has, or null.
-
-    Names repeat across titles, so names are matched once each and joined back by name.
-    """
+    """Every tag of every title with the id its name (or its current name) has, or null."""
     tags = records.select("mal_id", F.posexplode("tags").alias("position", "name"))
     ids = reference.select(F.col("name").alias("ref_name"), "genre_id")
     renamed = F.create_map(*[F.lit(x) for pair in TAG_ALIASES.items() for x in pair])
