@@ -191,9 +191,9 @@ def analyze(
     categories = settle(R.category_cells(factors, list(M.CATEGORICAL_FACTORS)), "category-cells")
     tag_counts = settle(R.tag_cells(indicators, score_counts(factors), chosen), "tag-cells")
     top_counts = settle(R.tag_cells(top_tags, score_counts(top_factors), chosen), "top-cells")
-    numbers = R.pair_cells(factors, list(M.NUMERIC_FACTORS)).unionByName(
-        R.pair_cells(pop.select(F.col("score").cast("double").alias("score"), "members"), ["members"])
-    )
+    members = pop.select(F.col("score").cast("double").alias("score"), "members")
+    numbers = R.pair_cells(factors, list(M.NUMERIC_FACTORS)).unionByName(R.pair_cells(members, ["members"]))
+    numbers = settle(numbers, "number-cells")
     tests = finish_tests(
         rank_tests(numbers, {"Q1": categories.unionByName(tag_counts), "Q3": top_counts})
     )
