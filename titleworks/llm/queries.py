@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from titleworks.llm.exact_copies import exact_copies
+from titleworks.llm.lengths import encoded_lengths, length_table
+from titleworks.llm.mixing import mix, sizes, sources_of, targets
 from titleworks.llm.near_copies import near_copies
+from titleworks.llm.token_files import read_documents, write_token_files
 from titleworks.llm.url_rules import Rule, judge
+from titleworks.operators.ranks import row_numbers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +79,59 @@ label AS (SELECT node, min(to_id) AS component FROM reach GROUP BY node)
 SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(l.component, d.doc_id) AS component_id, d.doc_id = coalesce(l.component, d.doc_id) AS kept
 FROM shingles d LEFT JOIN sets t ON list_sort(d.s) = t.s LEFT JOIN label l ON l.node = t.set_id
 """
+
+
+def op10_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_copies(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_exact_copies"] = op10_exact_copies
+ORACLES["op10_exact_copies"] = rf"""
+WITH normal AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '{_SPACE}', '', 'g')) AS sha FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY sha ORDER BY points DESC, doc_id) AS place, count(*) OVER (PARTITION BY sha) AS group_size FROM normal)
+SELECT p.doc_id, k.doc_id AS keep_id, p.group_size, p.doc_id = k.doc_id AS kept, p.sha AS text_sha256
+FROM placed p JOIN placed k ON k.sha = p.sha AND k.place = 1
+"""
+
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+END_ID = 2
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_table(encoded_lengths(_table(spark, sf_dir, "documents"), VOCABULARY))
+
+
+QUERIES["op6_token_counts"] = op6_token_counts
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_token_files(_table(spark, sf_dir, "documents"), VOCABULARY, END_ID)
+    return read_documents(manifest).drop("part")
+
+
+QUERIES["op9_token_files"] = op9_token_files
+
+
+def _knots(*weights: tuple[float, float]) -> Column:
+    return F.array(*[F.struct(F.lit(at).alias("at"), F.lit(weight).alias("weight")) for at, weight in weights])
+
+
+def weighed(sources: DataFrame) -> DataFrame:
+    """Sources by code point, null last, with schedules whose integrals are 3, 1, 2, repeating: falling, level, rising."""
+    numbered = row_numbers(sources, [F.col("source").isNull(), F.col("source")], "number")
+    kind = F.pmod(F.col("number") - 1, F.lit(3))
+    knots = F.when(kind == 0, _knots((0.0, 4.0), (1.0, 2.0))).when(kind == 1, _knots((0.0, 1.0), (1.0, 1.0))).otherwise(_knots((0.0, 1.0), (1.0, 3.0)))
+    return numbered.withColumn("knots", knots).drop("number")
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = sizes(_table(spark, sf_dir, "documents"))
+    plan = mix(entries, targets(weighed(sources_of(entries))))
+    plan = plan.withColumns({"taken": F.col("size") * F.col("takes"), "first_position": F.get("positions", F.lit(0)), "_": F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))})
+    return plan.orderBy(F.asc_nulls_last("first_position"), "doc_id").select("doc_id", "size", "source_size", "target", "taken", "source", "first_position")
+
+
+QUERIES["op1_mixing"] = op1_mixing

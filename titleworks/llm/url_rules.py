@@ -140,7 +140,7 @@ def judge(pages: DataFrame, rules: list[Rule], otherwise: bool = True, url: str
     kept = pages.drop("url_host", "url_path", "url_rule", "url_allowed")
     shown = kept.withColumns({"url_host": host_of(F.col(url)), "url_path": path_of(F.col(url))})
     shown = shown.withColumn("_canonical", F.concat(F.lit("."), "url_host", "url_path"))
-    schema = shown.drop("_canonical").withColumns({"url_rule": F.lit("").cast("string"), "url_allowed": F.lit(True)}).schema
+    schema = shown.drop("_canonical").withColumns({"url_rule": F.lit(None).cast("string"), "url_allowed": F.lit(True)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
