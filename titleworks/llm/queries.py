@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from titleworks.llm.context_trees import score
 from titleworks.llm.exact_copies import exact_copies
 from titleworks.llm.lengths import encoded_lengths, length_table
 from titleworks.llm.mixing import mix, sizes, sources_of, targets
 from titleworks.llm.near_copies import near_copies
+from titleworks.llm.text import remainder
 from titleworks.llm.token_files import read_documents, write_token_files
 from titleworks.llm.url_rules import Rule, judge
 from titleworks.operators.ranks import row_numbers
@@ -135,3 +138,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_mixing"] = op1_mixing
+
+
+def op8_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    rows = score(_table(spark, sf_dir, "documents"), ~held_out)
+    bits = -F.col("score") * F.lit(math.log2(10)) / (F.col("n_bytes") + 1)
+    return rows.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", bits.alias("bits_per_byte"))
+
+
+QUERIES["op8_context_trees"] = op8_context_trees
