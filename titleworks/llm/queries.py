@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from titleworks.llm import quality
 from titleworks.llm.context_trees import score
 from titleworks.llm.exact_copies import exact_copies
 from titleworks.llm.lengths import encoded_lengths, length_table
@@ -148,3 +149,14 @@ def op8_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_context_trees"] = op8_context_trees
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES["op4_quality"] = op4_quality
