@@ -8,7 +8,7 @@ registers (less the ones equal by chance), and what may reach the limit is verif
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,35 +23,38 @@ BANDS = 24  # a pair at 0.8 shares none of them with probability (1 - 0.8 ** 4)
 ROWS = 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-SLACK = 4.5  # standard errors that an estimate may lie below the limit before a pair is left out
+SLACK = 4.0  # standard errors that an estimate may lie below the limit before a pair is left out
+ANCHORS = 4  # sets of a band that meet all its others before what is still apart is compared
 BLOCK = 256  # rows of a band that meet the same number of others in one step
 BROADCAST_IDS = 2_000_000  # 16 MB; more ids are joined by a shuffle
 
+FINE = 512  # registers of the second estimate, for sets that are still apart
+
 _random = np.random.default_rng(20240301)
-_TRIES = _random.integers(0, REGISTERS, (4096, REGISTERS))
+_TRIES = {m: _random.integers(0, m, (4096, m)) for m in (REGISTERS, FINE)}
 _BAND = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
-_EDGES = np.array([-(-(b << 64) // REGISTERS) for b in range(REGISTERS)], dtype=np.uint64)
+_EDGES = {m: np.array([-(-(b << 64) // m) for b in range(m)], dtype=np.uint64) for m in (REGISTERS, FINE)}
 
 
-def registers(sets: list[np.ndarray]) -> np.ndarray:
+def registers(sets: list[np.ndarray], size: int = REGISTERS) -> np.ndarray:
     """The sketch of each sorted set of hashes: a matrix of 16-bit registers. Sets must not be empty.
 
     An empty bucket takes the register of the first bucket in a fixed random order that is not
     empty, so that registers of small sets agree as often as those of large ones.
     """
-    least = np.zeros((len(sets), REGISTERS), np.uint64)
-    full = np.zeros((len(sets), REGISTERS), bool)
+    least = np.zeros((len(sets), size), np.uint64)
+    full = np.zeros((len(sets), size), bool)
     for i, s in enumerate(sets):
-        place = np.searchsorted(s, _EDGES)
+        place = np.searchsorted(s, _EDGES[size])
         ends = np.append(place[1:], len(s))
         has = place < ends
         full[i] = has
-        least[i, has] = s[place[has]] * np.uint64(REGISTERS)  # the low 64 bits: the place inside the bucket
+        least[i, has] = s[place[has]] * np.uint64(size)  # the low 64 bits: the place inside the bucket
     part, power = np.frexp(least.astype(np.float64) + 1.0)
     out = (((65 - power) << MANTISSA) | ((part * 2 - 1) * (1 << MANTISSA)).astype(np.int64)).astype(np.uint16)
     todo = np.flatnonzero(~full.all(axis=1))
     held, done = full.copy(), full[todo].copy()
-    for order in _TRIES:
+    for order in _TRIES[size]:
         if not len(todo):
             return out
         found = ~done & held[todo][:, order]
@@ -137,9 +140,9 @@ def _banded(sets: DataFrame) -> DataFrame:
 
 def _passing(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
     limit = percent / 100
-    low = limit - SLACK * np.sqrt(limit * (1 - limit) / REGISTERS)
+    low = limit - SLACK * np.sqrt(limit * (1 - limit) / a.shape[1])
     size = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
-    return size & ((estimate(a, b, n_a, n_b) >= low) | (np.minimum(n_a, n_b) < REGISTERS))
+    return size & (estimate(a, b, n_a, n_b) >= low)
 
 
 def _estimated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -156,35 +159,54 @@ def _estimated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
-def _across(members: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _apart(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(band, set_id, part, rows, main) of the bands whose sets are not all in one component; main is the component of the smallest set."""
+    own = members.join(label.select(F.col("node").alias("set_id"), "label"), "set_id", "left")
+    own = own.select("band", "set_id", F.coalesce("label", "set_id").alias("part"), (F.col("set_id") == F.col("anchor")).alias("first"))
+    tally = own.groupBy("band").agg(F.count("*").alias("rows"), F.max(F.when(F.col("first"), F.col("part"))).alias("main"), F.min("part").alias("low"), F.max("part").alias("high"))
+    return settle(own.drop("first").join(tally.where("low < high").select("band", "rows", "main"), "band"), "apart")
+
+
+def _pair(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _anchored(apart: DataFrame) -> DataFrame:
+    """Pairs of the sets of a band with a few of them, chosen by hash, of other components."""
+    chosen = [F.min(F.struct(F.xxhash64("set_id", F.lit(k)).alias("h"), F.col("set_id").alias("anchor"), F.col("part").alias("anchor_part"))) for k in range(ANCHORS)]
+    anchors = apart.groupBy("band").agg(F.array_distinct(F.array(*chosen)).alias("x")).select("band", F.explode("x").alias("x")).select("band", "x.anchor", "x.anchor_part")
+    return apart.join(anchors, "band").where("part <> anchor_part").select(*_pair("anchor", "set_id")).distinct()
+
+
+def _across(own: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs of one band, but of different components, that may reach the limit.
 
     Rows outside the component of the band's smallest set are few where a band is large, as that
     set's own copies are linked by now. Those rows meet all rows of the band, in blocks: a row goes
-    once to each block of the others. Sketches are compared inside a task and only pairs that pass leave.
+    once to each block of the others. Sketches are compared inside a task, where they pass also finer
+    ones, and only pairs that pass both leave.
     """
-    own = members.join(label.select(F.col("node").alias("set_id"), "label"), "set_id", "left")
-    own = own.select("band", "set_id", F.coalesce("label", "set_id").alias("part"), (F.col("set_id") == F.col("anchor")).alias("first"))
-    tally = own.groupBy("band").agg(F.count("*").alias("rows"), F.max(F.when(F.col("first"), F.col("part"))).alias("main"), F.min("part").alias("low"), F.max("part").alias("high"))
-    mixed_bands = tally.where("low < high").select("band", "rows", "main")
-    own = settle(own.join(mixed_bands, "band").withColumn("other", F.col("part") != F.col("main")), "mixed-bands")
+    fine = _made_again(own.select("set_id").distinct(), docs, sets, words, lambda s: registers([s], FINE))
+    sketched = settle(fine.join(sets.select("set_id", "n", "sketch"), "set_id").withColumnRenamed("made", "fine"), "fine")
+    own = own.withColumn("other", F.col("part") != F.col("main"))
     others = own.where("other").groupBy("band").agg(F.count("*").alias("others"))
     block = lambda count, seed: F.ceil(F.col(count) / BLOCK).cast("int")
     sized = own.join(others, "band").withColumns({"i_of": block("rows", 0), "j_of": block("others", 1)})
     at = lambda of: F.pmod(F.xxhash64("set_id"), F.col(of)).cast("int")
     left = sized.select("band", "set_id", "part", at("i_of").alias("i"), F.explode(F.sequence(F.lit(0), F.col("j_of") - 1)).alias("j"), F.lit(False).alias("seeks"))
     right = sized.where("other").select("band", "set_id", "part", F.explode(F.sequence(F.lit(0), F.col("i_of") - 1)).alias("i"), at("j_of").alias("j"), F.lit(True).alias("seeks"))
-    cells = left.union(right).join(sets.select("set_id", "n", "sketch"), "set_id")
-    cells = cells.select("band", "i", "j", "seeks", "set_id", "part", "n", "sketch").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "seeks", "set_id")
+    cells = left.union(right).join(sketched, "set_id")
+    cells = cells.select("band", "i", "j", "seeks", "set_id", "part", "n", "sketch", "fine").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "seeks", "set_id")
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
         ids, part, n = (rows.column(k).to_numpy() for k in ("set_id", "part", "n"))
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), "<u2").reshape(-1, REGISTERS)
+        sketch, fine = (np.frombuffer(b"".join(rows.column(k).to_pylist()), "<u2").reshape(-1, m) for k, m in (("sketch", REGISTERS), ("fine", FINE)))
         seeks = rows.column("seeks").to_numpy(zero_copy_only=False)
         all_rows, found_a, found_b = np.flatnonzero(~seeks), [], []
         for k in np.flatnonzero(seeks):
             to = all_rows[part[all_rows] != part[k]]
-            to = to[_passing(sketch[to], sketch[k][None, :], n[to], np.full(len(to), n[k]), percent)]
+            for kind in (sketch, fine):
+                to = to[_passing(kind[to], kind[k][None, :], n[to], np.full(len(to), n[k]), percent)]
             found_a.append(np.minimum(ids[to], ids[k]))
             found_b.append(np.maximum(ids[to], ids[k]))
         a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (found_a, found_b))
@@ -211,21 +233,27 @@ def _across(members: DataFrame, label: DataFrame, sets: DataFrame, percent: int)
     return cells.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets reach the limit. Texts are read again, of these sets alone."""
-    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(sets.select("set_id", "place"), "set_id"), "wanted")
+def _made_again(wanted: DataFrame, docs: DataFrame, sets: DataFrame, words: int, make: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(set_id, made) for the wanted sets: their texts are read again, and `made` holds the bytes that `make` gives for a set."""
+    wanted = settle(wanted.join(sets.select("set_id", "place"), "set_id"), "wanted")
     ids = wanted.select("place").distinct()
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
     texts = _placed(docs).join(ids, "place", "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for made in sets_of(batch.column(0), words):
-                own = [s for s in made if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["set_id", "hashes"])
+            for found in sets_of(batch.column(0), words):
+                own = [s for s in found if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in own], pa.int64()), pa.array([make(s).tobytes() for s in own], pa.binary())], names=["set_id", "made"])
 
-    full = texts.mapInArrow(run, "set_id bigint, hashes binary")
-    full = settle(full.join(wanted.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.first("hashes").alias("hashes")), "full-sets")
+    made = texts.mapInArrow(run, "set_id bigint, made binary")
+    return made.join(wanted.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.first("made").alias("made"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose full sets reach the limit. Texts are read again, of these sets alone."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    full = settle(_made_again(wanted, docs, sets, words, lambda s: s), "full-sets").withColumnRenamed("made", "hashes")
     one = lambda side: full.select(F.col("set_id").alias(side), F.col("hashes").alias(f"hashes_{side}"))
     both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "hashes_a", "hashes_b")
 
@@ -247,9 +275,10 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     Documents are linked if their sets of `words`-word shingles have a Jaccard similarity of at least
     `percent` %. component_id is the smallest doc_id reachable over links, kept marks the rows that
     carry it. Equal sets are one set from the start, so exact copies cost one row each. Sets that
-    share a band are compared with the band's smallest set first; what that links is one component,
-    and then only sets of different components that share a band are compared. So no pair that shares
-    a band is left out, and a large group of copies costs one comparison a member.
+    share a band are compared with the band's smallest set first, then with a few chosen by hash; what
+    that links is one component, and then only sets of different components that share a band are
+    compared, all of them. So no pair that shares a band is left out, and a large group of copies costs a
+    few comparisons a member.
 
     Null and empty texts, and texts of white space, have no shingles and are linked with nothing.
     Texts with fewer words than `words` have one shingle. Rows with a null doc_id take part; their
@@ -262,13 +291,18 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     bands = settle(_banded(sets), "bands")
     shared = bands.groupBy("band").agg(F.count("*").alias("rows"), F.min("set_id").alias("anchor")).where("rows > 1").select("band", "anchor")
     members = settle(bands.join(shared, "band"), "shared-bands")
-    stars = settle(_estimated(members.where("set_id <> anchor").select(F.col("anchor").alias("a"), F.col("set_id").alias("b")).distinct(), sets, percent), "candidates")
+    stars = settle(_estimated(members.where("set_id <> anchor").select(*_pair("anchor", "set_id")).distinct(), sets, percent), "candidates")
     links = settle(_verified(stars, docs, sets, words, percent), "links")
     first = components(links)
-    across = settle(_across(members, first, sets, percent).join(stars, ["a", "b"], "left_anti"), "candidates")
-    if not across.isEmpty():
-        links = links.union(settle(_verified(across, docs, sets, words, percent), "links"))
-        first = components(links)
+    tested = stars
+    for step in ("anchored", "across"):
+        apart = _apart(members, first)
+        found = _estimated(_anchored(apart), sets, percent) if step == "anchored" else _across(apart, docs, sets, words, percent)
+        found = settle(found.join(tested, ["a", "b"], "left_anti"), "candidates")
+        if not found.isEmpty():
+            tested = tested.union(found)
+            links = links.union(settle(_verified(found, docs, sets, words, percent), "links"))
+            first = components(links)
     named = sets.select("set_id", "doc_id").join(first.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = named.select("set_id", "doc_id", F.coalesce("label", "set_id").alias("label"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))

@@ -1,7 +1,7 @@
 """Document quality from supervised subword embeddings.
 
-A document is the average of learned vectors of its hashed words and byte n-grams; a softmax over the
-average gives the class. The model is trained by stochastic gradient descent in numpy on a bounded
+A document is the average of learned vectors of its hashed words and byte n-grams, and of how far back
+each word occurred before (which tells texts that repeat themselves). A softmax over the average gives the class. The model is trained by stochastic gradient descent in numpy on a bounded
 sample of labelled rows, whose features, not texts, come to the driver. Since the softmax is linear in the
 average, a trained model scores a text by one number for each feature.
 """
@@ -19,16 +19,30 @@ from titleworks.llm.text import flat, pieces, word_hashes
 
 BITS = 15  # of a feature's place, for words and for each length of n-gram
 GRAMS = (1, 2, 3, 4)
-SIZE = (1 + len(GRAMS)) << BITS
+KINDS = 2 + len(GRAMS)
+SIZE = (1 + len(GRAMS)) * (1 << BITS) + 64
 WIDTH = 8  # of a vector
 SAMPLE = 3000  # labelled rows that the model is fitted on, about
 EPOCHS = 12
 
 
+def _recurrence(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For each word a feature of its distance to the same word before (by doublings), and whether that is the distance of the word before it, too."""
+    keys = words + np.repeat(np.arange(len(rows) - 1, dtype=np.uint64), np.diff(rows)) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(keys, kind="stable")
+    distance = np.zeros(len(words), np.int64)
+    again = np.flatnonzero(keys[order[1:]] == keys[order[:-1]]) + 1
+    distance[order[again]] = order[again] - order[again - 1]
+    steady = np.zeros(len(words), bool)
+    steady[1:] = (distance[1:] == distance[:-1]) & (distance[1:] > 0)
+    return (SIZE - 64 + np.minimum(np.frexp(distance.astype(np.float64))[1], 31) * 2 + steady).astype(np.int32)
+
+
 def features(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each kind of feature the places of all its occurrences in the texts, in order, and the texts' offsets."""
     words, rows = word_hashes(data, at, fold=False)
     yield (words >> np.uint64(64 - BITS)).astype(np.int32), rows
+    yield _recurrence(words, rows), rows
     wide = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.uint32)
     n = len(data)
     code = np.zeros(n, np.uint32)
@@ -47,7 +61,7 @@ def features(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.
 
 
 def _bags(docs: DataFrame) -> DataFrame:
-    """(doc_id, label, places, shares): each text's distinct features and their shares of all its features."""
+    """(doc_id, label, places, shares): each text's distinct features and their shares, each kind of feature weighing the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,9 +70,9 @@ def _bags(docs: DataFrame) -> DataFrame:
                 made = list(features(data[at[low] : at[high]], at[low : high + 1] - at[low]))
                 places, shares = [], []
                 for i in range(high - low):
-                    own, n = np.unique(np.concatenate([p[to[i] : to[i + 1]] for p, to in made]), return_counts=True)
-                    places.append(own.astype(np.int32).tobytes())
-                    shares.append((n / max(1, n.sum())).astype(np.float32).tobytes())
+                    found = [np.unique(p[to[i] : to[i + 1]], return_counts=True) for p, to in made]  # no feature is of two kinds
+                    places.append(np.concatenate([own for own, _ in found]).astype(np.int32).tobytes())
+                    shares.append(np.concatenate([n / max(1, n.sum()) / KINDS for _, n in found]).astype(np.float32).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], batch.column(1)[low:high], pa.array(places, pa.binary()), pa.array(shares, pa.binary())], names=["doc_id", "label", "places", "shares"])
 
     return docs.select("doc_id", "label", "text").mapInArrow(run, "doc_id bigint, label int, places binary, shares binary")
@@ -136,13 +150,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             data, at = flat(batch.column(place))
             logits = []
             for low, high in pieces(at):
-                total, n = np.zeros(high - low), np.zeros(high - low)
+                total = np.zeros(high - low)
                 for places, to in features(data[at[low] : at[high]], at[low : high + 1] - at[low]):
                     has = np.flatnonzero(to[1:] > to[:-1])
                     if len(has):
-                        total[has] += np.add.reduceat(weights[places], to[:-1][has], dtype=np.float64)
-                    n += np.diff(to)
-                logits.append(total / np.maximum(n, 1) + bias)
+                        total[has] += np.add.reduceat(weights[places], to[:-1][has], dtype=np.float64) / np.diff(to)[has] / KINDS
+                logits.append(total + bias)
             odds = np.concatenate(logits) if logits else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(odds, -500, 500))))], names=[f.name for f in schema])
 
