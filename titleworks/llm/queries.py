@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from titleworks.llm import quality
 from titleworks.llm.context_trees import score
 from titleworks.llm.exact_copies import exact_copies
+from titleworks.llm.leaks import find_leaks
 from titleworks.llm.lengths import encoded_lengths, length_table
 from titleworks.llm.mixing import mix, sizes, sources_of, targets
 from titleworks.llm.near_copies import near_copies
@@ -160,3 +161,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_quality"] = op4_quality
+
+
+def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_leaks(docs, _table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak"))
+    return found.select("doc_id", "leak.item_id", "leak.common", "leak.words", "leak.cosine")
+
+
+QUERIES["op7_leaks"] = op7_leaks

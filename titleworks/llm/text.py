@@ -25,6 +25,8 @@ _VALUE = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
 _VALUE[list(SPACES)] = 0
 _FOLDED = _VALUE.copy()
 _FOLDED[65:91] = _VALUE[97:123]
+_BARE = _FOLDED.copy()  # as _FOLDED, but ASCII punctuation counts for nothing
+_BARE[[b for b in range(33, 127) if not chr(b).isalnum()]] = 0
 _GAP = np.zeros(256, bool)
 _GAP[list(SPACES)] = True
 _powers: dict[int, np.ndarray] = {}
@@ -69,10 +71,10 @@ def pieces(at: np.ndarray, most: int = _PIECE) -> Iterator[tuple[int, int]]:
         low = high
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, at: np.ndarray, fold: bool = True, bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """A hash of every word, in order, and the offsets of the rows among the words.
 
-    fold: A-Z count as a-z.
+    fold: A-Z count as a-z. bare: so they do, and ASCII punctuation behind a word counts for nothing.
     """
     gap = _GAP[data]
     begins = ~gap
@@ -80,7 +82,7 @@ def word_hashes(data: np.ndarray, at: np.ndarray, fold: bool = True) -> tuple[np
     firsts = at[:-1][at[:-1] < at[1:]]
     begins[firsts] = ~gap[firsts]
     starts = np.flatnonzero(begins)
-    table = _FOLDED if fold else _VALUE
+    table = _BARE if bare else _FOLDED if fold else _VALUE
     out = np.empty(len(starts), np.uint64)
     low = 0
     while low < len(starts):
