@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from titleworks.llm import quality
 from titleworks.llm.context_trees import score
 from titleworks.llm.exact_copies import exact_copies
@@ -16,10 +16,11 @@ from titleworks.llm.leaks import find_leaks
 from titleworks.llm.lengths import encoded_lengths, length_table
 from titleworks.llm.mixing import mix, sizes, sources_of, targets
 from titleworks.llm.near_copies import near_copies
+from titleworks.llm.schedules import weighed
 from titleworks.llm.text import remainder
 from titleworks.llm.token_files import read_documents, write_token_files
 from titleworks.llm.url_rules import Rule, judge
-from titleworks.operators.ranks import row_numbers
+from titleworks.llm.vocabulary import END_ID, VOCABULARY
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,10 +102,6 @@ FROM placed p JOIN placed k ON k.sha = p.sha AND k.place = 1
 """
 
 
-VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-END_ID = 2
-
-
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_table(encoded_lengths(_table(spark, sf_dir, "documents"), VOCABULARY))
 
@@ -120,18 +117,6 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op9_token_files"] = op9_token_files
 
 
-def _knots(*weights: tuple[float, float]) -> Column:
-    return F.array(*[F.struct(F.lit(at).alias("at"), F.lit(weight).alias("weight")) for at, weight in weights])
-
-
-def weighed(sources: DataFrame) -> DataFrame:
-    """Sources by code point, null last, with schedules whose integrals are 3, 1, 2, repeating: falling, level, rising."""
-    numbered = row_numbers(sources, [F.col("source").isNull(), F.col("source")], "number")
-    kind = F.pmod(F.col("number") - 1, F.lit(3))
-    knots = F.when(kind == 0, _knots((0.0, 4.0), (1.0, 2.0))).when(kind == 1, _knots((0.0, 1.0), (1.0, 1.0))).otherwise(_knots((0.0, 1.0), (1.0, 3.0)))
-    return numbered.withColumn("knots", knots).drop("number")
-
-
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = sizes(_table(spark, sf_dir, "documents"))
     plan = mix(entries, targets(weighed(sources_of(entries))))
@@ -170,3 +155,6 @@ def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_leaks"] = op7_leaks
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
