@@ -14,6 +14,8 @@ from titleworks.llm.context_trees import score
 from titleworks.llm.exact_copies import exact_copies
 from titleworks.llm.leaks import find_leaks
 from titleworks.llm.lengths import encoded_lengths, length_table
+from titleworks.llm.licences import licences
+from titleworks.llm.licences import train as train_licences
 from titleworks.llm.mixing import mix, sizes, sources_of, targets
 from titleworks.llm.near_copies import near_copies
 from titleworks.llm.schedules import weighed
@@ -158,3 +160,11 @@ QUERIES["op7_leaks"] = op7_leaks
 
 
 QUERIES["pipeline"] = corpus_pipeline.run
+
+
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences(docs, train_licences(docs))
+
+
+QUERIES["op5_licences"] = op5_licences
