@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titleworks.llm.text import flat, pieces, word_hashes
+from titleworks.llm.text import flat, mixed, pieces, word_hashes
 
 RANK = 64  # of the latent space
 SPARE = 16  # further random directions
@@ -45,6 +45,14 @@ def common_subsequence(places: dict[int, int], size: int, words: list[int]) -> i
     return size - state.bit_count()
 
 
+def _runs(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the run of `size` words from each place on."""
+    h = np.zeros(max(0, len(words) - size + 1), np.uint64)
+    for k in range(size):
+        h = mixed(h + words[k : k + len(h)])
+    return h
+
+
 class Passages:
     """The passages of one block of the benchmark: words, weights, and what the latent space makes of them."""
 
@@ -61,6 +69,10 @@ class Passages:
         self._near = np.zeros(1 << 20, bool)
         self._near[self.terms >> np.uint64(44)] = True
         self.masks = [self._places(w) for w in self.words]
+        self.short: dict[int, dict[int, list[int]]] = {}  # by length and hash of the whole passage
+        for k, words in enumerate(self.words):
+            if len(words) < SHORT:
+                self.short.setdefault(len(words), {}).setdefault(int(_runs(words, len(words))[0]), []).append(k)
         self.answers = [w[-min(ANSWER, max(1, len(w) // 4)) :] for w in self.words]
         self.answer_masks = [self._places(w) for w in self.answers]
 
@@ -187,6 +199,20 @@ def _windows(hashes: np.ndarray, rows: np.ndarray, own: Passages) -> Iterator[tu
             yield int(row[some[i]]), int(start[some[i]]), int(k), float(cosine[i, k])
 
 
+def _short(hashes: np.ndarray, rows: np.ndarray, own: Passages) -> Iterator[tuple[int, int, int, float]]:
+    """The same for short passages, which weigh too little in a window: those whose words are there one after the other."""
+    for size, passages in own.short.items():
+        runs = _runs(hashes, size)
+        table = np.sort(np.array(list(passages), np.uint64))
+        near = np.zeros(1 << 20, bool)
+        near[table >> np.uint64(44)] = True
+        for start in np.flatnonzero(near[runs >> np.uint64(44)]).tolist():
+            for k in passages.get(int(runs[start]), ()):
+                row = int(np.searchsorted(rows, start, "right")) - 1
+                if start + size <= rows[row + 1]:
+                    yield row, start, k, 1.0
+
+
 def _checked(hashes: np.ndarray, low: int, high: int, own: Passages, k: int) -> int:
     """How many of a passage's words lie between two places of a document in order; 0 if that is no leak."""
     words, size = hashes[low:high], len(own.words[k])
@@ -218,7 +244,7 @@ def _search(docs: DataFrame, found: Passages) -> DataFrame:
             leaks: list[dict[tuple, dict]] = [{} for _ in range(batch.num_rows)]
             for low, high in pieces(at):
                 hashes, rows = word_hashes(data[at[low] : at[high]], at[low : high + 1] - at[low], bare=True)
-                for row, start, k, cosine in _windows(hashes, rows, own):
+                for row, start, k, cosine in (*_short(hashes, rows, own), *_windows(hashes, rows, own)):
                     size = len(own.words[k])
                     held = leaks[low + row].get((own.item[k],))
                     if held and held["cosine"] >= cosine and held["common"] >= COPIED * size:
