@@ -24,11 +24,11 @@ ROWS = 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 SLACK = 4.0  # standard errors that an estimate may lie below the limit before a pair is left out
-ANCHORS = 4  # sets of a band that meet all its others before what is still apart is compared
+ANCHORS = 2  # sets of a band that meet all its others before what is still apart is compared
 BLOCK = 256  # rows of a band that meet the same number of others in one step
 BROADCAST_IDS = 2_000_000  # 16 MB; more ids are joined by a shuffle
 
-FINE = 512  # registers of the second estimate, for sets that are still apart
+FINE = 1024  # registers of the second estimate, for sets that are still apart
 
 _random = np.random.default_rng(20240301)
 _TRIES = {m: _random.integers(0, m, (4096, m)) for m in (REGISTERS, FINE)}
