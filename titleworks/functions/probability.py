@@ -12,23 +12,26 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TINY, _STEPS = 1e-300, 10_000
-# Beyond this many rows the normal limit is closer than the continued fraction's own error.
-_NORMAL_FROM = 20_000
+_TINY = 1e-300
 
 
-def _fraction(step, start: float) -> float:  # noqa: ANN001
+def _steps(size: float) -> int:
+    """Steps that a fraction or series with parameters of this size may take; they converge in a few square roots of it."""
+    return 1_000 + 50 * math.isqrt(int(abs(size)) + 1)
+
+
+def _fraction(step, start: float, most: int) -> float:  # noqa: ANN001
     """Evaluate a continued fraction a1/(b1+a2/(b2+...)) by the modified Lentz method."""
     value = c = start or _TINY
     d = 0.0
-    for i in range(1, _STEPS):
+    for i in range(1, most):
         a, b = step(i)
         d = 1.0 / ((b + a * d) or _TINY)
         c = (b + a / c) or _TINY
         value *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return value
+            return value
+    raise ArithmeticError(f"a continued fraction did not settle in {most} steps")
 
 
 def beta_cdf(x: float, a: float, b: float) -> float:
@@ -45,7 +48,7 @@ def beta_cdf(x: float, a: float, b: float) -> float:
         return m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), 1.0
 
     log_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    return math.exp(log_front) / (a * _fraction(step, 1.0))
+    return math.exp(log_front) / (a * _fraction(step, 1.0, _steps(a + b)))
 
 
 def chi2_tail(x: float, df: float) -> float:
@@ -56,17 +59,17 @@ def chi2_tail(x: float, df: float) -> float:
     log_front = a * math.log(half) - half - math.lgamma(a)
     if half < a + 1.0:
         term = total = 1.0 / a
-        for i in range(1, _STEPS):
+        for i in range(1, _steps(a)):
             term *= half / (a + i)
             total += term
             if term < total * 1e-16:
-                break
-        return 1.0 - math.exp(log_front) * total
+                return 1.0 - math.exp(log_front) * total
+        raise ArithmeticError(f"a series for {df} degrees of freedom did not settle")
 
     def step(i: int) -> tuple[float, float]:
         return -i * (i - a), half + 2 * i + 1 - a
 
-    return math.exp(log_front) / _fraction(step, half + 1.0 - a)
+    return math.exp(log_front) / _fraction(step, half + 1.0 - a, _steps(a))
 
 
 def normal_two_sided(z: float) -> float:
@@ -74,8 +77,6 @@ def normal_two_sided(z: float) -> float:
 
 
 def t_two_sided(t: float, df: float) -> float:
-    if df > _NORMAL_FROM:
-        return normal_two_sided(t)
     return beta_cdf(df / (df + t * t), df / 2.0, 0.5)
 
 
@@ -87,8 +88,6 @@ def median_rank(n: int, middle: int, share: float) -> int:
     """
     z = -1.959963984540054 if share < 0.5 else 1.959963984540054
     guess = min(max(math.ceil(middle + z * math.sqrt(n) / 2.0), 1), n)
-    if n > _NORMAL_FROM:
-        return guess
     reaches = lambda k: beta_cdf(k / n, middle, n - middle + 1) >= share
     low, high = max(1, guess - 8), min(n, guess + 8)
     while low > 1 and reaches(low - 1):

@@ -41,11 +41,19 @@ def slot_key(title: Column, title_id: Column) -> Column:
     return F.coalesce(series_key(title), F.concat(F.lit("#"), title_id.cast("string")))
 
 
+def series_rule(title: Column) -> Column:
+    """What a title asks of its series: how many of the first words must agree, and the words; null without words."""
+    return F.concat(key_size(title).cast("string"), F.lit(":"), series_key(title))
+
+
+def series_codes(title: Column) -> Column:
+    """The rules a title fulfils: by its first word, and by its first two."""
+    return F.array_compact(F.array(F.concat(F.lit("1:"), first_word(title)), F.concat(F.lit("2:"), two_words(title))))
+
+
 def same_series(title: Column, other: Column) -> Column:
     """True when the other title starts with this title's key words."""
-    by_two = two_words(title).eqNullSafe(two_words(other))
-    by_one = first_word(title).eqNullSafe(first_word(other))
-    return F.when(key_size(title) == 0, F.lit(False)).when(key_size(title) == KEY_WORDS, by_two).otherwise(by_one)
+    return F.coalesce(F.array_contains(series_codes(other), series_rule(title)), F.lit(False))
 
 
 def title_label(title: Column, kind: Column, year: Column) -> Column:

@@ -35,7 +35,7 @@ _IDS_AT_ONCE, _PAIRS_AT_ONCE = 2048, 4_000_000
 # Share of all pairs from which an id's pairs are cheaper in a dense product.
 _DENSE_FROM = 0.004
 
-PROFILE = ["mal_id", "term_ids", "weights", "tags", "first_word", "two_words", "key_size", "slot"]
+PROFILE = ["mal_id", "term_ids", "weights", "tags", "series_rule", "series_codes", "slot"]
 PICK = (
     "anime_id bigint, similar_id bigint, slot string, text_cosine double, tag_cosine double, "
     "both_text boolean"
@@ -101,11 +101,6 @@ def _lists(column: pd.Series, dtype: str) -> list[np.ndarray]:
     return [np.empty(0, dtype) if v is None else np.asarray(v, dtype) for v in column]
 
 
-def _codes(q: pd.Series, c: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    codes = pd.factorize(pd.concat([q, c], ignore_index=True))[0]
-    return codes[: len(q)], codes[len(q) :]
-
-
 class Tile:
     """Cosines and the allowed mask of one block of queries against one block of candidates."""
 
@@ -126,11 +121,12 @@ class Tile:
 
         self.allowed = self.query_ids[:, None] != self.candidate_ids[None, :]
         if skip_series:
-            one_q, one_c = _codes(q.first_word, c.first_word)
-            two_q, two_c = _codes(q.two_words, c.two_words)
-            words = q.key_size.to_numpy()[:, None]
-            one, two = one_q[:, None] == one_c[None, :], two_q[:, None] == two_c[None, :]
-            self.allowed &= ~(np.where(words == 2, two, one) & (words > 0))
+            asked: dict[str, list[int]] = {}
+            for row, rule in enumerate(q.series_rule):
+                asked.setdefault(rule, []).append(row)
+            for column, codes in enumerate(_lists(c.series_codes, "object")):
+                for code in codes:
+                    self.allowed[asked.get(code, []), column] = False
 
     def pickable(self) -> np.ndarray:
         """Allowed candidates that share a word or a tag with the query."""
@@ -317,6 +313,12 @@ def _many_blocks(queries: DataFrame, candidates: DataFrame, blocks: tuple[int, i
             # The pool's lower end in this block is at most the one over all blocks.
             sure = np.partition(low, len(low) - pool)[len(low) - pool] if len(low) > pool else -np.inf
             stay = high >= sure - 1e-6
+            # With the same tag cosine the score grows with the text cosine, so of a class only the
+            # pool's best can matter; equal ones go by id.
+            order = np.lexsort((t.candidate_ids[at], -t.text[i, at], both, t.tag[i, at]))
+            group = np.r_[True, (np.diff(t.tag[i, at][order]) != 0) | (np.diff(both[order].astype("i1")) != 0)][: len(order)]
+            place = np.arange(len(order)) - np.maximum.accumulate(np.where(group, np.arange(len(order)), 0))
+            stay[order[place >= pool]] = False
             kept.append((np.full(stay.sum(), i), at[stay], tag[stay], low[stay], high[stay]))
         rows, cols, tag, low, high = (np.concatenate(k) for k in zip(*kept, strict=True))
         return t.picks(rows, cols).assign(tag_part=tag, low=low, high=high)

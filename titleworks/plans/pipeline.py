@@ -17,7 +17,7 @@ from titleworks.operators.cleaning import clean_items, clean_snapshot, dropped_c
 from titleworks.plans.marts import in_population
 from titleworks.schemas import RUNS
 from titleworks.session import settle
-from titleworks.sources.pages import TOP, failed_pages, page_items, read_pages
+from titleworks.sources.pages import TOP, failed_pages, read_pages
 from titleworks.sources.sinks import _exists
 from titleworks.sources.snapshot import read_snapshot
 
@@ -85,7 +85,10 @@ def snapshot_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    return clean_items(page_items(pages).withColumn("_seq", F.struct("page", "position")), "api", "_seq")
+    """Titles of landed pages. Of one that was landed twice the later landing counts, then the later place."""
+    landed = "_landed" if "_landed" in pages.columns else F.lit(None).cast("timestamp").alias("_landed")
+    items = pages.select("page", landed, F.posexplode("data").alias("position", "item"))
+    return clean_items(items.withColumn("_seq", F.struct("_landed", "page", "position")), "api", "_seq")
 
 
 def run(
@@ -108,20 +111,22 @@ def run(
     notes: list[str] = []
     state, failed = store.current(), 0
 
-    def take(records: DataFrame, state: dict[str, DataFrame] | None) -> dict[str, DataFrame]:
+    def take(records: DataFrame, state: dict[str, DataFrame] | None, name: str) -> dict[str, DataFrame]:
+        """Merge and store; what a failed merge would have counted is not counted."""
         counted = settle(prepare_counted(records), "prepared")
         merged, lost = load(state, prepared_rows(counted), reference)
         dropped = dropped_counts(counted).first()
-        done["unmatched_tags"] += lost.agg(F.coalesce(F.sum("titles"), F.lit(0))).first()[0]
+        unmatched = lost.agg(F.coalesce(F.sum("titles"), F.lit(0))).first()[0]
+        stored = store.write(name, merged)
+        done["unmatched_tags"] += unmatched
         done["rx_dropped"] += dropped.rx_dropped
         done["duplicates_dropped"] += dropped.duplicates_dropped
         done["upserted"] += dropped.kept
-        return merged
+        return stored
 
     if snapshot:
         try:
-            state = take(snapshot_records(store.spark, snapshot), state)
-            state = store.write(run_id if not pages else f"{run_id}-base", state)
+            state = take(snapshot_records(store.spark, snapshot), state, run_id if not pages else f"{run_id}-base")
         except Exception as error:
             store.log(**known, finished_at=now(), status="failed", anime_upserted=0, api_pages_failed=0, message=f"CSV load: {error}"[:1000])
             raise
@@ -129,8 +134,7 @@ def run(
         try:
             landed = read_pages(store.spark, pages_folder, TOP, pages)
             missing = failed_pages(landed, pages).count()
-            merged = take(page_records(landed), state)
-            store.write(run_id, merged)
+            take(page_records(landed), state, run_id)
             failed = missing
         except Exception as error:  # noqa: BLE001 - the base data stays usable
             failed = pages

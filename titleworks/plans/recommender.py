@@ -45,9 +45,8 @@ def profiles(
             "mal_id",
             "title",
             watched().alias("eligible"),
-            K.first_word(title).alias("first_word"),
-            K.two_words(title).alias("two_words"),
-            K.key_size(title).alias("key_size"),
+            K.series_rule(title).alias("series_rule"),
+            K.series_codes(title).alias("series_codes"),
             K.slot_key(title, F.col("mal_id")).alias("slot"),
             V.usable_text(F.col("synopsis")).isNotNull().alias("has_synopsis"),
             V.is_placeholder(F.col("synopsis")).alias("placeholder"),
@@ -64,16 +63,10 @@ def series_sizes(rows: DataFrame) -> DataFrame:
     Counted by key and joined on equal keys: a one-word title hides every title that starts
     with the word, a longer one those with the same first two words.
     """
-    candidates = rows.where("eligible")
-    by_two = candidates.groupBy("two_words").agg(F.count("*").alias("same_two"))
-    by_one = candidates.groupBy("first_word").agg(F.count("*").alias("same_first"))
-    hidden = F.when(F.col("key_size") == 2, F.col("same_two")).when(F.col("key_size") == 1, F.col("same_first"))
-    own = (F.col("eligible") & (F.col("key_size") > 0)).cast("bigint")
-    return (
-        rows.join(by_two, "two_words", "left")
-        .join(by_one, "first_word", "left")
-        .select("mal_id", (F.coalesce(hidden, F.lit(0)) - own).alias("hidden"))
-    )
+    sizes = rows.where("eligible").select(F.explode("series_codes").alias("series_rule")).groupBy("series_rule").agg(F.count("*").alias("same"))
+    own = (F.col("eligible") & F.col("series_rule").isNotNull()).cast("bigint")
+    hidden = F.coalesce(F.when(F.col("series_rule").isNotNull(), F.col("same")), F.lit(0))
+    return rows.join(sizes, "series_rule", "left").select("mal_id", (hidden - own).alias("hidden"))
 
 
 def one_per_slot(ranked: DataFrame, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from titleworks.schemas import PAGE, TAG_FAMILIES, TAG_PAGE, TAG_REFERENCE
 
+# The lists that can be landed, the most popular titles and those of the current season.
 TOP, SEASON = "top", "season_now"
 
 
@@ -53,8 +54,8 @@ def read_tag_families(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tag_reference(landed: DataFrame) -> DataFrame:
-    # At most four distinct values, whatever the input's size.
-    present = {r[0] for r in landed.where("data is not null").select("family").distinct().limit(8).collect()}
+    wanted = F.col("family").isin(*TAG_FAMILIES) & F.col("data").isNotNull()
+    present = {r[0] for r in landed.where(wanted).select("family").distinct().collect()}  # four at most
     absent = [family for family in TAG_FAMILIES if family not in present]
     if absent:
         raise ValueError(f"tag families not landed: {', '.join(absent)}")

@@ -6,6 +6,8 @@ The merge is repeatable, so a batch that runs again after a failure changes noth
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,7 +22,7 @@ def landed_pages(spark: SparkSession, folder: str, files_per_trigger: int | None
     reader = spark.readStream.schema(PAGE)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.json(folder)
+    return reader.json(folder).withColumn("_landed", F.col("_metadata.file_modification_time"))
 
 
 def refresh(pages: DataFrame, store: Store, reference: DataFrame, checkpoint: str) -> StreamingQuery:
@@ -31,10 +33,10 @@ def refresh(pages: DataFrame, store: Store, reference: DataFrame, checkpoint: st
         records = settle(prepare(page_records(usable)), "refresh")
         if records.isEmpty():
             return
-        run_id = f"refresh-{batch_id:06d}"
-        state = store.current(before=run_id)
-        merged, _ = load(state, records, reference)
-        # Written beside the tables it reads, under a name that a repeated batch reuses.
+        # A name of its own for every attempt: readers keep the folder they have opened, and neither a
+        # repeated batch nor a new checkpoint can write over a run that is logged as finished.
+        run_id = f"refresh-{batch_id:06d}-{uuid.uuid4().hex}"
+        merged, _ = load(store.current(), records, reference)
         store.write(run_id, merged)
         now = store.spark.sql("select current_timestamp()").first()[0]
         store.log(
