@@ -24,3 +24,8 @@ def once(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFra
     if key not in _written:
         _written[key] = make()
     return _written[key]
+
+
+def forget() -> None:
+    """Make such tables anew from now on."""
+    _written.clear()

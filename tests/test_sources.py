@@ -64,6 +64,19 @@ def test_rows_are_numbered_in_file_order(spark, tmp_path):
     assert [r.mal_id for r in rows] == [p * 10 + i for p in range(3) for i in range(5)]
 
 
+def test_every_file_has_a_header_of_its_own(spark, tmp_path):
+    rows = [{"mal_id": str(i), "title": f"title {i}", "type": f"type {i}", "members": str(i * 10)} for i in range(6)]
+    swapped = ["type", "title", *[c for c in SNAPSHOT_COLUMNS if c not in ("type", "title")]]
+    for k, columns in enumerate((SNAPSHOT_COLUMNS, swapped, ["extra", *reversed(SNAPSHOT_COLUMNS), "more"])):
+        write_snapshot(tmp_path / f"{k}.csv", rows[2 * k : 2 * k + 2], columns)
+    for multi_line in (True, False):
+        found = read_snapshot(spark, str(tmp_path), multi_line, with_order=True).orderBy("_seq").collect()
+        assert [(r.mal_id, r.title, r.type, r.members) for r in found] == [(i, f"title {i}", f"type {i}", i * 10) for i in range(6)]
+    write_snapshot(tmp_path / "3.csv", rows[:1], [c for c in SNAPSHOT_COLUMNS if c != "demographics"])
+    with pytest.raises(MissingColumns, match="3.csv is missing required columns: demographics"):
+        read_snapshot(spark, str(tmp_path))
+
+
 def test_pages_skip_failures_and_stop_at_the_end(spark, tmp_path):
     folder = land(tmp_path, [page(1, [1, 2]), "{broken", page(4, [7]), page(5, [8], more=False), page(6, [9]), {"page": 3}])
     kept = P.read_pages(spark, folder, P.TOP, 10)
@@ -100,6 +113,18 @@ def test_tag_reference_reads_one_json_array(spark, tmp_path):
     assert [tuple(r) for r in P.read_tag_reference(spark, str(path)).collect()] == [(1, "Action", "genre")]
 
 
+def test_unknown_families_do_not_hide_a_known_one(spark):
+    rows = [(f"family {i}", [(i, "x")]) for i in range(30)] + [(f, [(1, "A")]) for f in ("genres", "explicit_genres", "themes", "demographics")]
+    tags = P.tag_reference(spark.createDataFrame(rows, "family string, data array<struct<mal_id: bigint, name: string>>"))
+    assert sorted(r.kind for r in tags.collect()) == ["demographic", "explicit_genre", "genre", "theme"]
+
+
+def test_the_current_season_s_list_is_read_alike(spark, tmp_path):
+    folder = land(tmp_path, [page(1, [5, 6], more=False)], P.SEASON)
+    land(tmp_path, [page(1, [9])])
+    assert [r.item.mal_id for r in P.page_items(P.read_pages(spark, folder, P.SEASON, 3)).orderBy("position").collect()] == [5, 6]
+
+
 def test_served_tables_must_all_exist(spark, tmp_path):
     S.write_table(spark.range(3), str(tmp_path), "catalog")
     with pytest.raises(FileNotFoundError, match="recommendations.*metadata"):

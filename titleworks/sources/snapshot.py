@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from titleworks.functions.cells import clean_int
 from titleworks.schemas import EMPTY_MARKERS, INTEGER_COLUMNS, SNAPSHOT_COLUMNS
@@ -27,27 +31,45 @@ def file_order() -> Column:
     )
 
 
+def _files_by_header(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
+    """Column names and files, for each distinct first line among the files.
+
+    Only lines of a file's first block are looked at, and one line a file is kept; a header must be one line.
+    """
+    lines = spark.read.text(path).select(
+        F.regexp_replace("value", "^\ufeff", "").alias("header"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    first = lines.where("block = 0 and trim(header) <> ''").groupBy("file").agg(F.min_by("header", "row").alias("header"))
+    found = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    return [(next(csv.reader([r.header])), r.files) for r in found]
+
+
 def read_snapshot(
     spark: SparkSession, path: str, multi_line: bool = True, with_order: bool = False
 ) -> DataFrame:
     """The snapshot's columns as text, except the whole-number ones, which become bigint.
 
-    Quoted cells may hold line breaks, so by default one task reads one whole file: land a
-    large snapshot as many files, or pass multi_line=False when no cell has a line break.
+    Every file has a header of its own: columns are taken by name, in whatever order a file has them,
+    and a file that lacks one is refused. Quoted cells may hold line breaks, so by default one
+    task reads one whole file: land a large snapshot as many files, or pass multi_line=False when no cell
+    has a line break, and files are split.
     """
-    options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line}
-    raw = spark.read.options(**options, inferSchema=False).csv(path)
-    missing = missing_columns(raw.columns)
-    if missing:
-        raise MissingColumns(f"{path} is missing required columns: {', '.join(missing)}")
+    parts = []
+    for columns, files in _files_by_header(spark, path):
+        if missing := missing_columns(columns):
+            raise MissingColumns(f"{files[0]} is missing required columns: {', '.join(missing)}")
+        schema = T.StructType([T.StructField(f"{k}", T.StringType()) for k in range(len(columns))])
+        raw = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line).schema(schema).csv(files)
+        parts.append(raw.select(*[F.col(str(columns.index(name))).alias(name) for name in SNAPSHOT_COLUMNS], *([file_order().alias("_seq")] if with_order else [])))
+    if not parts:
+        raise MissingColumns(f"{path} has no header")
 
     def cell(name: str) -> Column:
         text = F.when(~F.col(name).isin(*EMPTY_MARKERS), F.col(name))
         return (clean_int(text) if name in INTEGER_COLUMNS else text).alias(name)
 
-    columns = [cell(name) for name in SNAPSHOT_COLUMNS]
-    rows = raw.select(*columns, *([file_order().alias("_seq")] if with_order else []))
-    # Fewer files than cores (never the case for a large landing): share the rows out, because
-    # cleaning costs far more than reading.
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if raw.rdd.getNumPartitions() < cores else rows
+    rows = reduce(DataFrame.union, parts)
+    return rows.select(*[cell(name) for name in SNAPSHOT_COLUMNS], *(["_seq"] if with_order else []))
