@@ -200,8 +200,8 @@ _ITEM = {
 }
 
 
-def page_folder(spark, folder: str) -> str:  # noqa: ANN001
-    """Titles as landed JSON pages of 25, with a page that is absent, one without data, and an end."""
+def page_folder(spark, folder: str, gaps: bool = False) -> str:  # noqa: ANN001
+    """Titles as landed JSON pages of 25, and an end; with gaps some pages are absent and some without data."""
 
     def make() -> str:
         path = working_path(spark, "pages")
@@ -221,16 +221,17 @@ def page_folder(spark, folder: str) -> str:  # noqa: ANN001
         )
         last = t.agg(F.max("page")).first()[0]
         items = t.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("id", "item"))).alias("i"))
-        landed = items.where(F.col("page") % 41 != 7).select(
+        absent, blank = ((F.lit(gaps) & (F.col("page") % n == k)) for n, k in ((41, 7), (53, 11)))
+        landed = items.where(~absent).select(
             F.lit("top").alias("endpoint"),
             "page",
-            F.when(F.col("page") % 53 != 11, F.col("i.item")).alias("data"),
+            F.when(~blank, F.col("i.item")).alias("data"),
             F.when(F.col("page") % 2 == 0, F.struct((F.col("page") < last).alias("has_next_page"))).alias("pagination"),
         )
         landed.write.partitionBy("endpoint").json(path)
         return path
 
-    return once(spark, folder, "pages", make)
+    return once(spark, folder, f"pages-{gaps}", make)
 
 
 def pages_asked(spark, folder: str) -> int:  # noqa: ANN001
@@ -240,7 +241,13 @@ def pages_asked(spark, folder: str) -> int:  # noqa: ANN001
 
 PAGES_SQL = X.TITLES_SQL + """, numbered AS (SELECT *, mal_id // 25 + 1 AS page FROM titles),
   ends AS (SELECT max(page) AS last FROM numbered),
-  landed AS (SELECT * FROM numbered WHERE page % 41 <> 7 AND page % 53 <> 11)"""
+  landed AS (SELECT * FROM numbered)"""
+
+
+def with_gaps(sql: str) -> str:
+    return sql.replace("landed AS (SELECT * FROM numbered)", "landed AS (SELECT * FROM numbered WHERE page % 41 <> 7 AND page % 53 <> 11)")
+
+
 check(
     "src_pages",
     lambda s, d: P.page_items(P.read_pages(s, page_folder(s, d), P.TOP, pages_asked(s, d))).select(
@@ -251,8 +258,8 @@ check(
 )
 check(
     "failed_pages",
-    lambda s, d: P.failed_pages(s.read.schema(P.PAGE).json(f"{page_folder(s, d)}/endpoint=top"), pages_asked(s, d)),
-    f"""WITH {PAGES_SQL} SELECT CAST(page AS INTEGER) AS page FROM (SELECT unnest(range(1, CASE WHEN last % 2 = 0 AND last % 41 <> 7 AND last % 53 <> 11
+    lambda s, d: P.failed_pages(s.read.schema(P.PAGE).json(f"{page_folder(s, d, True)}/endpoint=top"), pages_asked(s, d)),
+    f"""WITH {with_gaps(PAGES_SQL)} SELECT CAST(page AS INTEGER) AS page FROM (SELECT unnest(range(1, CASE WHEN last % 2 = 0 AND last % 41 <> 7 AND last % 53 <> 11
     THEN last ELSE last + 3 END + 1)) AS page FROM ends) WHERE page NOT IN (SELECT page FROM landed)""",
 )
 
@@ -300,12 +307,18 @@ def _reference(spark, folder: str) -> DataFrame:  # noqa: ANN001
 
 
 check("src_tag_reference", _reference, f"WITH {X.TAGS_SQL} SELECT genre_id, name, kind FROM tags")
+
+
+def old_tags(spark, folder: str) -> DataFrame:  # noqa: ANN001
+    """All tags under other names, and all again under other ids."""
+    upper = tag_rows(spark, folder).withColumn("name", F.upper("name"))
+    return upper.union(upper.withColumn("genre_id", F.col("genre_id") + 100_000))
+
+
 check(
     "dim_tags",
-    lambda s, d: G.merge_tags(
-        tag_rows(s, d).where("kind <> 'theme'").withColumn("name", F.upper("name")), tag_rows(s, d).where("kind <> 'demographic'")
-    ),
-    f"WITH {X.TAGS_SQL} SELECT genre_id, CASE WHEN kind = 'demographic' THEN upper(name) ELSE name END AS name, kind FROM tags",
+    lambda s, d: G.merge_tags(old_tags(s, d), tag_rows(s, d)),
+    f"WITH {X.TAGS_SQL} SELECT genre_id, name, kind FROM tags UNION ALL SELECT genre_id + 100000, upper(name), kind FROM tags",
 )
 MATCH_SQL = f"""{RECORDS_SQL}, {X.TAGS_SQL}, used AS (SELECT mal_id, unnest(tags) AS name, unnest(range(0, len(tags))) AS position FROM prepared),
 matched AS (SELECT u.*, coalesce(t.genre_id, o.genre_id) AS genre_id FROM used u LEFT JOIN tags t USING (name)
@@ -371,9 +384,10 @@ check(
 
 # -- funnel ---------------------------------------------------------------------------------------
 def _loaded(spark, folder: str) -> DataFrame:  # noqa: ANN001
-    """What two loads leave: the snapshot's titles with some lost, refreshed and joined by pages."""
-    merged = G.union_sources(prepared(spark, folder).where("mal_id % 10 <> 3"), N.prepare(page_batch(spark, folder)).where("mal_id % 4 = 1"))
-    return settle(merged.where("not (mal_id % 25 = 13)").withColumn("updated_at", F.lit("2026-01-01").cast("timestamp")), "loaded")
+    """What two loads leave, the snapshot's and the pages', of the titles that have lines."""
+    merged = G.union_sources(prepared(spark, folder), N.prepare(page_batch(spark, folder)))
+    sold = X.read(spark, folder, "lineitem").selectExpr("l_orderkey AS mal_id").distinct()
+    return settle(merged.join(sold, "mal_id", "left_semi").withColumn("updated_at", F.lit("2026-01-01").cast("timestamp")), "loaded")
 
 
 def _funnel(spark, folder: str) -> tuple[DataFrame, int]:  # noqa: ANN001
@@ -381,9 +395,9 @@ def _funnel(spark, folder: str) -> tuple[DataFrame, int]:  # noqa: ANN001
     return U.build_funnel(U.source_counts(records(spark, folder), stored), M.filter_counts(stored))
 
 
-LOADED_SQL = f"""{RECORDS_SQL}, {PAGE_RECORDS_SQL}, api AS (SELECT * FROM page_records WHERE mal_id % 4 = 1),
+LOADED_SQL = f"""{RECORDS_SQL}, {PAGE_RECORDS_SQL}, api AS (SELECT * FROM page_records),
 stored AS (SELECT * FROM (SELECT mal_id, score, members, status, data_source FROM api UNION ALL SELECT mal_id, score, members, status, data_source FROM prepared
-  WHERE mal_id % 10 <> 3 AND mal_id NOT IN (SELECT mal_id FROM api)) WHERE NOT mal_id % 25 = 13)"""
+  WHERE mal_id NOT IN (SELECT mal_id FROM api)) WHERE mal_id IN (SELECT l_orderkey FROM lineitem))"""
 check(
     "funnel",
     lambda s, d: _funnel(s, d)[0].select("label", "change", "rows"),
@@ -438,14 +452,14 @@ check(
 )
 
 
-def _run(spark, folder: str) -> Store:  # noqa: ANN001
+def _run(spark, folder: str, gaps: bool = False) -> Store:  # noqa: ANN001
     def make() -> Store:
         store = Store(spark, working_path(spark, "store"))
         reference = settle(tag_rows(spark, folder), "tags")
-        run(store, reference, snapshot_file(spark, folder), page_folder(spark, folder), pages_asked(spark, folder))
+        run(store, reference, snapshot_file(spark, folder), page_folder(spark, folder, gaps), pages_asked(spark, folder))
         return store
 
-    return once(spark, folder, "store", make)
+    return once(spark, folder, f"store-{gaps}", make)
 
 
 check(
@@ -457,8 +471,8 @@ check(
 )
 check(
     "run_log",
-    lambda s, d: _run(s, d).runs().select("base_source", "api_pages_requested", "api_pages_failed", "anime_upserted", "status", "message"),
-    f"""WITH {MATCH_SQL}, {PAGE_RECORDS_SQL}, page_tags AS (SELECT unnest(CASE WHEN mal_id % 2 = 0 THEN [type, season, 'Group1'] ELSE [type, season] END) AS name FROM page_records),
+    lambda s, d: _run(s, d, True).runs().select("base_source", "api_pages_requested", "api_pages_failed", "anime_upserted", "status", "message"),
+    f"""WITH {MATCH_SQL}, {with_gaps(PAGE_RECORDS_SQL)}, page_tags AS (SELECT unnest(CASE WHEN mal_id % 2 = 0 THEN [type, season, 'Group1'] ELSE [type, season] END) AS name FROM page_records),
     lost AS (SELECT (SELECT count(*) FROM matched WHERE genre_id IS NULL) + (SELECT count(*) FROM page_tags WHERE name IS NULL OR name NOT IN (SELECT name FROM tags)) AS n),
     asked AS (SELECT CASE WHEN last % 2 = 0 AND last % 41 <> 7 AND last % 53 <> 11 THEN last ELSE last + 3 END AS pages, last + 3 AS requested FROM ends),
     failed AS (SELECT count(*) AS n FROM (SELECT unnest(range(1, pages + 1)) AS page FROM asked) WHERE page NOT IN (SELECT page FROM landed))
