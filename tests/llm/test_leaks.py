@@ -1,6 +1,7 @@
 import random
 
-from titleworks.llm.leaks import Passages, common_subsequence, find_leaks
+from titleworks.llm import leaks
+from titleworks.llm.leaks import common_subsequence, find_leaks, passages_of
 
 
 def longest(a, b):
@@ -27,8 +28,9 @@ def prose(n):
     return [random.choice(common) if random.random() < 0.4 else "".join(random.choices("abcdefghij", k=random.randint(3, 8))) for _ in range(n)]
 
 
-def test_planted_passages_are_found_and_clean_texts_left(spark):
+def test_planted_passages_are_found_and_clean_texts_left(spark, monkeypatch):
     random.seed(12)
+    monkeypatch.setattr(leaks, "SPACE", 25)  # several spaces
     items = [prose(random.randint(14, 59)) for _ in range(60)] + [prose(150), ["short", "five", "word", "item", "here"], ["tiny"]]
     rows, expected = [], set()
     for i in range(600):
@@ -62,5 +64,5 @@ def test_awkward_documents(spark, awkward, nothing):
 
 
 def test_a_long_item_is_several_passages():
-    found = Passages([(3, " ".join(f"w{i}" for i in range(130))), (4, None), (5, "a b")])
-    assert [len(w) for w in found.words] == [44, 43, 43, 2] and found.item == [3, 3, 3, 5]
+    found = passages_of([(3, " ".join(f"w{i}" for i in range(130))), (4, None), (5, "a b")])
+    assert [(i, len(w)) for i, w in found] == [(3, 44), (3, 43), (3, 43), (5, 2)]

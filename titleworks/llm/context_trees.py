@@ -28,6 +28,7 @@ WORDS = 1 << 18  # words whose counts every task holds; the others' are joined
 SLOTS = 20  # bits of the place of a held word
 _HELD = 2_000_000  # distinct counts a task holds before it passes them on
 _BINS = 64
+_ROWS = 1024  # contexts worked on at once when a model is made
 
 
 def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +160,6 @@ class Model:
         names = np.unique(np.stack([depth, context], 1), axis=0) if len(depth) else np.zeros((0, 2), np.int64)
         place = {(int(d), int(c)): i for i, (d, c) in enumerate(names)} or {(0, 0): 0}
         size = len(place)
-        depths = np.array([d for d, _ in place])
         counts = np.zeros((size, 256))
         np.add.at(counts, (np.array([place[int(d), int(c)] for d, c in zip(depth, context, strict=True)], np.int64), byte), n)
         parent = np.array([place[d - 1, c & ((1 << 8 * (d - 1)) - 1)] if d else -1 for d, c in place])
@@ -167,37 +167,45 @@ class Model:
         for i, (d, c) in enumerate(place):
             if d:
                 self.child[parent[i], c >> 8 * (d - 1)] = i
-        inner = depths < DEPTH
         rest = counts.copy()
-        np.subtract.at(rest, parent[1:], counts[1:])
-        rest = np.maximum(rest, 0)
+        for low in range(1, size, _ROWS):
+            np.subtract.at(rest, parent[low : low + _ROWS], counts[low : low + _ROWS])
+        np.maximum(rest, 0, out=rest)
+        edges = np.searchsorted([d for d, _ in place], np.arange(DEPTH + 2))  # nodes lie depth by depth
         # upwards: how well each node's own estimate and its longer contexts code the training bits
         stop = np.ones((size, 255), np.float32)
-        below = np.zeros((size, 255))
-        for d in range(int(depths.max()), -1, -1):
-            at = np.flatnonzero(depths == d)
-            own = _estimates(counts[at])[0]
-            total = own
-            if d < DEPTH:
-                longer = below[at] + _estimates(rest[at])[0]
-                total = np.logaddexp(own, longer) - math.log(2)
-                stop[at] = np.exp(own - math.log(2) - total)
-            if d:
-                np.add.at(below, parent[at], total)
-        del below
+        below = None
+        for d in range(DEPTH, -1, -1):
+            first, last = edges[d], edges[d + 1]
+            above = np.zeros((first - edges[d - 1], 255)) if d else None
+            for low in range(first, last, _ROWS):
+                at = slice(low, min(low + _ROWS, last))
+                own = total = _estimates(counts[at])[0]
+                if d < DEPTH:
+                    longer = below[at.start - first : at.stop - first] + _estimates(rest[at])[0]
+                    total = np.logaddexp(own, longer) - math.log(2)
+                    stop[at] = np.exp(own - math.log(2) - total)
+                if d:
+                    np.add.at(above, parent[at] - edges[d - 1], total)
+            below = above
         # downwards: the mixture along each path
         self.log = np.zeros((size, 256), np.float32)
-        mixed, left = np.zeros((size, 255), np.float32), np.ones((size, 255), np.float32)
-        for d in range(int(depths.max()) + 1):
-            at = np.flatnonzero(depths == d)
-            before = mixed[parent[at]] if d else 0
-            weight = left[parent[at]] if d else np.ones((len(at), 255), np.float32)
-            mixed[at] = before + weight * stop[at] * _estimates(counts[at])[1]
-            left[at] = weight * (1 - stop[at])
-            final = mixed[at].astype(np.float64)
-            if inner[at].all():
-                final = final + left[at] * _estimates(rest[at])[1]
-            self.log[at] = _bytes_of(np.clip(final, 1e-12, 1 - 1e-12))
+        mixed = left = None
+        for d in range(DEPTH + 1):
+            first, last = edges[d], edges[d + 1]
+            mixed_here, left_here = np.zeros((last - first, 255), np.float32), np.zeros((last - first, 255), np.float32)
+            for low in range(first, last, _ROWS):
+                at = slice(low, min(low + _ROWS, last))
+                here = slice(at.start - first, at.stop - first)
+                before = mixed[parent[at] - edges[d - 1]] if d else 0
+                weight = left[parent[at] - edges[d - 1]] if d else np.ones((at.stop - at.start, 255), np.float32)
+                mixed_here[here] = before + weight * stop[at] * _estimates(counts[at])[1]
+                left_here[here] = weight * (1 - stop[at])
+                final = mixed_here[here].astype(np.float64)
+                if d < DEPTH:
+                    final += left_here[here] * _estimates(rest[at])[1]
+                self.log[at] = _bytes_of(np.clip(final, 1e-12, 1 - 1e-12))
+            mixed, left = mixed_here, left_here
 
     def scores(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 of the probability of each text, its end included."""

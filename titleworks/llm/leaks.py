@@ -18,17 +18,20 @@ from pyspark.sql import functions as F
 
 from titleworks.llm.text import flat, mixed, pieces, word_hashes
 
-RANK = 64  # of the latent space
-SPARE = 16  # further random directions
+SPACE = 240  # passages of one latent space at most
+RANK = 240  # of it
+SPARE = 8  # further random directions
 PASSAGE = 64  # words of a benchmark passage at most; a longer item is several
 WINDOW, STRIDE = 32, 8  # words of a document's window, and from one window to the next
-ENERGY = 0.15  # of a window's squared weights that benchmark words must have
-COSINE = 0.5
+COMMON = 3.0  # taken off every inverse document frequency: what one passage in 20 has says next to nothing
+LITTLE = 0.05  # what is left of such a word's
+COSINE = 0.35  # of a window with a passage; 14 of its 32 words in a window give about 0.65
+_AT_ONCE = 512  # windows projected at once
 COPIED = 0.8  # of a passage's words in order: a copy
-RETOLD = 0.5  # the same for a paraphrase, if ANSWERED of the answer is there, too
+RETOLD = 0.5  # the same of its telling words for a paraphrase, if ANSWERED of the answer is there, too
 ANSWER, ANSWERED = 8, 0.75
 SHORT = 8  # words; a passage with fewer must be there as it is
-ITEMS = 5000  # benchmark items searched for in one pass over the documents; more take more passes
+ITEMS = 5000  # benchmark items searched for in one pass over the documents, in several spaces; more take more passes
 
 _LEAKS = "array<struct<item_id:bigint,common:int,words:int,cosine:double>>"
 
@@ -53,17 +56,21 @@ def _runs(words: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
+def passages_of(items: list[tuple[int | None, str | None]]) -> list[tuple[int | None, np.ndarray]]:
+    """(item, words' hashes) of every passage: a long item is cut evenly."""
+    out = []
+    for item_id, text in items:
+        hashes = word_hashes(*flat(pa.array([text], pa.string())), bare=True)[0]
+        parts = -(-len(hashes) // PASSAGE)
+        out += [(item_id, part) for part in (np.array_split(hashes, parts) if parts else [])]
+    return out
+
+
 class Passages:
-    """The passages of one block of the benchmark: words, weights, and what the latent space makes of them."""
-
-    def __init__(self, items: list[tuple[int | None, str | None]]) -> None:
-        self.item, self.words = [], []
-        for item_id, text in items:
-            hashes = word_hashes(*flat(pa.array([text], pa.string())), bare=True)[0]
-            parts = -(-len(hashes) // PASSAGE)
-            for part in np.array_split(hashes, parts) if parts else []:
-                self.item.append(item_id)
-                self.words.append(part)
+    """Passages of one latent space: words, weights, and what the space makes of them."""
+
+    def __init__(self, passages: list[tuple[int | None, np.ndarray]]) -> None:
+        self.item, self.words = [i for i, _ in passages], [w for _, w in passages]
         whole = np.concatenate([*self.words, np.zeros(0, np.uint64)])
         self.terms = np.unique(whole)
         self._near = np.zeros(1 << 20, bool)
@@ -93,9 +100,12 @@ class Passages:
         return out
 
     def weigh(self, frequency: np.ndarray, passages: int) -> None:
-        """Inverse document frequencies; words that no benchmark passage has weigh as the mean term."""
-        self.idf = np.log((passages + 1) / (frequency + 1)) + 0.05
-        self.other = float(np.sqrt((self.idf**2).mean())) if len(self.idf) else 1.0
+        """Inverse document frequencies; words that no benchmark passage has weigh half the mean term, lest they hide passages of common words."""
+        self.idf = np.maximum(np.log((passages + 1) / (frequency + 1)) - COMMON, LITTLE)
+        self.other = float(np.sqrt((self.idf**2).mean())) / 2 if len(self.idf) else 1.0
+        telling = {w for w, idf in zip(self.terms.tolist(), self.idf.tolist(), strict=True) if idf > LITTLE}
+        self.telling_masks = [{w: m for w, m in masks.items() if w in telling} for masks in self.masks]
+        self.telling_sizes = [sum(m.bit_count() for m in masks.values()) for masks in self.telling_masks]
 
     def rows(self) -> np.ndarray:
         out = np.zeros((len(self.words), len(self.terms)))
@@ -107,16 +117,19 @@ class Passages:
         """directions: terms x rank. What each term adds to a projected window, and the passages' own projections."""
         self.pull = (self.idf[:, None] * directions).astype(np.float32)
         own = np.stack([self.pull[np.searchsorted(self.terms, w)].sum(axis=0) for w in self.words])
-        self.latent = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
+        length = np.array([np.sqrt((self.idf[np.searchsorted(self.terms, w)] ** 2).sum()) for w in self.words])
+        # Scaled so that a window with exactly the passage's words has cosine 1, however much of the passage the space holds.
+        self.least = min(1.0, float((np.linalg.norm(own, axis=1) / np.maximum(length, 1e-9)).min()))
+        self.seek = (own * (length / np.maximum((own**2).sum(axis=1), 1e-9))[:, None]).astype(np.float32)
 
 
-def _frequencies(docs: DataFrame, found: Passages) -> tuple[np.ndarray, int]:
-    """In how many passages of all documents each term occurs, and the passages' number."""
-    shared = docs.sparkSession.sparkContext.broadcast(found)
+def _frequencies(docs: DataFrame, spaces: list[Passages]) -> None:
+    """Weigh each space's terms by how many passages of all documents have them."""
+    shared = docs.sparkSession.sparkContext.broadcast(spaces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        counts, passages = np.zeros(len(own.terms), np.int64), 0
+        spaces = shared.value
+        counts, passages = [np.zeros(len(own.terms), np.int64) for own in spaces], 0
         for batch in batches:
             data, at = flat(batch.column(0))
             for low, high in pieces(at):
@@ -125,17 +138,21 @@ def _frequencies(docs: DataFrame, found: Passages) -> tuple[np.ndarray, int]:
                 first = np.concatenate([[0], np.cumsum(sizes)])
                 passage = (np.arange(len(hashes)) - np.repeat(rows[:-1], np.diff(rows))) // WINDOW + np.repeat(first[:-1], np.diff(rows))
                 passages += int(first[-1])
-                term = own.term_of(hashes)
-                hit = term >= 0
-                key = np.sort(passage[hit] * len(own.terms) + term[hit])
-                key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
-                counts += np.bincount(key % max(1, len(own.terms)), minlength=len(own.terms))
-        has = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(has, -1)), pa.array(np.append(counts[has], passages))], names=["term", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()  # one row a term of the block
-    total = {r["term"]: r["n"] for r in rows}
-    return np.array([total.get(k, 0) for k in range(len(found.terms))], np.int64), total.get(-1, 0)
+                for own, tally in zip(spaces, counts, strict=True):
+                    term = own.term_of(hashes)
+                    hit = term >= 0
+                    key = np.sort(passage[hit] * len(own.terms) + term[hit])
+                    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+                    tally += np.bincount(key % max(1, len(own.terms)), minlength=len(own.terms))
+        for k, tally in enumerate(counts):
+            has = np.flatnonzero(tally)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(has), k)), pa.array(has), pa.array(tally[has])], names=["space", "term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([-1]), pa.array([passages])], names=["space", "term", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "space bigint, term bigint, n bigint").groupBy("space", "term").agg(F.sum("n").alias("n")).collect()  # one row a term of the benchmark's block
+    total = {(r["space"], r["term"]): r["n"] for r in rows}
+    for k, own in enumerate(spaces):
+        own.weigh(np.array([total.get((k, t), 0) for t in range(len(own.terms))], np.int64), total.get((-1, -1), 0))
 
 
 def _directions(spark, found: Passages) -> np.ndarray:  # noqa: ANN001
@@ -144,9 +161,9 @@ def _directions(spark, found: Passages) -> np.ndarray:  # noqa: ANN001
     Every task multiplies its rows A by the same random matrix; the sums of (A R)'(A R) give an orthonormal
     basis Q of A R, and the sums of (A R)' A give Q' A, whose singular vectors are the directions.
     """
-    size, terms = RANK + SPARE, len(found.terms)
+    size, terms = min(RANK + SPARE, len(found.words)), len(found.terms)
     shared = spark.sparkContext.broadcast(found)
-    parts = spark.range(0, len(found.words), 1, max(1, -(-len(found.words) // 256)))
+    parts = spark.range(0, len(found.words), 1, max(1, -(-len(found.words) // 64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -173,28 +190,27 @@ def _directions(spark, found: Passages) -> np.ndarray:  # noqa: ANN001
 
 
 def _windows(hashes: np.ndarray, rows: np.ndarray, own: Passages) -> Iterator[tuple[int, int, int, float]]:
-    """(row, first word of the window, passage, cosine) of the candidates."""
+    """(row, first word of the window, passage, cosine) of the candidates.
+
+    A cosine is at most the root of the share that the space's words have in a window's squared weights, so
+    only windows where that can reach the limit are projected.
+    """
     term = own.term_of(hashes)
-    has = term >= 0
-    weight = np.full(len(hashes), own.other**2)
-    weight[has] = own.idf[term[has]] ** 2
-    every, known = (np.concatenate([[0.0], np.cumsum(x)]) for x in (weight, np.where(has, weight, 0.0)))
+    weight = np.where(term >= 0, own.idf[term] ** 2, own.other**2)
+    every, known = (np.concatenate([[0.0], np.cumsum(x)]) for x in (weight, np.where(term >= 0, weight, 0.0)))
     n = np.diff(rows)
     windows = np.where(n > 0, 1 + -(-np.maximum(n - WINDOW, 0) // STRIDE), 0)
     row = np.repeat(np.arange(len(n)), windows)
-    order = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-    start = rows[:-1][row] + order * STRIDE
+    start = rows[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)) * STRIDE
     end = np.minimum(start + WINDOW, rows[1:][row])
-    rich = np.flatnonzero(known[end] - known[start] >= ENERGY * (every[end] - every[start]))
+    full = every[end] - every[start]
+    rich = np.flatnonzero(known[end] - known[start] >= (COSINE * own.least) ** 2 * full)
     pull = np.concatenate([own.pull, np.zeros((1, own.pull.shape[1]), np.float32)])  # the last for other words
-    for low in range(0, len(rich), 1024):
-        some = rich[low : low + 1024]
+    for low in range(0, len(rich), _AT_ONCE):
+        some = rich[low : low + _AT_ONCE]
         at = start[some][:, None] + np.arange(WINDOW)
-        inside = at < end[some][:, None]
-        terms = np.where(inside, term[np.minimum(at, len(term) - 1)], -1)
-        latent = pull[terms].sum(axis=1)
-        length = np.linalg.norm(latent, axis=1, keepdims=True)
-        cosine = (latent / np.maximum(length, 1e-9)) @ own.latent.T
+        terms = np.where(at < end[some][:, None], term[np.minimum(at, len(term) - 1)], -1)
+        cosine = pull[terms].sum(axis=1) @ own.seek.T / np.sqrt(np.maximum(full[some], 1e-9))[:, None]
         for i, k in zip(*np.nonzero(cosine >= COSINE), strict=True):
             yield int(row[some[i]]), int(start[some[i]]), int(k), float(cosine[i, k])
 
@@ -213,6 +229,12 @@ def _short(hashes: np.ndarray, rows: np.ndarray, own: Passages) -> Iterator[tupl
                     yield row, start, k, 1.0
 
 
+def _telling(own: Passages, k: int, words: list[int]) -> int:
+    """How many of a passage's telling words are there in order."""
+    size = len(own.words[k])
+    return common_subsequence(own.telling_masks[k], size, words)
+
+
 def _checked(hashes: np.ndarray, low: int, high: int, own: Passages, k: int) -> int:
     """How many of a passage's words lie between two places of a document in order; 0 if that is no leak."""
     words, size = hashes[low:high], len(own.words[k])
@@ -223,28 +245,28 @@ def _checked(hashes: np.ndarray, low: int, high: int, own: Passages, k: int) ->
     common = common_subsequence(own.masks[k], size, words)
     if common >= COPIED * size:
         return common
-    if common >= RETOLD * size:
+    telling = own.telling_sizes[k]
+    if telling and _telling(own, k, words) >= max(2, RETOLD * telling):
         answer = len(own.answers[k])
         if common_subsequence(own.answer_masks[k], answer, words) >= ANSWERED * answer:
             return common
     return 0
 
 
-def _search(docs: DataFrame, found: Passages) -> DataFrame:
+def _search(docs: DataFrame, spaces: list[Passages]) -> DataFrame:
     """docs with `leaks` for one block of the benchmark."""
     place = docs.columns.index("text")
     schema = docs.withColumn("leaks", F.lit(None).cast(_LEAKS)).schema
-    shared = docs.sparkSession.sparkContext.broadcast(found)  # ITEMS bounds it
+    shared = docs.sparkSession.sparkContext.broadcast(spaces)  # ITEMS bounds it
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("common", pa.int32()), ("words", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
             data, at = flat(batch.column(place))
             leaks: list[dict[tuple, dict]] = [{} for _ in range(batch.num_rows)]
             for low, high in pieces(at):
                 hashes, rows = word_hashes(data[at[low] : at[high]], at[low : high + 1] - at[low], bare=True)
-                for row, start, k, cosine in (*_short(hashes, rows, own), *_windows(hashes, rows, own)):
+                for own, row, start, k, cosine in ((own, *c) for own in shared.value for way in (_short, _windows) for c in way(hashes, rows, own)):
                     size = len(own.words[k])
                     held = leaks[low + row].get((own.item[k],))
                     if held and held["cosine"] >= cosine and held["common"] >= COPIED * size:
@@ -276,11 +298,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     all_leaks = F.array().cast(_LEAKS)
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        found = Passages([(r["item_id"], r["text"]) for r in rows])
-        if not found.words:
+        passages = passages_of([(r["item_id"], r["text"]) for r in rows])
+        if not passages:
             continue
-        found.weigh(*_frequencies(docs, found))
-        found.place(_directions(spark, found))
-        out = _search(out, found).withColumnRenamed("leaks", f"_leaks_{block}")
+        spaces = [Passages(passages[low : low + SPACE]) for low in range(0, len(passages), SPACE)]
+        _frequencies(docs, spaces)
+        for own in spaces:
+            own.place(_directions(spark, own))
+        out = _search(out, spaces).withColumnRenamed("leaks", f"_leaks_{block}")
         all_leaks = F.concat(all_leaks, F.col(f"_leaks_{block}"))
     return out.withColumn("leaks", all_leaks).drop(*[f"_leaks_{b}" for b in range(blocks)])

@@ -74,8 +74,14 @@ def pieces(at: np.ndarray, most: int = _PIECE) -> Iterator[tuple[int, int]]:
 def word_hashes(data: np.ndarray, at: np.ndarray, fold: bool = True, bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """A hash of every word, in order, and the offsets of the rows among the words.
 
-    fold: A-Z count as a-z. bare: so they do, and ASCII punctuation behind a word counts for nothing.
+    fold: A-Z count as a-z. bare: so they and the accented Latin-1 capitals do, and ASCII punctuation behind a
+    word counts for nothing.
     """
+    if bare and len(data):
+        capital = np.flatnonzero(data[:-1] == 0xC3) + 1  # U+00C0 to U+00DE are two bytes, C3 and 80 to 9E
+        capital = capital[(data[capital] >= 0x80) & (data[capital] <= 0x9E) & (data[capital] != 0x97)]
+        data = data.copy()
+        data[capital] += 0x20
     gap = _GAP[data]
     begins = ~gap
     begins[1:] &= gap[:-1]
