@@ -43,5 +43,5 @@ def test_a_sliced_column_and_a_giant_word():
 
 
 def test_punctuation_behind_words_may_be_left_out():
-    a, b = (word_hashes(*flat(pa.array([t])), bare=True)[0].tolist() for t in ("Thing, and (that)!", "thing and (that"))
+    a, b = (word_hashes(*flat(pa.array([t])), bare=True)[0].tolist() for t in ("Thing, ÉTÉ× and (that)!", "thing été× and (that"))
     assert a == b
