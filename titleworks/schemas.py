@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 # The columns read from the snapshot file, in order. Others are never read.
-SNAPSHOT_COLUMNS = (
-    "mal_id title title_english type source episodes status duration rating score scored_by "
-    "members favorites synopsis aired_from season year broadcast_day broadcast_time producers "
-    "licensors studios genres explicit_genres themes demographics"
-).split()
+SNAPSHOT_COLUMNS = [
+    "mal_id", "title", "title_english", "type", "source", "episodes", "status", "duration", "rating", "score",
+    "scored_by", "members", "favorites", "synopsis", "aired_from", "season", "year", "broadcast_day", "broadcast_time",
+    "producers", "licensors", "studios", "genres", "explicit_genres", "themes", "demographics",
+]
 INTEGER_COLUMNS = ("mal_id", "episodes", "scored_by", "members", "favorites", "year")
 # Cell texts that the common CSV readers take as empty.
 EMPTY_MARKERS = (
@@ -33,10 +33,11 @@ TAG_ALIASES = {
 }
 DATA_SOURCES = ("kaggle", "api")
 
-TITLE_COLUMNS = (
-    "mal_id title title_english type source episodes duration_min rating synopsis season year "
-    "broadcast_day broadcast_time status score scored_by members favorites data_source"
-).split()
+# The columns of the stored titles, in order.
+TITLE_COLUMNS = [
+    "mal_id", "title", "title_english", "type", "source", "episodes", "duration_min", "rating", "synopsis", "season",
+    "year", "broadcast_day", "broadcast_time", "status", "score", "scored_by", "members", "favorites", "data_source",
+]
 
 NAMED = "array<struct<mal_id: bigint, name: string>>"
 PAGE_ITEM = ", ".join(
