@@ -112,7 +112,22 @@ check(
     lambda s, d: R.group_medians(R.category_cells(kept_factors(s, d), CATEGORIES)).select("factor", "group", "n", "median"),
     f"{BASE}, {FACTORS_SQL}, {CATEGORY_SQL} SELECT factor, grp AS \"group\", count(*) AS n, quantile_cont(score, 0.5) AS median FROM category_rows GROUP BY ALL",
 )
-check("median_ci", lambda s, d: R.group_medians(R.category_cells(kept_factors(s, d), CATEGORIES)))
+# A limit is the value at the first rank k at which a binomial(n, k / n) count reaches the middle rank with the share's probability.
+INTERVAL_SQL = """sizes AS (SELECT factor, grp, count(*) AS n, quantile_cont(score, 0.5) AS median FROM category_rows GROUP BY ALL),
+asked AS (SELECT DISTINCT n, middle, share FROM (SELECT n, unnest([(n + 1) // 2, n // 2 + 1]) AS middle FROM sizes), (SELECT unnest([0.025, 0.975]) AS share)),
+near AS (SELECT *, CAST(middle + CASE WHEN share < 0.5 THEN -1 ELSE 1 END * 0.98 * sqrt(n) AS BIGINT) AS about FROM asked),
+tries AS (SELECT n, middle, share, unnest(range(greatest(1, about - 25), least(n, about + 25) + 1)) AS k FROM near),
+tails AS (SELECT n, middle, share, k, CASE WHEN k = n THEN 1.0 ELSE list_sum(list_transform(range(middle, n + 1),
+  lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(k / n) + (n - j) * ln(1 - k / n)))) END AS tail FROM tries),
+ranks AS (SELECT n, middle, share, min(k) AS rank FROM tails WHERE tail >= share GROUP BY ALL),
+placed AS (SELECT factor, grp, score, row_number() OVER (PARTITION BY factor, grp ORDER BY score) AS place FROM category_rows)"""
+check(
+    "median_ci",
+    lambda s, d: R.group_medians(R.category_cells(kept_factors(s, d), CATEGORIES)),
+    f"""{BASE}, {FACTORS_SQL}, {CATEGORY_SQL}, {INTERVAL_SQL}
+    SELECT factor, grp AS "group", n, any_value(median) AS median, avg(score) FILTER (share < 0.5) AS ci_low, avg(score) FILTER (share > 0.5) AS ci_high
+    FROM sizes JOIN ranks USING (n) JOIN placed USING (factor, grp) WHERE place = rank GROUP BY factor, grp, n""",
+)
 check(
     "tag_effects",
     lambda s, d: A.tag_effects(tag_cells(s, d)).select(
