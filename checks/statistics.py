@@ -12,7 +12,7 @@ from checks.registry import check, once
 from titleworks.operators import rank_tests as R
 from titleworks.operators.merge import table_counts
 from titleworks.operators.ranks import average_ranks
-from titleworks.operators.regression import design, level_counts, nonzero_entries, reference_levels
+from titleworks.operators.regression import design, fit, level_counts, nonzero_entries, reference_levels
 from titleworks.plans import analysis as A
 from titleworks.plans import marts as M
 from titleworks.plans import report as P
@@ -229,6 +229,43 @@ def _fit_facts(spark, folder: str) -> DataFrame:  # noqa: ANN001
 
 
 check("cv_r2", _fit_facts)
+
+
+def _one_factor(spark, folder: str) -> tuple:  # noqa: ANN001
+    df = kept_factors(spark, folder)
+    return fit(df, "mal_id", "score", design(df, {}, ["season"], {}))
+
+
+# With one category the fit is the groups' means, a row's leverage 1 / n of its group, and the robust
+# error of a mean sqrt(sum e^2 / (1 - 1 / n)^2) / n.
+GROUPS_SQL = """groups AS (SELECT season AS g, count(*) AS n, avg(score) AS mean FROM factors GROUP BY season),
+spread AS (SELECT g, any_value(n) AS n, any_value(mean) AS mean, sum(((score - mean) / (1 - 1.0 / n)) ** 2) / any_value(n) ** 2 AS var
+  FROM factors JOIN groups ON season = g GROUP BY g),
+base AS (SELECT * FROM spread ORDER BY n DESC, g LIMIT 1)"""
+FOLD_SQL = "CAST(mal_id % 2147483648 * 2654435761 % 4294967296 % 5 AS INTEGER)"
+check(
+    "ols_one_factor",
+    lambda s, d: rounded(s.createDataFrame(_one_factor(s, d)[0]), coef=9, std_err=9, ci_low=9, ci_high=9).drop("p_value"),
+    f"""{BASE}, {FACTORS_SQL}, {GROUPS_SQL}, terms AS (SELECT 'const' AS term, mean AS coef, sqrt(var) AS std_err FROM base
+      UNION ALL SELECT 'season=' || s.g, s.mean - b.mean, sqrt(s.var + b.var) FROM spread s, base b WHERE s.g <> b.g)
+    SELECT term, round(coef, 9) AS coef, round(std_err, 9) AS std_err, round(coef - 1.959963984540054 * std_err, 9) AS ci_low,
+      round(coef + 1.959963984540054 * std_err, 9) AS ci_high FROM terms""",
+)
+check(
+    "cv_one_factor",
+    lambda s, d: rounded(s.createDataFrame([tuple(map(float, _one_factor(s, d)[1].values()))], ", ".join(f"{k} double" for k in ("n", "r2", "adj_r2", "model_r2", "model_r2_std", "baseline_r2"))),
+                         r2=9, adj_r2=9, model_r2=9, model_r2_std=9, baseline_r2=9),
+    f"""{BASE}, {FACTORS_SQL}, rows AS (SELECT season AS g, CAST(score AS DOUBLE) AS y, {FOLD_SQL} AS fold FROM factors),
+    cells AS (SELECT fold, g, count(*) AS n, sum(y) AS s FROM rows GROUP BY ALL),
+    others AS (SELECT a.fold, a.g, sum(b.s) / sum(b.n) AS fitted FROM cells a JOIN cells b ON a.g = b.g AND a.fold <> b.fold GROUP BY ALL),
+    means AS (SELECT a.fold, sum(b.y) / count(*) AS rest FROM (SELECT DISTINCT fold FROM rows) a JOIN rows b ON a.fold <> b.fold GROUP BY a.fold),
+    held AS (SELECT fold, 1 - sum((y - fitted) ** 2) / var_pop(y) / count(*) AS model, 1 - sum((y - rest) ** 2) / var_pop(y) / count(*) AS base
+      FROM rows JOIN others USING (fold, g) JOIN means USING (fold) GROUP BY fold),
+    whole AS (SELECT count(*) AS n, count(DISTINCT g) AS p, 1 - sum((y - m) ** 2) / var_pop(y) / count(*) AS r2
+      FROM (SELECT *, avg(y) OVER (PARTITION BY g) AS m FROM rows))
+    SELECT CAST(n AS DOUBLE) AS n, round(r2, 9) AS r2, round(1 - (1 - r2) * (n - 1) / (n - p), 9) AS adj_r2, round(avg(model), 9) AS model_r2,
+      round(stddev_pop(model), 9) AS model_r2_std, round(avg(base), 9) AS baseline_r2 FROM whole, held GROUP BY n, p, r2""",
+)
 check("tests_table", lambda s, d: analysis(s, d).tables["tests"])
 check(
     "tests_statistics",
