@@ -66,16 +66,16 @@ def merge_companies(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
 
 def match_tags(records: DataFrame, reference: DataFrame) -> DataFrame:
     """Every tag of every title with the id its name (or its current name) has, or null."""
-    tags = records.select("mal_id", F.posexplode("tags").alias("position", "name"))
-    ids = reference.select(F.col("name").alias("ref_name"), "genre_id")
-    renamed = F.create_map(*[F.lit(x) for pair in TAG_ALIASES.items() for x in pair])
-    old = ids.select(F.col("ref_name").alias("current"), F.col("genre_id").alias("alias_id"))
-    return (
-        tags.withColumn("current", F.try_element_at(renamed, F.col("name")))
-        .join(ids, F.col("name") == F.col("ref_name"), "left")
-        .join(old, "current", "left")
-        .select("mal_id", "position", "name", F.coalesce("genre_id", "alias_id").alias("genre_id"))
+    old_names: dict[str, list[str]] = {}
+    for old, current in TAG_ALIASES.items():
+        old_names.setdefault(current, []).append(old)
+    older = F.create_map(*[x for current, old in old_names.items() for x in (F.lit(current), F.array(*map(F.lit, old)))])
+    names = reference.select("name", "genre_id", F.lit(False).alias("old")).union(
+        reference.select(F.explode(F.try_element_at(older, F.col("name"))), "genre_id", F.lit(True))
     )
+    ids = names.groupBy("name").agg(F.min_by("genre_id", "old").alias("genre_id"))  # a name's own id comes first
+    tags = records.select("mal_id", F.posexplode("tags").alias("position", "name"))
+    return tags.join(ids, "name", "left").select("mal_id", "position", "name", "genre_id")
 
 
 def tag_links(matched: DataFrame) -> DataFrame:

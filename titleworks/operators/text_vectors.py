@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from titleworks.session import settle
+
 MAX_TERMS = 30_000
 MIN_TITLES = 2
 # Common English words (a parameter; pass another list for other texts).
@@ -59,14 +61,28 @@ def term_counts(titles: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) ->
 
 
 def vocabulary(counts: DataFrame, n_titles: int, max_terms: int = MAX_TERMS, min_titles: int = MIN_TITLES) -> DataFrame:
-    """The most used terms (ties by name) with their number and smoothed inverse frequency."""
-    kept = (
-        counts.groupBy("term")
-        .agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-        .where(F.col("df") >= min_titles)
-        .orderBy(F.desc("cf"), "term")
-        .limit(max_terms)
+    """The most used terms (ties by name) with their number and smoothed inverse frequency.
+
+    How often the last kept term is used comes from counts of counts; only terms used exactly so are sorted.
+    """
+    used = settle(
+        counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_titles), "used"
     )
+    level = F.floor(F.log2("cf") * 64)
+    room, at = max_terms, None
+    for r in used.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():  # 64 a doubling
+        if r.n > room:
+            at = r.level
+            break
+        room -= r.n
+    kept = used if at is None else used.where(level > at)
+    if at is not None:
+        for r in used.where(level == at).groupBy("cf").agg(F.count("*").alias("n")).orderBy(F.desc("cf")).collect():
+            if r.n > room:
+                last = used.where(F.col("cf") == r.cf).orderBy("term").limit(room)
+                kept = used.where(F.col("cf") > r.cf).union(last)
+                break
+            room -= r.n
     idf = F.log((1 + F.lit(n_titles)) / (1 + F.col("df"))) + 1
     # At most max_terms rows.
     number = F.row_number().over(Window.orderBy("term")) - 1
