@@ -178,10 +178,19 @@ def _directions(spark, found: Passages) -> np.ndarray:  # noqa: ANN001
         for row, value in enumerate((y.T @ y, *np.array_split(y.T @ a, max(1, terms // 64), axis=1))):
             yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([value.ravel().tolist()], pa.list_(pa.float64()))], names=["block", "value"])
 
-    sums = parts.mapInArrow(run, "block int, value array<double>").select("block", F.posexplode("value").alias("at", "v"))
-    sums = sums.groupBy("block", "at").agg(F.sum("v").alias("v")).toPandas().sort_values(["block", "at"])  # size x (size + terms) numbers
-    gram = sums[sums["block"] == 0]["v"].to_numpy().reshape(size, size)
-    cuts = [b["v"].to_numpy().reshape(size, -1) for _, b in sums[sums["block"] > 0].groupby("block")]
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[block] = total.get(block, 0.0) + value.values.to_numpy()
+        for block, value in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([value], pa.list_(pa.float64()))], names=["block", "value"])
+
+    schema = "block int, value array<double>"
+    sums = parts.mapInArrow(run, schema).repartition("block").mapInArrow(add, schema).toArrow()  # size x (size + terms) numbers
+    blocks = {k.as_py(): v.values.to_numpy() for k, v in zip(*sums.columns, strict=True)}
+    gram = blocks.pop(0).reshape(size, size)
+    cuts = [blocks[k].reshape(size, -1) for k in sorted(blocks)]
     values, vectors = np.linalg.eigh(gram)
     keep = values > values.max() * 1e-10
     q = (vectors[:, keep] / np.sqrt(values[keep])).T @ np.concatenate(cuts, axis=1)  # Q' A

@@ -8,6 +8,7 @@ average, a trained model scores a text by one number for each feature.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ GRAMS = (1, 2, 3, 4)
 KINDS = 2 + len(GRAMS)
 SIZE = (1 + len(GRAMS)) * (1 << BITS) + 64
 WIDTH = 8  # of a vector
-SAMPLE = 3000  # labelled rows that the model is fitted on, about
-EPOCHS = 12
+SAMPLE = 2400  # labelled rows that the model is fitted on, about
+STEPS = 24_000  # of gradient descent, one document each, however many documents there are
 
 
 def _recurrence(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -87,10 +88,11 @@ class Model:
         self.weights = random.normal(0, 1 / width, (2, width)).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
 
-    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.3, seed: int = 12) -> Model:
+    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = STEPS, rate: float = 0.3, seed: int = 12) -> Model:
         """Stochastic gradient descent, one document a step; each coordinate's steps shrink with the gradients it has seen."""
         random = np.random.default_rng(seed)
         seen_v, seen_w, seen_b = np.full_like(self.vectors, 1e-8), np.full_like(self.weights, 1e-8), np.full_like(self.bias, 1e-8)
+        epochs = -(-steps // len(bags))
         for epoch in range(epochs):
             step = rate * (1 - epoch / epochs)
             for i in random.permutation(len(bags)):
@@ -125,11 +127,12 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, label: str = "qu
     n = rows.count()
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, sample / max(1, n)))))
     texts = docs.select(id_.alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # about `sample` rows
-    found = _bags(texts).collect()
-    found.sort(key=lambda r: (r["doc_id"], r["label"], r["places"]))
-    bags = [(np.frombuffer(r["places"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in found]
+    found = _bags(texts).toArrow()
+    ids, marks, places, shares = found.columns
+    order = sorted(range(found.num_rows), key=lambda i: (ids[i].as_py(), marks[i].as_py(), zlib.crc32(places[i].as_buffer())))
+    bags = [(np.frombuffer(places[i].as_buffer(), np.int32), np.frombuffer(shares[i].as_buffer(), np.float32)) for i in order]
     model = Model()
-    return model.fit(bags, np.array([r["label"] for r in found])) if bags else model
+    return model.fit(bags, np.array([marks[i].as_py() for i in order])) if bags else model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
