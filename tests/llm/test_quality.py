@@ -23,7 +23,7 @@ def corpus(spark, n):
 
 
 def test_held_out_accuracy(spark):
-    rows = corpus(spark, 600)
+    rows = corpus(spark, 1800)
     docs, labels = rows.select("doc_id", "text"), rows.select("doc_id", "quality")
     held_out = remainder(F.col("doc_id"), 3) == 1
     model = quality.train(docs, labels, ~held_out)
