@@ -72,7 +72,8 @@ def _bigrams(words: Column) -> Column:
 
 
 def _features(words: Column) -> Column:
-    return F.array_distinct(F.concat(F.array_except(words, F.array(*[F.lit(w) for w in PLAIN_WORDS])), _bigrams(words)))
+    pairs = F.filter(_bigrams(words), lambda g: ~F.forall(F.split(g, " "), lambda w: w.isin(*PLAIN_WORDS)))
+    return F.array_distinct(F.concat(F.array_except(words, F.array(*[F.lit(w) for w in PLAIN_WORDS])), pairs))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
