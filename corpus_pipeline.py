@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,9 +49,28 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return in_training_order(docs.select(*COLUMNS), plan)
 
 
+def _as_read(docs: DataFrame) -> bool:
+    """Whether docs are rows of files, with nothing but columns chosen; through a join `_metadata` would be that of other files."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "SubqueryAlias"):
+        plan = plan.children().head()
+    try:
+        return plan.children().isEmpty() and bool(docs.select("_metadata.row_index").columns)
+    except AnalysisException:
+        return False
+
+
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all rows; of each row its place, number of ids and their checksum, read back from the files."""
-    return read_documents(write_token_files(docs, VOCABULARY, END_ID))
+    """Token files of all rows in the mix's order; of each row its place, number of ids and their checksum, read back from the files.
+
+    The order is that of the Parquet files which the mix was written to: files by number, rows by place in them.
+    """
+    if not _as_read(docs):
+        docs = settle(docs, "mixed")
+    name = F.col("_metadata.file_name")
+    number = lambda pattern: F.regexp_extract(name, pattern, 1).try_cast("bigint")
+    order = [number(r"^part-(\d+)"), number(r"-c(\d+)[^-]*$"), name, F.col("_metadata.row_index")]
+    return read_documents(write_token_files(docs, VOCABULARY, END_ID, order=order))
 
 
 STAGES = [

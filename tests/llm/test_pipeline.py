@@ -38,6 +38,19 @@ def test_stages(spark, tmp_path):
     assert kept["token_files"][0].asDict().keys() == {"doc_id", "start", "n_tokens", "ids_crc32", "part"}
 
 
+def test_token_files_follow_the_mix(spark, tmp_path):
+    rows = [(i, f"w{i} " * (1 + i % 7), "en", "abc"[i % 3], 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    stages = dict(corpus_pipeline.STAGES)
+    mixed = stages["mixing"](spark, docs, "")
+    expected = [r.doc_id for r in mixed.collect()]
+    assert expected != sorted(expected)
+    mixed.write.parquet(f"{tmp_path}/mix")
+    for given in (spark.read.parquet(f"{tmp_path}/mix"), mixed):
+        got = sorted(stages["token_files"](spark, given, "").collect(), key=lambda r: r.start)
+        assert [r.doc_id for r in got] == expected
+
+
 def test_awkward_documents(spark, awkward, nothing, tmp_path):
     benchmark = spark.createDataFrame([(0, "one two three four five six seven eight nine ten")], "item_id long, text string")
     spark.createDataFrame([(1, 1), (8, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")

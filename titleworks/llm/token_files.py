@@ -1,6 +1,6 @@
 """Token ids as Arrow stream files: batches of fixed-size lists, for random access without copies.
 
-A run of documents in ascending doc_id order is one stream of ids, cut into sequences of equal
+A run of documents in ascending order (of doc_id, or of given keys) is one stream of ids, cut into sequences of equal
 length. A file holds record batches of (ids: fixed_size_list, mask: fixed_size_list<bool>); the mask
 is false only behind a file's last id. Sequence k lies at a fixed place, so a trainer maps the file
 and slices. A second file beside it says where each document begins. Spark range-sorts the
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from titleworks.llm.encoder import encoder
@@ -129,11 +129,11 @@ class Reader:
         self._source.close()
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, length: int = LENGTH) -> DataFrame:
+def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, length: int = LENGTH, order: list[Column] | None = None) -> DataFrame:
     """Encode and write all documents; the manifest: one row (part, path, docs_path, n_ids, n_docs) a file.
 
-    Files hold the documents in ascending doc_id order (null first, equal ids by text), file after
-    file by `part`. Null and empty texts are the end id alone. A repeated row is written again.
+    Files hold the documents in ascending doc_id order (null first, equal ids by text), or in that of the
+    columns `order`, file after file by `part`. Null and empty texts are the end id alone. A repeated row is written again.
     Other columns are ignored; an empty table gives an empty manifest and no files. `folder` must be
     reachable from every executor; the default lies in the shared folder. Every attempt of a task writes files
     of its own, and the manifest names those of the attempt that counted, so a lost executor costs a
@@ -157,7 +157,9 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
             kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["part", "path", "docs_path", "n_ids", "n_docs"])
 
-    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keys = {f"_key_{k}": key for k, key in enumerate(order or [])}
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *[key.alias(name) for name, key in keys.items()])
+    ordered = rows.repartitionByRange(*(keys or ["doc_id"])).sortWithinPartitions(*(keys or ["doc_id", "text"])).select("doc_id", "text")
     return settle(ordered.mapInArrow(write, _MANIFEST), "manifest")
 
 
