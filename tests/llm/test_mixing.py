@@ -55,6 +55,19 @@ def test_targets_takes_and_positions(spark):
     assert sorted(map(str, again)) == sorted(map(str, plan))
 
 
+def test_small_documents_fill_what_a_long_one_leaves(spark):
+    random.seed(11)
+    rows = [(i, " ".join(["w"] * random.choice([1, 2, 5, 30, 400, 3000])), random.choice(["a", "b", "c", None, "hot", "hot"])) for i in range(240)]
+    plan = planned(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    for s in {r.source for r in plan}:
+        own = [r for r in plan if r.source == s]
+        rounds = own[0].target // own[0].source_size
+        left = [r.size for r in own if r.takes == rounds]
+        assert abs(sum(r.takes * r.size for r in own) - own[0].target) <= min(left, default=0) / 2 + 1e-6
+        due = sorted(p for r in own for p in r.positions)
+        assert len(due) == len(set(due))
+
+
 def test_positions_follow_the_schedule(spark):
     rows = [(i, "w w w w", s) for s in "abc" for i in range(len("abc") * 400)]
     plan = planned(spark.createDataFrame(rows, "doc_id long, text string, source string"))

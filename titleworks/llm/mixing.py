@@ -74,13 +74,46 @@ def sources_of(entries: DataFrame) -> DataFrame:
     return entries.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("entries"))
 
 
+def _earlier_words(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows (source, interval, words, ...) with `earlier`: the words of the source's rows before, by interval and then `order`."""
+    sums = rows.groupBy("source", "interval").agg(F.sum("words").alias("sum"))
+    before = W.partitionBy("source").orderBy("interval").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(F.col("source").alias("s"), F.col("interval").alias("i"), F.coalesce(F.sum("sum").over(before), _none()).alias("before"))
+    inside = W.partitionBy("source", "interval").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("interval") == F.col("i"))).drop("s", "i")
+    return rows.withColumn("earlier", F.col("before") + F.coalesce(F.sum("words").over(inside), _none())).drop("before")
+
+
+def _fill(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(s, at, begin) of the documents behind the prefix that fit, by source and `start`, and (s, filled) of every source.
+
+    A round takes, of the documents no larger than a source's gap, again the prefix in hash order, until none
+    fits anywhere. What is too large stays too large, so rounds shrink, and about halve the gap.
+    """
+    filled = rows.groupBy(F.col("source").alias("s")).agg(F.coalesce(F.max(F.when(F.col("fits"), F.col("start") + F.col("words"))), _none()).alias("filled"))
+    left = rows.where(~F.col("fits") & (F.col("words") > 0)).select("source", "start", "words", "rest", "source_size", "entries")
+    more = None
+    while True:
+        able = left.join(filled, F.col("source").eqNullSafe(F.col("s"))).drop("s").where(F.col("words") <= F.col("rest") - F.col("filled"))
+        able = able.withColumn("interval", F.floor(F.col("start") / F.col("source_size") * F.ceil(F.sqrt("entries"))))
+        able = _earlier_words(able, ["start"]).withColumn("begin", F.col("filled") + F.col("earlier"))
+        able = settle(able.withColumn("fits", F.col("begin") + F.col("words") <= F.col("rest")).drop("filled", "interval", "earlier"), "gaps")
+        got = able.where("fits").select(F.col("source").alias("s"), F.col("start").alias("at"), "begin", (F.col("begin") + F.col("words")).alias("end"))
+        more = got.drop("end") if more is None else more.union(got.drop("end"))
+        if got.isEmpty():
+            return more, filled
+        ends = got.groupBy(F.col("s").alias("t")).agg(F.max("end").alias("end"))
+        filled = settle(filled.join(ends, F.col("s").eqNullSafe(F.col("t")), "left").select("s", F.coalesce("end", "filled").alias("filled")), "filled")
+        left = able.where(~F.col("fits")).drop("begin", "fits")
+
+
 def mix(entries: DataFrame, targeted: DataFrame) -> DataFrame:
     """One row for each of sizes(): doc_id, source, size, copies, source_size, target, takes and positions.
 
     `targeted` comes from targets() over sources_of(). A source is taken whole as often as its target
-    allows; of the last round come documents in hash order while they fit, then the one document
+    allows; of the last round come documents in hash order, each that still fits, then the one document
     whose size is closest to what is still missing, if it brings the sum nearer. So taken words miss the target
-    by less than half of any document left over; nothing is cut. `positions` has one training time, 0 to 1,
+    by no more than half of the smallest document left over; nothing is cut. `positions` has one training time, 0 to 1,
     for each take. A source's stream is summed up by about the square root of its documents at a time, in
     hash intervals, so a source with a third of all rows is many small groups. Documents without words
     take no words; rows equal in doc_id, source and size are taken together; reruns give the same rows.
@@ -91,25 +124,21 @@ def mix(entries: DataFrame, targeted: DataFrame) -> DataFrame:
     place = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "size"), 11) * F.lit(2.0**-53)
     groups = F.ceil(F.sqrt("entries"))
     rows = rows.withColumns({"words": F.col("size") * F.col("copies"), "place": place, "interval": F.least(F.floor(place * groups), groups - 1)})
-    sums = rows.groupBy("source", "interval").agg(F.sum("words").alias("sum"))
-    earlier = W.partitionBy("source").orderBy("interval").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("s"), F.col("interval").alias("i"), F.coalesce(F.sum("sum").over(earlier), _none()).alias("before"))
-    inside = W.partitionBy("source", "interval").orderBy("place", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("interval") == F.col("i"))).drop("s", "i")
-    rows = rows.withColumn("start", F.col("before") + F.coalesce(F.sum("words").over(inside), _none()))
+    rows = _earlier_words(rows, ["place", "doc_id", "size"]).withColumnRenamed("earlier", "start")
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(_none())
     rows = rows.withColumn("rounds", rounds).withColumn("rest", F.col("target") - F.col("rounds") * F.col("source_size"))
-    rows = settle(rows.withColumn("fits", F.col("start") + F.col("words") <= F.col("rest")).drop("before", "interval", "place", "entries"), "streams")
-    filled = rows.groupBy(F.col("source").alias("s")).agg(F.coalesce(F.max(F.when(F.col("fits"), F.col("start") + F.col("words"))), _none()).alias("filled"))
+    rows = settle(rows.withColumn("fits", F.col("start") + F.col("words") <= F.col("rest")).drop("interval", "place"), "streams")
+    more, filled = _fill(rows)
     rows = rows.join(filled, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rows = rows.join(more, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("at")) & (F.col("words") > 0), "left").drop("s", "at")
     gap = F.col("rest") - F.col("filled")
     off = F.abs(F.col("words") - gap)
-    able = ~F.col("fits") & (F.col("words") > 0) & (off < gap)
+    able = ~F.col("fits") & F.col("begin").isNull() & (F.col("words") > 0) & (off < gap)
     last = rows.where(able).groupBy(F.col("source").alias("s")).agg(F.min(F.struct(off.alias("off"), "start")).alias("best")).select("s", F.col("best.start").alias("last"))
     rows = rows.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     extra = able & (F.col("start") == F.coalesce("last", F.lit(-1)))
-    rows = rows.withColumns({"extra": extra, "takes": F.col("rounds") + F.when(F.col("fits") | extra, 1).otherwise(0)})
-    begin = F.when(F.col("extra"), F.col("filled")).otherwise(F.col("start")) + F.col("words") / 2
+    rows = rows.withColumns({"extra": extra, "takes": F.col("rounds") + F.when(F.col("fits") | F.col("begin").isNotNull() | extra, 1).otherwise(0)})
+    begin = F.when(F.col("extra"), F.col("filled")).otherwise(F.coalesce("begin", "start")) + F.col("words") / 2
     due = lambda k: _when_due(F.least(F.lit(1.0), F.coalesce((k * F.col("source_size") + F.when(k < F.col("rounds"), F.col("start") + F.col("words") / 2).otherwise(begin)) / F.nullif(F.col("target"), F.lit(0.0)), F.lit(0.0))))
     positions = F.when(F.col("takes") > 0, F.transform(F.sequence(_none(), F.col("takes") - 1), due)).otherwise(F.array().cast("array<double>"))
     return rows.select("doc_id", "source", "size", "copies", "source_size", "target", "takes", positions.alias("positions"))
