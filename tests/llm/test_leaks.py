@@ -66,3 +66,25 @@ def test_awkward_documents(spark, awkward, nothing):
 def test_a_long_item_is_several_passages():
     found = passages_of([(3, " ".join(f"w{i}" for i in range(130))), (4, None), (5, "a b")])
     assert [(i, len(w)) for i, w in found] == [(3, 44), (3, 43), (3, 43), (5, 2)]
+
+
+def test_copies_are_found_whatever_their_words_weigh(spark):
+    random.seed(21)
+    common = ["the", "of", "and", "to", "in", "it", "is", "was", "for", "on"]
+    ordinary = [[random.choice(common) for _ in range(n)] for n in (8, 11, 14, 20)]
+    hot = [["hot", *prose(18)], ["warm", *prose(33)]]
+    items = ordinary + hot + [prose(30) for _ in range(40)]
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    for n in (200, 2000):
+        rows, expected = [], set()
+        for i in range(n):
+            text = ["".join(random.choices("klmnopqrst", k=6)) if random.random() < 0.6 else random.choice(common) for _ in range(90)]
+            k = len(ordinary) + i // 3 % len(hot) if i % 3 == 0 else i % len(ordinary) if i % 10 == 1 else None
+            if k is not None:
+                at = random.randrange(len(text))
+                text[at:at] = items[k]
+                expected.add((i, k))
+            rows.append((i, " ".join(text)))
+        found = find_leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), benchmark).collect()
+        assert {(r.doc_id, x.item_id) for r in found for x in r.leaks} >= expected
+        assert all(x.cosine > 0 for r in found for x in r.leaks)

@@ -2,7 +2,8 @@
 
 Benchmark passages are TF-IDF vectors, with document frequencies over all passages of the corpus. A
 distributed randomised SVD of their matrix gives a latent space; every window of every document is
-projected into it, and windows whose cosine with a passage is high are candidates. A candidate is a
+projected into it, and windows whose cosine with a passage is high are candidates. So are, whatever their
+words weigh, places that have a run of RUN words with a passage in common. A candidate is a
 leak if the longest common subsequence of its words with the passage's is long, or, for a paraphrase,
 fair and holds the passage's answer, its last words.
 """
@@ -31,6 +32,7 @@ COPIED = 0.8  # of a passage's words in order: a copy
 RETOLD = 0.5  # the same of its telling words for a paraphrase, if ANSWERED of the answer is there, too
 ANSWER, ANSWERED = 8, 0.75
 SHORT = 8  # words; a passage with fewer must be there as it is
+RUN = 6  # words of a longer passage one after the other: a candidate
 ITEMS = 5000  # benchmark items searched for in one pass over the documents, in several spaces; more take more passes
 
 _LEAKS = "array<struct<item_id:bigint,common:int,words:int,cosine:double>>"
@@ -80,9 +82,29 @@ class Passages:
         for k, words in enumerate(self.words):
             if len(words) < SHORT:
                 self.short.setdefault(len(words), {}).setdefault(int(_runs(words, len(words))[0]), []).append(k)
+        self._index_runs()
         self.answers = [w[-min(ANSWER, max(1, len(w) // 4)) :] for w in self.words]
         self.answer_masks = [self._places(w) for w in self.answers]
 
+    def _index_runs(self) -> None:
+        """Every run of RUN words of the passages that are not short: sorted hashes, and beside them the passages and places."""
+        long = [k for k, w in enumerate(self.words) if len(w) >= SHORT]
+        hashes = [_runs(self.words[k], RUN) for k in long]
+        run = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+        passage = np.repeat(np.array(long, np.int64), [len(h) for h in hashes])
+        place = np.concatenate([*[np.arange(len(h)) for h in hashes], np.zeros(0, np.int64)])
+        order = np.argsort(run, kind="stable")
+        self.runs, self.run_passage, self.run_place = run[order], passage[order], place[order]
+        self.near_runs = np.zeros(1 << 20, bool)
+        self.near_runs[run >> np.uint64(44)] = True
+
+    def cosine(self, words: np.ndarray, k: int) -> float:
+        """Of a window's words with a passage."""
+        term = self.term_of(words)
+        known = term[term >= 0]
+        full = (self.idf[known] ** 2).sum() + (len(term) - len(known)) * self.other**2
+        return float(self.pull[known].sum(axis=0) @ self.seek[k] / np.sqrt(max(full, 1e-9)))
+
     @staticmethod
     def _places(words: np.ndarray) -> dict[int, int]:
         places: dict[int, int] = {}
@@ -238,6 +260,28 @@ def _short(hashes: np.ndarray, rows: np.ndarray, own: Passages) -> Iterator[tupl
                     yield row, start, k, 1.0
 
 
+def _same_runs(hashes: np.ndarray, rows: np.ndarray, runs: np.ndarray, own: Passages) -> Iterator[tuple[int, int, int, None]]:
+    """The same for places that have a run of words with a passage in common, one for each unbroken stretch; the cosine is left open.
+
+    The place is where the passage would begin, which may be before the document does.
+    """
+    maybe = np.flatnonzero(own.near_runs[runs >> np.uint64(44)])
+    row = np.searchsorted(rows, maybe, "right") - 1
+    inside = maybe + RUN <= rows[row + 1]
+    maybe, row = maybe[inside], row[inside]
+    low, high = np.searchsorted(own.runs, runs[maybe]), np.searchsorted(own.runs, runs[maybe], "right")
+    n = high - low
+    at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    place, row, k = np.repeat(maybe, n), np.repeat(row, n), own.run_passage[at]
+    begin = place - own.run_place[at]
+    order = np.lexsort((place, begin, k, row))
+    place, row, k, begin = place[order], row[order], k[order], begin[order]
+    first = np.ones(len(place), bool)
+    first[1:] = (np.diff(row) != 0) | (np.diff(k) != 0) | (np.diff(begin) != 0) | (np.diff(place) != 1)
+    for i in np.flatnonzero(first).tolist():
+        yield int(row[i]), int(begin[i]), int(k[i]), None
+
+
 def _telling(own: Passages, k: int, words: list[int]) -> int:
     """How many of a passage's telling words are there in order."""
     size = len(own.words[k])
@@ -275,12 +319,15 @@ def _search(docs: DataFrame, spaces: list[Passages]) -> DataFrame:
             leaks: list[dict[tuple, dict]] = [{} for _ in range(batch.num_rows)]
             for low, high in pieces(at):
                 hashes, rows = word_hashes(data[at[low] : at[high]], at[low : high + 1] - at[low], bare=True)
-                for own, row, start, k, cosine in ((own, *c) for own in shared.value for way in (_short, _windows) for c in way(hashes, rows, own)):
+                runs = _runs(hashes, RUN)
+                for own, row, start, k, cosine in ((own, *c) for own in shared.value for way in (_short(hashes, rows, own), _windows(hashes, rows, own), _same_runs(hashes, rows, runs, own)) for c in way):
                     size = len(own.words[k])
                     held = leaks[low + row].get((own.item[k],))
-                    if held and held["cosine"] >= cosine and held["common"] >= COPIED * size:
+                    if held and (cosine is None or held["cosine"] >= cosine) and held["common"] >= COPIED * size:
                         continue
                     common = _checked(hashes, max(rows[row], start - size), min(rows[row + 1], start + WINDOW + size), own, k)
+                    if common and cosine is None:
+                        cosine = own.cosine(hashes[max(rows[row], start) : min(rows[row + 1], start + WINDOW)], k)
                     if common and (held is None or (common, cosine) > (held["common"], held["cosine"])):
                         leaks[low + row][own.item[k],] = {"item_id": own.item[k], "common": common, "words": size, "cosine": cosine}
             found_ = [sorted(x.values(), key=lambda y: (y["item_id"] is None, y["item_id"])) for x in leaks]
