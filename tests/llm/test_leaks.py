@@ -88,3 +88,23 @@ def test_copies_are_found_whatever_their_words_weigh(spark):
         found = find_leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), benchmark).collect()
         assert {(r.doc_id, x.item_id) for r in found for x in r.leaks} >= expected
         assert all(x.cosine > 0 for r in found for x in r.leaks)
+
+
+def test_copies_across_the_cuts_of_long_items(spark):
+    random.seed(22)
+    items = [[f"{a}{k}" for k, a in enumerate(prose(n))] for n in (64, 128, 128, 300)]
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    copies = [(0, 0, 51), (0, 13, 64), (1, 33, 115)]
+    copies += [(3, cut - before, cut - before + 82) for cut in (60, 120, 180, 240) for before in (10, 31, 41, 60)]
+    copies += [(2, at, at + 50) for at in range(0, 79, 6)]
+    edited = [(3, at, at + 82) for at in range(5, 210, 13)]
+    rows = []
+    for i, (k, low, high) in enumerate(copies + edited):
+        words = items[k][low:high]
+        if i >= len(copies):
+            words = [w if j % 12 else f"other{j}" for j, w in enumerate(words)]
+        rows.append((i, " ".join([*prose(20), *words, *prose(100)])))
+    rows += [(1000 + k, " ".join([*prose(20), *w[10:30], *prose(100), *w[40:55], *prose(50)])) for k, w in enumerate(items)]
+    found = find_leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), benchmark).collect()
+    assert {(r.doc_id, x.item_id) for r in found for x in r.leaks} == {(i, k) for i, (k, _, _) in enumerate(copies + edited)}
+    assert all(0 < x.common <= x.words for r in found for x in r.leaks)

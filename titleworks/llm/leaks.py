@@ -32,6 +32,7 @@ COPIED = 0.8  # of a passage's words in order: a copy
 RETOLD = 0.5  # the same of its telling words for a paraphrase, if ANSWERED of the answer is there, too
 ANSWER, ANSWERED = 8, 0.75
 SHORT = 8  # words; a passage with fewer must be there as it is
+LONG = 50  # words of an item one after the other: a copy, however much more the item has
 RUN = 6  # words of a longer passage one after the other: a candidate
 ITEMS = 5000  # benchmark items searched for in one pass over the documents, in several spaces; more take more passes
 
@@ -68,11 +69,24 @@ def passages_of(items: list[tuple[int | None, str | None]]) -> list[tuple[int |
     return out
 
 
+def overlapping(items: list[tuple[int | None, str | None]]) -> list[tuple[int | None, np.ndarray, np.ndarray, int]]:
+    """(item, words' hashes, those of the whole item, place in it) of the passages searched for: those of a long item begin every quarter of a passage."""
+    out = []
+    for item in items:
+        parts = [words for _, words in passages_of([item])]
+        if not parts:
+            continue
+        whole, size = np.concatenate(parts), len(parts[0])
+        starts = [*range(0, len(whole) - size, max(1, size // 4)), len(whole) - size]
+        out += [(item[0], whole[at : at + size], whole, at) for at in starts]
+    return out
+
+
 class Passages:
     """Passages of one latent space: words, weights, and what the space makes of them."""
 
-    def __init__(self, passages: list[tuple[int | None, np.ndarray]]) -> None:
-        self.item, self.words = [i for i, _ in passages], [w for _, w in passages]
+    def __init__(self, passages: list[tuple[int | None, np.ndarray, np.ndarray, int]]) -> None:
+        self.item, self.words, self.whole, self.at = ([p[k] for p in passages] for k in range(4))
         whole = np.concatenate([*self.words, np.zeros(0, np.uint64)])
         self.terms = np.unique(whole)
         self._near = np.zeros(1 << 20, bool)
@@ -260,10 +274,10 @@ def _short(hashes: np.ndarray, rows: np.ndarray, own: Passages) -> Iterator[tupl
                     yield row, start, k, 1.0
 
 
-def _same_runs(hashes: np.ndarray, rows: np.ndarray, runs: np.ndarray, own: Passages) -> Iterator[tuple[int, int, int, None]]:
+def _same_runs(hashes: np.ndarray, rows: np.ndarray, runs: np.ndarray, own: Passages) -> Iterator[tuple[int, int, int, None, int]]:
     """The same for places that have a run of words with a passage in common, one for each unbroken stretch; the cosine is left open.
 
-    The place is where the passage would begin, which may be before the document does.
+    The place is where the passage would begin, which may be before the document does; last comes that of the run.
     """
     maybe = np.flatnonzero(own.near_runs[runs >> np.uint64(44)])
     row = np.searchsorted(rows, maybe, "right") - 1
@@ -279,7 +293,15 @@ def _same_runs(hashes: np.ndarray, rows: np.ndarray, runs: np.ndarray, own: Pass
     first = np.ones(len(place), bool)
     first[1:] = (np.diff(row) != 0) | (np.diff(k) != 0) | (np.diff(begin) != 0) | (np.diff(place) != 1)
     for i in np.flatnonzero(first).tolist():
-        yield int(row[i]), int(begin[i]), int(k[i]), None
+        yield int(row[i]), int(begin[i]), int(k[i]), None, int(place[i])
+
+
+def _run_around(hashes: np.ndarray, low: int, high: int, place: int, item: np.ndarray, at: int) -> int:
+    """Words of the unbroken run around `place` that a document's words, low to high, share with the item's around `at`."""
+    ahead, back = min(high - place, len(item) - at), min(place - low, at)
+    after = np.flatnonzero(hashes[place : place + ahead] != item[at : at + ahead])
+    before = np.flatnonzero((hashes[place - back : place] != item[at - back : at])[::-1])
+    return int(after[0] if len(after) else ahead) + int(before[0] if len(before) else back)
 
 
 def _telling(own: Passages, k: int, words: list[int]) -> int:
@@ -320,12 +342,14 @@ def _search(docs: DataFrame, spaces: list[Passages]) -> DataFrame:
             for low, high in pieces(at):
                 hashes, rows = word_hashes(data[at[low] : at[high]], at[low : high + 1] - at[low], bare=True)
                 runs = _runs(hashes, RUN)
-                for own, row, start, k, cosine in ((own, *c) for own in shared.value for way in (_short(hashes, rows, own), _windows(hashes, rows, own), _same_runs(hashes, rows, runs, own)) for c in way):
+                for own, row, start, k, cosine, *run in ((own, *c) for own in shared.value for way in (_short(hashes, rows, own), _windows(hashes, rows, own), _same_runs(hashes, rows, runs, own)) for c in way):
                     size = len(own.words[k])
                     held = leaks[low + row].get((own.item[k],))
                     if held and (cosine is None or held["cosine"] >= cosine) and held["common"] >= COPIED * size:
                         continue
                     common = _checked(hashes, max(rows[row], start - size), min(rows[row + 1], start + WINDOW + size), own, k)
+                    if run and not common and _run_around(hashes, rows[row], rows[row + 1], *run, own.whole[k], own.at[k] + run[0] - start) >= LONG:
+                        common = common_subsequence(own.masks[k], size, hashes[max(rows[row], start) : min(rows[row + 1], start + size)].tolist())
                     if common and cosine is None:
                         cosine = own.cosine(hashes[max(rows[row], start) : min(rows[row + 1], start + WINDOW)], k)
                     if common and (held is None or (common, cosine) > (held["common"], held["cosine"])):
@@ -341,7 +365,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Each leak has the item, the words in common with its best passage, that passage's words, and the
     cosine. Whole texts are searched, whole items are searched for. Items are passages of up to PASSAGE
-    words; one passage found is a leak. Letter case and ASCII punctuation behind words do not count. Null
+    words, which overlap in longer items; one passage found, or LONG words of an item one after the other, is a leak. Letter case and ASCII punctuation behind words do not count. Null
     and empty texts leak nothing, null and empty items are found nowhere. Repeated rows are judged alike, repeated
     item ids are one item; a column `leaks` is replaced. Benchmarks of more than ITEMS items take a
     pass over the documents for each block of as many, so what tasks hold is bounded. Nothing is shuffled but
@@ -354,7 +378,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     all_leaks = F.array().cast(_LEAKS)
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        passages = passages_of([(r["item_id"], r["text"]) for r in rows])
+        passages = overlapping([(r["item_id"], r["text"]) for r in rows])
         if not passages:
             continue
         spaces = [Passages(passages[low : low + SPACE]) for low in range(0, len(passages), SPACE)]
