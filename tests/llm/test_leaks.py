@@ -1,7 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 from titleworks.llm import leaks
-from titleworks.llm.leaks import common_subsequence, find_leaks, passages_of
+from titleworks.llm.leaks import common_subsequence, find_leaks, overlapping, passages_of
 
 
 def longest(a, b):
@@ -108,3 +110,18 @@ def test_copies_across_the_cuts_of_long_items(spark):
     found = find_leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), benchmark).collect()
     assert {(r.doc_id, x.item_id) for r in found for x in r.leaks} == {(i, k) for i, (k, _, _) in enumerate(copies + edited)}
     assert all(0 < x.common <= x.words for r in found for x in r.leaks)
+
+
+def test_blocks_are_bounded_by_passages(spark, monkeypatch):
+    lengths = [0, 1, 7, 8, 63, 64, 65, 66, 128, 129, 700, 2000]
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(n))) for k, n in enumerate(lengths)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    made = {r.item_id: r.n for r in benchmark.select("item_id", leaks._passage_count(F.size(F.filter(F.split("text", " "), lambda w: w != ""))).alias("n")).collect()}
+    assert made == {i: len(overlapping([(i, t)])) for i, t in items}
+    monkeypatch.setattr(leaks, "PASSAGES", 100)
+    held = []
+    monkeypatch.setattr(leaks, "_search", lambda docs, spaces, search=leaks._search: held.append(sum(len(s.words) for s in spaces)) or search(docs, spaces))
+    docs = spark.createDataFrame([(i, "a b " + t[:400] + " c") for i, t in items], "doc_id long, text string")
+    found = {r.doc_id: [x.item_id for x in r.leaks] for r in find_leaks(docs, benchmark).collect()}
+    assert len(held) > 1 and sum(held) == sum(made.values())
+    assert all(found[i] == [i] for i, t in items if t)

@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from titleworks.llm.text import flat, mixed, pieces, word_hashes
+from titleworks.llm.text import flat, mixed, pieces, word_count, word_hashes
 
 SPACE = 240  # passages of one latent space at most
 RANK = 240  # of it
@@ -34,7 +34,7 @@ ANSWER, ANSWERED = 8, 0.75
 SHORT = 8  # words; a passage with fewer must be there as it is
 LONG = 50  # words of an item one after the other: a copy, however much more the item has
 RUN = 6  # words of a longer passage one after the other: a candidate
-ITEMS = 5000  # benchmark items searched for in one pass over the documents, in several spaces; more take more passes
+PASSAGES = 5000  # searched for in one pass over the documents, in several spaces; more take more passes
 
 _LEAKS = "array<struct<item_id:bigint,common:int,words:int,cosine:double>>"
 
@@ -82,6 +82,12 @@ def overlapping(items: list[tuple[int | None, str | None]]) -> list[tuple[int |
     return out
 
 
+def _passage_count(words: Column) -> Column:
+    """How many passages overlapping() makes of an item of so many words."""
+    size = F.ceil(words / F.greatest(F.ceil(words / PASSAGE), F.lit(1)))
+    return F.when(words == 0, 0).otherwise(1 + F.ceil((words - size) / F.greatest(F.floor(size / 4), F.lit(1)))).cast("bigint")
+
+
 class Passages:
     """Passages of one latent space: words, weights, and what the space makes of them."""
 
@@ -332,7 +338,7 @@ def _search(docs: DataFrame, spaces: list[Passages]) -> DataFrame:
     """docs with `leaks` for one block of the benchmark."""
     place = docs.columns.index("text")
     schema = docs.withColumn("leaks", F.lit(None).cast(_LEAKS)).schema
-    shared = docs.sparkSession.sparkContext.broadcast(spaces)  # ITEMS bounds it
+    shared = docs.sparkSession.sparkContext.broadcast(spaces)  # PASSAGES bounds it, or one item's
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("common", pa.int32()), ("words", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,14 +373,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     cosine. Whole texts are searched, whole items are searched for. Items are passages of up to PASSAGE
     words, which overlap in longer items; one passage found, or LONG words of an item one after the other, is a leak. Letter case and ASCII punctuation behind words do not count. Null
     and empty texts leak nothing, null and empty items are found nowhere. Repeated rows are judged alike, repeated
-    item ids are one item; a column `leaks` is replaced. Benchmarks of more than ITEMS items take a
-    pass over the documents for each block of as many, so what tasks hold is bounded. Nothing is shuffled but
-    counts of benchmark words.
+    item ids are one item; a column `leaks` is replaced. Benchmarks of more than PASSAGES passages take a
+    pass over the documents for each block of whole items with as many, so what tasks hold is bounded, but by the
+    longest item. Nothing is shuffled but counts of benchmark words.
     """
     spark = docs.sparkSession
     out = docs.drop("leaks")
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text IS NOT NULL")
-    blocks = max(1, -(-items.count() // (ITEMS * 4 // 5)))
+    blocks = max(1, -(-(items.agg(F.sum(_passage_count(word_count(F.col("text"))))).first()[0] or 0) // (PASSAGES * 4 // 5)))
     all_leaks = F.array().cast(_LEAKS)
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
