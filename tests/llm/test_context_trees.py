@@ -102,6 +102,29 @@ def test_base_and_scores_of_a_corpus(spark, monkeypatch):
     assert sorted(map(str, score(docs, training).collect())) == sorted(map(str, score(docs, training).collect()))
 
 
+def test_all_contexts_seen_often_enough_have_nodes(spark):
+    random.seed(9)
+    texts = ["".join(random.choices("abcdefghijklmnopé ", k=400)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for least in (1, 3):
+        seen = Counter()
+        for text in texts[:50]:
+            data = b"\0" * DEPTH + text.encode() + b"\0"
+            for i in range(DEPTH, len(data)):
+                seen.update((d, sum(data[i - k - 1] << 8 * k for k in range(d)), data[i]) for d in range(DEPTH + 1))
+        often = Counter()
+        for (d, context, _), n in seen.items():
+            often[d, context] += n
+        rows = [(*k, n) for k, n in seen.items() if often[k[:2]] >= least]
+        assert least > 1 or max(Counter(d for d, _ in often).values()) > 8192
+        model = Model(*(np.array(x, np.int64) for x in zip(*rows, strict=True)))
+        for codes in (1 << 20, 50):  # with few held codes most are joined
+            got = {r.doc_id: r.score for r in score(docs, F.col("doc_id") < 50, least=least, codes=codes).collect()}
+            for i, text in enumerate(texts):
+                data = text.encode()
+                assert got[i] == pytest.approx(model.scores(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0], rel=1e-4)
+
+
 def test_awkward_documents(awkward, nothing):
     rows = score(awkward, F.lit(True)).collect()
     assert len(rows) == 12 and sum(r.n_tokens == 1 for r in rows) == 4
