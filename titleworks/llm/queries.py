@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from titleworks.llm import quality
 from titleworks.llm.context_trees import score
+from titleworks.llm.divergence import divergence
 from titleworks.llm.exact_copies import exact_copies
+from titleworks.llm.filter_audit import filter_audit
 from titleworks.llm.leaks import find_leaks
 from titleworks.llm.lengths import encoded_lengths, length_table
 from titleworks.llm.licences import licences
@@ -168,3 +170,68 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_licences"] = op5_licences
+
+
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op11_divergence"] = op11_divergence
+ORACLES["op11_divergence"] = rf"""
+WITH docs AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS row, {_FOLD} AS folded FROM documents),
+words AS (SELECT lang, source, row, unnest(regexp_extract_all(folded, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+per_doc AS (SELECT lang, source, row, term, count(*) AS n FROM words GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS all_n FROM per_doc GROUP BY ALL HAVING count(*) >= 30),
+found AS (SELECT lang, source, term, sum(n) AS n FROM per_doc GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (
+  SELECT g.lang, g.source, k.term, coalesce(f.n, 0) AS n, k.all_n
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN found f ON f.lang = g.lang AND f.source = g.source AND f.term = k.term),
+shares AS (
+  SELECT lang, source, term, n,
+    1 + (1000000000::HUGEINT * (n + 5)::HUGEINT) // (sum(n) OVER own + 5 * count(*) OVER own)::HUGEINT AS p,
+    1 + (1000000000::HUGEINT * (all_n + 5)::HUGEINT) // (sum(all_n) OVER own + 5 * count(*) OVER own)::HUGEINT AS q
+  FROM counts WINDOW own AS (PARTITION BY lang, source)),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL),
+valued AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM valued)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES["op12_filter_audit"] = op12_filter_audit
+ORACLES["op12_filter_audit"] = rf"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}+'), lambda x: x <> '') AS w
+  FROM documents),
+marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    if(len(w) < 200, 1, 0) + if(100 * len(list_distinct(w)) < 50 * len(w), 2, 0) + if(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), 4, 0)
+    + if(regexp_matches(t, '[#$%&*|]'), 8, 0) + if(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false), 16, 0) AS bits
+  FROM docs LEFT JOIN marks USING (doc_id)),
+cells AS (SELECT part, bits, good, toxic, count(*) AS n FROM judged GROUP BY ALL),
+letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders(filter_order, total, step, bit, before) AS (
+  SELECT letter, bit, 1, bit, 0 FROM letters
+  UNION ALL SELECT o.filter_order || l.letter, o.total + l.bit, o.step + 1, l.bit, o.total FROM orders o JOIN letters l ON o.total & l.bit = 0),
+steps AS (SELECT f.filter_order, o.step, o.bit, o.before FROM orders f JOIN orders o ON starts_with(f.filter_order, o.filter_order) WHERE f.step = 5),
+counts AS (
+  SELECT part, filter_order, step, bit,
+    sum(n) FILTER (bits & (bit | before) = 0) AS kept, sum(n) FILTER (bits & bit > 0 AND bits & before = 0) AS removed,
+    sum(n) FILTER (bits & bit > 0 AND bits & before > 0) AS redundant, sum(n) FILTER (bits = bit) AS unique_fails,
+    sum(n) FILTER (bits & bit > 0 AND bits & before = 0 AND good) AS good_lost, sum(n) FILTER (bits & bit > 0 AND bits & before = 0 AND toxic) AS toxic_lost
+  FROM cells JOIN steps ON true GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+FROM counts
+"""
