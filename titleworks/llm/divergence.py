@@ -27,7 +27,8 @@ SCALE = 1_000_000_000
 TERM_RANKS = 50
 BLOCK = 1 << 14  # terms of a block, about
 TILE = 64  # groups of a tile, about; tiles meet in pairs
-HELD_TERMS = 200_000  # entries that a task holds before it gives its counts away
+HELD_TERMS = 1 << 19  # entries that a task holds before it gives its counts away (about 130 MB)
+BROADCAST_ROWS = 50_000  # rows about languages or groups that are broadcast (a few MB); more are joined by a shuffle
 _CELLS = 1 << 21  # words that are ANDed at once
 
 _TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")  # on UTF-8: bytes of other characters are all above 7F
@@ -62,6 +63,11 @@ def _tasks_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint")
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it is small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def share(count: Column, total: Column, terms: Column) -> Column:
     """p of a count: 1 + floor(SCALE * (count + SMOOTHING) / (total + SMOOTHING * terms)), exactly; null without terms."""
     wide = lambda c: c.cast("decimal(20,0)")
@@ -82,8 +88,8 @@ def kept_counts(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> tuple[DataFram
     kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all_n")).where(F.col("docs") >= least).drop("docs")
     kept = settle(kept, "kept")
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("all_n").alias("all_total"))
-    langs = langs.withColumn("blocks", F.ceil(F.col("terms") / BLOCK).cast("int"))
-    numbered = kept.join(langs.select("lang", "blocks"), "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int")).drop("blocks")
+    langs = settle(langs.withColumn("blocks", F.ceil(F.col("terms") / BLOCK).cast("int")), "languages")
+    numbered = kept.join(_small(langs.select("lang", "blocks")), "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int")).drop("blocks")
     place = F.row_number().over(Window.partitionBy("lang", "block").orderBy("term")) - 1
     numbered = settle(numbered.withColumn("place", place), "numbered")
     found = settle(counts.drop("docs").join(numbered, ["lang", "term"]), "kept-counts")
@@ -101,7 +107,7 @@ def bitmaps(found: DataFrame, groups: DataFrame) -> DataFrame:
 
     p holds the share of each level (a count that occurs); bitset words that are not zero follow as (level, word number, 64 bits).
     """
-    rows = found.join(groups.select(*_GROUP, "total", "terms"), _GROUP)
+    rows = found.join(_small(groups.select(*_GROUP, "total", "terms")), _GROUP)
     rows = rows.select(*_GROUP, "block", share(F.col("n"), F.col("total"), F.col("terms")).alias("p"), F.floor(F.col("place") / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("place", F.lit(64)).cast("int")).alias("bit"))
     words = rows.groupBy(*_GROUP, "block", "p", "word").agg(F.bit_or("bit").alias("bits"))
 
@@ -181,7 +187,7 @@ def pair_values(found: DataFrame, groups: DataFrame) -> DataFrame:
 
 def term_values(found: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, item, value) for every kept term that a group has and that is more frequent there than in the language."""
-    rows = found.join(groups.select(*_GROUP, "total", "terms", "all_total"), _GROUP)
+    rows = found.join(_small(groups.select(*_GROUP, "total", "terms", "all_total")), _GROUP)
     value = share(F.col("n"), F.col("total"), F.col("terms")) - share(F.col("all_n"), F.col("all_total"), F.col("terms"))
     return rows.select(*_GROUP, F.col("term").alias("item"), value.alias("value")).where("value > 0")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from titleworks.llm import quality
+from titleworks.llm import quality, toxicity
 from titleworks.llm.context_trees import score
 from titleworks.llm.divergence import divergence
 from titleworks.llm.exact_copies import exact_copies
@@ -235,3 +235,13 @@ SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(rem
   coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
 FROM counts
 """
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels"), ~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES["op13_toxicity"] = op13_toxicity
