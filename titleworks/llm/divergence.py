@@ -9,8 +9,6 @@ no term is ever looked up for a pair. All sums are of integers.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from titleworks.llm.text import flat
+from titleworks.llm.text import flat, pieces
 from titleworks.session import settle
 
 LEAST_DOCUMENTS = 30
@@ -27,38 +25,74 @@ SCALE = 1_000_000_000
 TERM_RANKS = 50
 BLOCK = 1 << 14  # terms of a block, about
 TILE = 64  # groups of a tile, about; tiles meet in pairs
-HELD_TERMS = 1 << 19  # entries that a task holds before it gives its counts away (about 130 MB)
+HELD_TERMS = 1 << 19  # entries that a task holds before it gives its counts away (about 20 MB; twice that while they are added)
 BROADCAST_ROWS = 50_000  # rows about languages or groups that are broadcast (a few MB); more are joined by a shuffle
+_BATCH = 50_000
 _CELLS = 1 << 21  # words that are ANDed at once
 
-_TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")  # on UTF-8: bytes of other characters are all above 7F
-_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_IN_TERM = np.zeros(256, bool)  # letters, and on UTF-8 the bytes of all characters above 7F
+_IN_TERM[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[65:91] += 32
 _GROUP = ["lang", "source"]
 
 
+def terms_of(data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """All terms of texts given as bytes and offsets, and the text of each."""
+    inside = _IN_TERM[data]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    bounds = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(data))]  # where one text ends and another begins
+    begins[bounds] = inside[bounds]
+    ends[bounds - 1] = inside[bounds - 1]
+    starts = np.flatnonzero(begins)
+    lengths = np.flatnonzero(ends) + 1 - starts
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(_FOLDED[data[inside]])])
+    return held, np.searchsorted(at, starts, "right") - 1
+
+
+def _counted(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> pa.Table:
+    """(group, term, n, docs) of some texts."""
+    terms, row = terms_of(data, at)
+    coded = terms.dictionary_encode()
+    size = max(1, len(coded.dictionary))
+    key, n = np.unique(row * np.int64(size) + coded.indices.to_numpy(), return_counts=True)
+    own = group[key // size] * np.int64(size) + key % size
+    order = np.argsort(own, kind="stable")
+    key, first = np.unique(own[order], return_index=True)
+    sums = np.add.reduceat(n[order], first) if len(first) else n
+    return pa.table({"group": key // size, "term": coded.dictionary.take(pa.array(key % size)), "n": sums, "docs": np.diff(np.append(first, len(order)))})
+
+
 def _tasks_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents, added up inside each task as far as its memory goes."""
 
-    def rows(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, seen) in held.items():
-            terms = pa.array(list(n), pa.binary()).cast(pa.string())
-            one = lambda x, size=len(n): pa.array([x]).take(pa.array(np.zeros(size, np.int64)))
-            yield pa.RecordBatch.from_arrays([one(lang), one(source), terms, pa.array(list(n.values()), pa.int64()), pa.array([seen[t] for t in n], pa.int64())], names=["lang", "source", "term", "n", "docs"])
+    def added(held: list[pa.Table]) -> pa.Table:
+        found = pa.concat_tables(held).group_by(["group", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+        return pa.table([found[c] for c in ("group", "term", "n_sum", "docs_sum")], names=["group", "term", "n", "docs"])
+
+    def rows(found: pa.Table, groups: dict[tuple[str, str], int]) -> Iterator[pa.RecordBatch]:
+        langs, sources = (pa.array([k[i] for k in groups], pa.string()) for i in (0, 1))
+        out = pa.table([langs.take(found["group"].combine_chunks()), sources.take(found["group"].combine_chunks()), found["term"].cast(pa.string()), found["n"], found["docs"]], names=["lang", "source", "term", "n", "docs"])
+        yield from out.to_batches(max_chunksize=_BATCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held: list[pa.Table] = []
+        groups: dict[tuple[str, str], int] = {}
         for batch in batches:
             data, at = flat(batch.column(2))
-            whole = memoryview(data)
-            for lang, source, low, high in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), at[:-1], at[1:], strict=True):
-                own = Counter(_TERM.findall(bytes(whole[low:high]).translate(_FOLD)))
-                n, seen = held.setdefault((lang, source), (Counter(), Counter()))
-                n.update(own)
-                seen.update(own.keys())
-                if sum(len(n) for n, _ in held.values()) > HELD_TERMS:
-                    yield from rows(held)
-                    held = {}
-        yield from rows(held)
+            group = np.array([groups.setdefault(k, len(groups)) for k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], np.int64)
+            for low, high in pieces(at):
+                held.append(_counted(data[at[low] : at[high]], at[low : high + 1] - at[low], group[low:high]))
+                if sum(len(t) for t in held) > 2 * HELD_TERMS:
+                    held = [added(held)]
+                    if len(held[0]) > HELD_TERMS:
+                        yield from rows(held[0], groups)
+                        held = []
+        if held:
+            yield from rows(added(held), groups)
 
     return docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint")
 

@@ -240,7 +240,7 @@ FROM counts
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 4) == 2
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels"), ~held_out))
+    scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels"), ~held_out), ["doc_id"])
     return scored.select("doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.3).cast("int").alias("predicted"))
 
 

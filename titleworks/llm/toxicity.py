@@ -26,7 +26,8 @@ CLEAN_SAMPLE = 5000  # labelled clean texts, about
 STEMS = range(4, 9)  # lengths of beginnings that may be terms
 LEAST_SHARE = 0.5  # of a term's labelled texts that are toxic
 CHANCE = 1.0  # terms that chance alone may bring into the lexicon, in expectation
-HELD_STEMS = 300_000  # entries a task holds before it gives its counts away
+HELD_STEMS = 100_000  # entries a task holds before it gives its counts away
+PIECE = 1 << 19  # bytes of text worked on at once (a longer document is one piece)
 WINDOW = 8  # words on each side of a match
 QUOTED_PART = 0.3  # of a quoted match that counts as abuse before anything is learned about quoted ones
 
@@ -162,7 +163,7 @@ def _points(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
     data, at = flat(column)
     whole = memoryview(data)
-    for low, high in pieces(at):
+    for low, high in pieces(at, PIECE):
         yield low, high, [bytes(whole[at[i] : at[i + 1]]) for i in range(low, high)]
 
 
@@ -270,10 +271,12 @@ def _prints(texts: DataFrame) -> DataFrame:
 def _stem_counts(sample: DataFrame) -> DataFrame:
     """(term, whole, toxic, clean): texts of each label with a word, or with a word that begins so."""
 
-    def rows(held: dict[int, Counter]) -> pa.RecordBatch:
-        keys = list(held[0].keys() | held[1].keys())
-        columns = [pa.array([t for t, _ in keys], pa.string()), pa.array([w for _, w in keys], pa.bool_()), *(pa.array([held[k][x] for x in keys], pa.int64()) for k in (1, 0))]
-        return pa.RecordBatch.from_arrays(columns, names=["term", "whole", "toxic", "clean"])
+    def rows(held: dict[int, Counter]) -> Iterator[pa.RecordBatch]:
+        every = list(held[0].keys() | held[1].keys())
+        for low in range(0, len(every), 20_000):
+            keys = every[low : low + 20_000]
+            columns = [pa.array([t for t, _ in keys], pa.string()), pa.array([w for _, w in keys], pa.bool_()), *(pa.array([held[k][x] for x in keys], pa.int64()) for k in (1, 0))]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "whole", "toxic", "clean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -287,9 +290,9 @@ def _stem_counts(sample: DataFrame) -> DataFrame:
                     words = {whole[a:b] for a, b in zip(starts, ends, strict=True)}
                     held[label].update({(w[:64], True) for w in words if 2 < len(w)} | {(w[:k], False) for w in words for k in STEMS if len(w) >= k})
                     if len(held[0]) + len(held[1]) > HELD_STEMS:
-                        yield rows(held)
+                        yield from rows(held)
                         held = {0: Counter(), 1: Counter()}
-        yield rows(held)
+        yield from rows(held)
 
     found = sample.select("label", "text").mapInArrow(run, "term string, whole boolean, toxic bigint, clean bigint")
     return found.groupBy("term", "whole").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -363,20 +366,21 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, label: str = "to
     return scorer.fit(measured.iloc[:, 2:].to_numpy(), measured["label"].to_numpy(np.float64), offset)
 
 
-def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """All columns of docs, with `toxic_score`: the probability, 0 to 1, that a text is toxic.
+def score(docs: DataFrame, scorer: Scorer, columns: Sequence[str] | None = None) -> DataFrame:
+    """The columns of docs (all, or those named), with `toxic_score`: the probability, 0 to 1, that a text is toxic.
 
     Whole texts are scored, by nothing but their characters. Null and empty texts have no matches and get the score of such
     a text. Every row is scored on its own. A column `toxic_score` is replaced; an empty table gives no rows.
     """
     kept = docs.drop("toxic_score")
+    names = [c for c in (kept.columns if columns is None else columns) if c != "toxic_score"]
     place = kept.columns.index("text")
-    schema = kept.withColumn("toxic_score", F.lit(None).cast("double")).schema
+    schema = kept.select(*names).withColumn("toxic_score", F.lit(None).cast("double")).schema
     held = kept.sparkSession.sparkContext.broadcast(scorer)  # the lexicon's table of states
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             odds = np.concatenate([held.value.odds(texts) for _, _, texts in _texts(batch.column(place))] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(odds, -500, 500))))], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(1 / (1 + np.exp(-np.clip(odds, -500, 500))))], names=[*names, "toxic_score"])
 
     return kept.mapInArrow(run, schema)
