@@ -64,3 +64,19 @@ def test_awkward_documents(spark, awkward, nothing, tmp_path):
             assert k == 4 or docs.columns == corpus_pipeline.COLUMNS
             if name == "near_copies" and least:
                 assert docs.groupBy("doc_id").count().agg(F.max("count")).first()[0] == 1
+
+
+def test_repeated_ids_of_different_texts_are_judged_each_for_itself(spark):
+    near = "the quick brown fox jumps over the lazy dog and runs far away into the deep dark green forest to sleep there for a long long time until the morning comes again"
+    other, lone = "an entirely different text of its own with enough words to count here", "yet another text that has no id and no copy among all of these rows"
+    rows = [(1, near, "en", "a", 0), (5, near + " end", "en", "a", 0), (5, other, "en", "b", 1), (5, other, "en", "b", 1), (None, lone, "de", "a", 0), (None, lone + " x", None, "a", 0),
+            (None, "", "en", "a", 0), (9, None, "en", "a", 0), (9, " ", "en", "a", 0)]
+    stage = dict(corpus_pipeline.STAGES)["near_copies"]
+    expected = None
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        got = sorted((tuple(r) for r in stage(spark, docs, "").collect()), key=repr)
+        expected = expected or got
+        assert got == expected
+        assert [r[:2] for r in got if r[0] is not None] == [(1, near), (5, other), (9, " "), (9, None)]
+        assert sorted(r[1] for r in got if r[0] is None)[0] == "" and len([r for r in got if r[0] is None]) == 2

@@ -27,6 +27,15 @@ def test_words_one_by_one_give_the_text_s_ids(library, remembered):
         assert np.frombuffer(encoder.encode(text.encode()), encoder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_with_the_strings_of_added_tokens(library):
+    random.seed(7)
+    encoder = Encoder(VOCABULARY)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "a", " b ", "\n", "É.", "<|", "|>"]
+    for _ in range(1000):
+        text = "".join(random.choices(parts, k=random.randint(1, 6)))
+        assert np.frombuffer(encoder.encode(text.encode()), encoder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_another_vocabulary_is_left_to_the_library():
     path = VOCABULARY.replace("word_bpe_49k", "byte_bpe_50k")
     encoder = Encoder(path)

@@ -25,7 +25,7 @@ SCALE = 1_000_000_000
 TERM_RANKS = 50
 BLOCK = 1 << 14  # terms of a block, about
 TILE = 64  # groups of a tile, about; tiles meet in pairs
-HELD_TERMS = 1 << 19  # entries that a task holds before it gives its counts away (about 20 MB; twice that while they are added)
+HELD_TERMS = 1 << 18  # entries that a task holds before it gives its counts away (about 10 MB; twice that while they are added)
 BROADCAST_ROWS = 50_000  # rows about languages or groups that are broadcast (a few MB); more are joined by a shuffle
 _BATCH = 50_000
 _CELLS = 1 << 21  # words that are ANDed at once

@@ -4,7 +4,8 @@ For vocabularies whose pre-tokenizer never joins characters across white space (
 drops white space, adds no prefix and normalises each word on its own), a text's ids are its
 words' ids one after the other. Each distinct word is then encoded once while it is remembered. Where the
 vocabulary also lower-cases and splits letters from punctuation, a word of plain letters goes
-straight to the library's model, and its punctuation apart.
+straight to the library's model, and its punctuation apart. A text that holds the string of an added
+token (such as an end-of-text mark) goes to the library as a whole, which gives the token's own id.
 """
 
 from __future__ import annotations
@@ -49,22 +50,25 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._library, self._tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self._tokenizer.encode_special_tokens = True  # of words alone: folding may have made a word into a token's string
         small = self._tokenizer.get_vocab_size() <= 1 << 16
         self.dtype, self._code = np.dtype("<u2" if small else "<u4"), "H" if small else "I"
         with open(path, encoding="utf-8") as file:
             written = json.load(file)
+        self._added = [t["content"].encode() for t in written.get("added_tokens", [])]
         steps = json.dumps([written.get("normalizer"), written.get("pre_tokenizer")])
         self._folds = '"Lowercase"' in steps and r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in steps and '"ByteLevel"' in steps
         self._model, self._letters = self._tokenizer.model, _byte_letters()
         self._remembered = remembered
         self._words = _Words(self._made, {})
 
-    def _whole(self, word: bytes) -> bytes:
-        ids = self._tokenizer.encode(word.decode(), add_special_tokens=False).ids
+    def _packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self._code}", *ids)
 
+    def _whole(self, word: bytes) -> bytes:
+        return self._packed(self._tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+
     def _made(self, word: bytes) -> bytes:
         if not self._folds:
             return self._whole(word)
@@ -74,11 +78,12 @@ class Encoder:
             return self._whole(word)
         if len(core) < len(word):
             return self._words[core] + self._words[word[len(core) :]]
-        ids = [t.id for t in self._model.tokenize(letters.encode().decode("latin-1").translate(self._letters))]
-        return struct.pack(f"<{len(ids)}{self._code}", *ids)
+        return self._packed([t.id for t in self._model.tokenize(letters.encode().decode("latin-1").translate(self._letters))])
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a UTF-8 text, as the bytes of an array of self.dtype."""
+        if any(token in text for token in self._added):
+            return self._packed(self._library.encode(text.decode(), add_special_tokens=False).ids)
         if len(self._words) > self._remembered:
             self._words = _Words(self._made, dict(self._words))
         return b"".join(map(self._words.__getitem__, (text.lower() if self._folds else text).split()))

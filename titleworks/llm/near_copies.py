@@ -8,6 +8,7 @@ registers (less the ones equal by chance), and what may reach the limit is verif
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,14 +27,21 @@ MANTISSA = 10
 SLACK = 4.0  # standard errors that an estimate may lie below the limit before a pair is left out
 ANCHORS = 2  # sets of a band that meet all its others before what is still apart is compared
 BLOCK = 256  # rows of a band that meet the same number of others in one step
+FORESTS = (1, 8, 0)  # spanning forests of candidates that a cell gives in the rounds; 0: all its pairs
 BROADCAST_IDS = 2_000_000  # 16 MB; more ids are joined by a shuffle
 
-FINE = 1024  # registers of the second estimate, for sets that are still apart
+FINE = 2048  # registers of the second estimate, for sets that are still apart; one bit of each is kept
 
-_random = np.random.default_rng(20240301)
-_TRIES = {m: _random.integers(0, m, (4096, m)) for m in (REGISTERS, FINE)}
 _BAND = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
 _EDGES = {m: np.array([-(-(b << 64) // m) for b in range(m)], dtype=np.uint64) for m in (REGISTERS, FINE)}
+_tries: dict[int, np.ndarray] = {}
+
+
+def _orders(size: int) -> np.ndarray:
+    """Random buckets that empty ones look into, one row a try; made when first needed."""
+    if size not in _tries:
+        _tries[size] = np.random.default_rng([20240301, size]).integers(0, size, (1024, size), dtype=np.int16)
+    return _tries[size]
 
 
 def registers(sets: list[np.ndarray], size: int = REGISTERS) -> np.ndarray:
@@ -54,7 +62,7 @@ def registers(sets: list[np.ndarray], size: int = REGISTERS) -> np.ndarray:
     out = (((65 - power) << MANTISSA) | ((part * 2 - 1) * (1 << MANTISSA)).astype(np.int64)).astype(np.uint16)
     todo = np.flatnonzero(~full.all(axis=1))
     held, done = full.copy(), full[todo].copy()
-    for order in _TRIES[size]:
+    for order in _orders(size):
         if not len(todo):
             return out
         found = ~done & held[todo][:, order]
@@ -82,6 +90,46 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return (equal - chance) / (1 - chance)
 
 
+def fine_bits(s: np.ndarray) -> np.ndarray:
+    """One random bit of each of FINE registers of a set; what a bucket has borrowed gets bits of its own."""
+    held = registers([s], FINE)[0].astype(np.uint64)
+    own = mixed(held + (np.arange(1, FINE + 1, dtype=np.uint64) << np.uint64(16)))
+    return np.packbits((own >> np.uint64(63)).astype(bool))
+
+
+def fine_estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard similarities of every row of a with every row of b from their bits (as 64-bit words): unequal registers agree in half of their bits."""
+    apart = np.zeros((len(a), len(b)), np.int64)
+    for k in range(a.shape[1]):
+        apart += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
+    return 1 - 2 * apart / FINE
+
+
+def forest(x: np.ndarray, y: np.ndarray, weight: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Places of the edges (x, y) of a heaviest spanning forest of the parts; each round, every part takes its heaviest edge."""
+    rank = np.empty(len(x), np.int64)
+    rank[np.lexsort((y, x, weight))] = np.arange(len(x))
+    at_rank = np.argsort(rank)
+    live, label, taken = np.arange(len(x)), part.copy(), []
+    while True:
+        live = live[label[x[live]] != label[y[live]]]
+        if not len(live):
+            return np.concatenate(taken) if taken else live
+        best = np.full(label.max() + 1, -1)
+        np.maximum.at(best, label[x[live]], rank[live])
+        np.maximum.at(best, label[y[live]], rank[live])
+        chosen = at_rank[np.unique(best[best >= 0])]
+        taken.append(chosen)
+        root = np.arange(len(best))
+        u, v = label[x[chosen]], label[y[chosen]]
+        while (root[u] != root[v]).any():
+            low = np.minimum(root[u], root[v])
+            np.minimum.at(root, root[u], low)
+            np.minimum.at(root, root[v], low)
+            root = root[root]
+        label = root[label]
+
+
 def sets_of(column: pa.Array, words: int) -> Iterator[list[np.ndarray]]:
     """The sorted distinct shingle hashes of each row, piece by piece."""
     data, at = flat(column)
@@ -98,24 +146,24 @@ def _set_id(s: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, place, n, set_id, sketch) of every document; the last two are null without words.
+    """(doc_id, place, text_hash, n, set_id, sketch) of every document; the last two are null without words.
 
     place is how a text is found again: the doc_id, or where that is null the text's own hash.
     """
-    schema = "doc_id bigint, place bigint, n bigint, set_id bigint, sketch binary"
+    schema = "doc_id bigint, place bigint, text_hash bigint, n bigint, set_id bigint, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, ids, made = [], [], []
-            for sets in sets_of(batch.column(2), words):
+            for sets in sets_of(batch.column(3), words):
                 n += [len(s) for s in sets]
                 own = [s for s in sets if len(s)]
                 made += [r.tobytes() for r in registers(own)] if own else []
                 ids += [_set_id(s) for s in own]
             rest, keys = iter(made), iter(ids)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([next(keys) if c else None for c in n], pa.int64()), pa.array([next(rest) if c else None for c in n], pa.binary())],
-                names=["doc_id", "place", "n", "set_id", "sketch"],
+                [*batch.columns[:3], pa.array(n, pa.int64()), pa.array([next(keys) if c else None for c in n], pa.int64()), pa.array([next(rest) if c else None for c in n], pa.binary())],
+                names=["doc_id", "place", "text_hash", "n", "set_id", "sketch"],
             )
 
     return _placed(docs).mapInArrow(run, schema)
@@ -123,7 +171,8 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 def _placed(docs: DataFrame) -> DataFrame:
     doc_id = F.col("doc_id").cast("bigint")
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64("text")).alias("place"), "text")
+    hashed = F.xxhash64("text")
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, hashed).alias("place"), hashed.alias("text_hash"), "text")
 
 
 def _banded(sets: DataFrame) -> DataFrame:
@@ -178,39 +227,56 @@ def _anchored(apart: DataFrame) -> DataFrame:
     return apart.join(anchors, "band").where("part <> anchor_part").select(*_pair("anchor", "set_id")).distinct()
 
 
-def _across(own: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs of one band, but of different components, that may reach the limit.
+def _cells(own: DataFrame, fine: DataFrame, whole: bool) -> DataFrame:
+    """Rows of bands in cells (band, i, j) of at most about two blocks, with the bits of their sets.
 
-    Rows outside the component of the band's smallest set are few where a band is large, as that
-    set's own copies are linked by now. Those rows meet all rows of the band, in blocks: a row goes
-    once to each block of the others. Sketches are compared inside a task, where they pass also finer
-    ones, and only pairs that pass both leave.
+    whole: every row outside the component of the band's smallest set (those rows seek) meets all rows of the band;
+    they are few where a band is large, as that set's own copies are linked by now. Else each row meets its own block.
     """
-    fine = _made_again(own.select("set_id").distinct(), docs, sets, words, lambda s: registers([s], FINE))
-    sketched = settle(fine.join(sets.select("set_id", "n", "sketch"), "set_id").withColumnRenamed("made", "fine"), "fine")
     own = own.withColumn("other", F.col("part") != F.col("main"))
-    others = own.where("other").groupBy("band").agg(F.count("*").alias("others"))
     block = lambda count, seed: F.ceil(F.col(count) / BLOCK).cast("int")
-    sized = own.join(others, "band").withColumns({"i_of": block("rows", 0), "j_of": block("others", 1)})
     at = lambda of: F.pmod(F.xxhash64("set_id"), F.col(of)).cast("int")
+    columns = ["band", "i", "j", "seeks", "set_id", "part", "n", "bits"]
+    if not whole:
+        cells = own.withColumn("i_of", block("rows", 0)).select("band", "set_id", "part", at("i_of").alias("i"), F.lit(0).alias("j"), F.lit(True).alias("seeks"))
+        return cells.join(fine, "set_id").select(*columns)
+    others = own.where("other").groupBy("band").agg(F.count("*").alias("others"))
+    sized = own.join(others, "band").withColumns({"i_of": block("rows", 0), "j_of": block("others", 1)})
     left = sized.select("band", "set_id", "part", at("i_of").alias("i"), F.explode(F.sequence(F.lit(0), F.col("j_of") - 1)).alias("j"), F.lit(False).alias("seeks"))
     right = sized.where("other").select("band", "set_id", "part", F.explode(F.sequence(F.lit(0), F.col("i_of") - 1)).alias("i"), at("j_of").alias("j"), F.lit(True).alias("seeks"))
-    cells = left.union(right).join(sketched, "set_id")
-    cells = cells.select("band", "i", "j", "seeks", "set_id", "part", "n", "sketch", "fine").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "seeks", "set_id")
+    return left.union(right).join(fine, "set_id").select(*columns)
+
+
+def _across(cells: DataFrame, percent: int, forests: int) -> DataFrame:
+    """Pairs (a, b) of sets that share a band, are of different components and may reach the limit.
+
+    Bits are compared inside a task, and of what passes only spanning forests of the components leave (each
+    of the edges that the ones before have left): pairs that a link found elsewhere would make needless are not made.
+    With 0 forests all pairs leave. more: there were others.
+    """
+    limit = percent / 100 - SLACK * 2 * math.sqrt((1 + percent / 100) / 2 * (1 - percent / 100) / 2 / FINE)
+    cells = cells.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "seeks", "set_id")
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
-        ids, part, n = (rows.column(k).to_numpy() for k in ("set_id", "part", "n"))
-        sketch, fine = (np.frombuffer(b"".join(rows.column(k).to_pylist()), "<u2").reshape(-1, m) for k, m in (("sketch", REGISTERS), ("fine", FINE)))
+        ids, n = (rows.column(k).to_numpy() for k in ("set_id", "n"))
+        part = np.unique(rows.column("part").to_numpy(), return_inverse=True)[1]
+        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, FINE // 64)
         seeks = rows.column("seeks").to_numpy(zero_copy_only=False)
-        all_rows, found_a, found_b = np.flatnonzero(~seeks), [], []
-        for k in np.flatnonzero(seeks):
-            to = all_rows[part[all_rows] != part[k]]
-            for kind in (sketch, fine):
-                to = to[_passing(kind[to], kind[k][None, :], n[to], np.full(len(to), n[k]), percent)]
-            found_a.append(np.minimum(ids[to], ids[k]))
-            found_b.append(np.maximum(ids[to], ids[k]))
-        a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (found_a, found_b))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        asking = np.flatnonzero(seeks)
+        asked = asking if seeks.all() else np.flatnonzero(~seeks)
+        likely = fine_estimate(bits[asking], bits[asked])
+        size = 100 * np.minimum(n[asking, None], n[None, asked]) >= percent * np.maximum(n[asking, None], n[None, asked])
+        x, y = np.nonzero(size & (likely >= limit) & (part[asking, None] != part[None, asked]))
+        weight = likely[x, y]
+        x, y = asking[x], asked[y]
+        kept = np.zeros(len(x), bool)
+        for _ in range(forests):
+            rest = np.flatnonzero(~kept)
+            kept[rest[forest(x[rest], y[rest], weight[rest], part)]] = True
+        if not forests:
+            kept[:] = True
+        x, y, more = ids[x[kept]], ids[y[kept]], np.full(kept.sum(), not kept.all())
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(more)], names=["a", "b", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -230,7 +296,7 @@ def _across(own: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percen
         if held:
             yield compare(pa.Table.from_batches(held))
 
-    return cells.mapInArrow(run, "a bigint, b bigint").distinct()
+    return cells.mapInArrow(run, "a bigint, b bigint, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def _made_again(wanted: DataFrame, docs: DataFrame, sets: DataFrame, words: int, make: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -269,18 +335,37 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, pe
     return both.mapInArrow(confirm, "a bigint, b bigint")
 
 
+def _tested(found: DataFrame, tested: list[DataFrame]) -> DataFrame:
+    """Those pairs that have not been verified before."""
+    for pairs in tested:
+        found = found.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    return found
+
+
+def _linked(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after more links: only the labels at their ends are joined anew."""
+    at = lambda side: label.select(F.col("node").alias(side), F.col("label").alias(f"of_{side}"))
+    ends = links.join(at("a"), "a").join(at("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    moved = components(ends).select(F.col("node").alias("label"), F.col("label").alias("moved"))
+    return settle(label.join(moved, "label", "left").select("node", F.coalesce("moved", "label").alias("label")), "labels")
+
+
 def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, set_id, place) of every row of docs (doc_id, text, ...).
+    """(doc_id, n_shingles, component_id, kept, group, set_id, place, text_hash) of every row of docs (doc_id, text, ...).
 
     Documents are linked if their sets of `words`-word shingles have a Jaccard similarity of at least
     `percent` %. component_id is the smallest doc_id reachable over links, kept marks the rows that
     carry it. Equal sets are one set from the start, so exact copies cost one row each. Sets that
     share a band are compared with the band's smallest set first, then with a few chosen by hash; what
     that links is one component, and then only sets of different components that share a band are
-    compared, all of them. So no pair that shares a band is left out, and a large group of copies costs a
-    few comparisons a member.
+    compared, all of them, in rounds: a round verifies spanning forests of the pairs that may pass, what they link is
+    one component in the next, and the last round takes every pair that is still apart. So no pair that
+    shares a band is left out, and a large group of copies costs a few comparisons a member.
+
+    group is the component's smallest set, whether or not a row of it has an id; place and text_hash, the hash of the
+    text, find a row's text again.
 
-    Null and empty texts, and texts of white space, have no shingles and are linked with nothing.
+    Null and empty texts, and texts of white space, have no shingles, no set and no group and are linked with nothing.
     Texts with fewer words than `words` have one shingle. Rows with a null doc_id take part; their
     component_id is null only if no linked row has an id. Repeated rows are copies of each other, and
     all rows with the kept id are marked as kept. An empty table gives no rows. Other columns are ignored.
@@ -292,21 +377,43 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     shared = bands.groupBy("band").agg(F.count("*").alias("rows"), F.min("set_id").alias("anchor")).where("rows > 1").select("band", "anchor")
     members = settle(bands.join(shared, "band"), "shared-bands")
     stars = settle(_estimated(members.where("set_id <> anchor").select(*_pair("anchor", "set_id")).distinct(), sets, percent), "candidates")
-    links = settle(_verified(stars, docs, sets, words, percent), "links")
-    first = components(links)
-    tested = stars
-    for step in ("anchored", "across"):
-        apart = _apart(members, first)
-        found = _estimated(_anchored(apart), sets, percent) if step == "anchored" else _across(apart, docs, sets, words, percent)
-        found = settle(found.join(tested, ["a", "b"], "left_anti"), "candidates")
-        if not found.isEmpty():
-            tested = tested.union(found)
-            links = links.union(settle(_verified(found, docs, sets, words, percent), "links"))
-            first = components(links)
+    first = components(_verified(stars, docs, sets, words, percent))
+    label = settle(members.select(F.col("set_id").alias("node")).distinct().join(first, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    tested = [stars]
+
+    def link(found: DataFrame, label: DataFrame) -> DataFrame:
+        found = settle(_tested(found, tested), "candidates")
+        if found.isEmpty():
+            return label
+        tested.append(found)
+        return _linked(label, settle(_verified(found, docs, sets, words, percent), "links"))
+
+    apart = _apart(members, label)
+    if not apart.isEmpty():
+        label = link(_estimated(_anchored(apart), sets, percent), label)
+        apart = _apart(members, label)
+    fine = None
+    for step in ("blocks", *FORESTS):
+        if apart.isEmpty():
+            break
+        if fine is None:
+            made = _made_again(apart.select("set_id").distinct(), docs, sets, words, fine_bits).withColumnRenamed("made", "bits")
+            fine = settle(made.join(sets.select("set_id", "n"), "set_id"), "fine")
+        if step == "blocks":  # large bands alone: what a block links by itself need not be found between blocks
+            apart_now = apart.where(F.col("rows") > BLOCK)
+            if apart_now.isEmpty():
+                continue
+        found = settle(_across(_cells(apart if step != "blocks" else apart_now, fine, step != "blocks"), percent, 1 if step == "blocks" else step), "passing")
+        more = step == "blocks" or not found.where("more").isEmpty()
+        label = link(found, label)
+        if not more:
+            break
+        apart = _apart(members, label)
+    first = label
     named = sets.select("set_id", "doc_id").join(first.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = named.select("set_id", "doc_id", F.coalesce("label", "set_id").alias("label"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_set = named.join(smallest, "label").select("set_id", "component_id")
-    out = rows.select("doc_id", "place", "n", "set_id").join(of_set, "set_id", "left")
+    of_set = named.join(smallest, "label").select("set_id", "component_id", F.col("label").alias("group"))
+    out = rows.select("doc_id", "place", "text_hash", "n", "set_id").join(of_set, "set_id", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "set_id", "place")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "group", "set_id", "place", "text_hash")

@@ -159,7 +159,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
 
     keys = {f"_key_{k}": key for k, key in enumerate(order or [])}
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *[key.alias(name) for name, key in keys.items()])
-    ordered = rows.repartitionByRange(*(keys or ["doc_id"])).sortWithinPartitions(*(keys or ["doc_id", "text"])).select("doc_id", "text")
+    split = keys or ["doc_id", F.substring("text", 1, 64)]  # a beginning sorts as its text does, and parts rows of one id or none
+    ordered = rows.repartitionByRange(*split).sortWithinPartitions(*(keys or ["doc_id", "text"])).select("doc_id", "text")
     return settle(ordered.mapInArrow(write, _MANIFEST), "manifest")
 
 
