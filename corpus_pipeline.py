@@ -19,31 +19,50 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier gives one half or more. Empty texts get the model's constant."""
+    """Documents that the quality classifier gives one half or more.
+
+    Null and empty texts get the model's constant; every row is judged by its text alone, so repeated rows stay or go
+    together, rows with null ids as all others. An empty table gives no rows; other columns than those of documents are left out.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels, F.lit(True))
     return quality.score(docs.select(*COLUMNS), model).where("quality_score >= 0.5").select(*COLUMNS)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the document with the smallest doc_id; of equal ids one row.
+    """Of each group of near copies (five words, 0.8) one document: the one with the smallest doc_id.
 
-    Rows without an id stay only if no row of their group has one, one row for each distinct set of shingles.
+    Where a group has several rows of that id, the one whose set of shingles has the smallest hash stays; a group without
+    any id keeps one row in the same way. Texts without words are copies of nothing and stay. Rows of equal id and
+    text are one row, with the smallest other columns. Rows of one id but different texts are judged each for itself. An
+    empty table gives no rows; other columns than those of documents are left out.
     """
-    found = near_copies(docs, words=5, percent=80)
-    kept = settle(found.where("kept").groupBy("place").agg(F.min("set_id").alias("set_id")).select("place"), "kept")
-    place = F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text"))
-    return docs.select(*COLUMNS).withColumn("_place", place).join(kept.withColumnRenamed("place", "_place"), "_place").dropDuplicates(["_place"]).select(*COLUMNS)
+    found = near_copies(docs, words=5, percent=80).where("kept")
+    alone = lambda name: F.when(F.col("group").isNull(), F.col(name)).alias(f"own_{name}")
+    one = found.groupBy("group", alone("place"), alone("text_hash")).agg(F.min(F.struct("set_id", "text_hash", "place")).alias("row"))
+    one = settle(one.select(F.col("row.place").alias("_place"), F.col("row.text_hash").alias("_hash")), "kept")
+    hashed = F.xxhash64("text")
+    rows = docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("bigint"), hashed).alias("_place"), hashed.alias("_hash"))
+    rows = rows.groupBy("_place", "_hash").agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("row"))
+    return rows.join(one, ["_place", "_hash"], "left_semi").select(*(F.col(f"row.{c}").alias(c) for c in COLUMNS))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage.
+
+    Null and empty texts hold none and stay. Repeated rows, and rows with null ids, are judged each by its own text. An empty
+    table gives no rows; other columns than those of documents are left out.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return find_leaks(docs.select(*COLUMNS), benchmark).where("size(leaks) = 0").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in training order, each as often as the mix takes it."""
+    """The documents in training order, each as often as the mix takes it.
+
+    Null and empty texts have no words, so they fill no target and stay only where their source is taken as a whole; a null source is a source. Repeated rows are documents of their own.
+    An empty table gives no rows; other columns than those of documents are left out.
+    """
     entries = sizes(docs)
     plan = settle(mix(entries, targets(weighed(sources_of(entries)))), "mix")
     return in_training_order(docs.select(*COLUMNS), plan)
