@@ -3,7 +3,9 @@ import random
 import numpy as np
 
 from titleworks.llm.components import components
-from titleworks.llm.near_copies import REGISTERS, SLACK, estimate, near_copies, registers
+from titleworks.llm import components as component_module
+from titleworks.llm import near_copies as module
+from titleworks.llm.near_copies import FINE_ERROR, REGISTERS, SLACK, estimate, fine_estimate, forest, near_copies, odd_sketch, registers
 
 
 def shingles(text, k):
@@ -75,7 +77,67 @@ def test_estimates_of_small_and_large_sets():
         assert (a.view("<u8") == b.view("<u8")).any(axis=1).all()
 
 
-def test_components_of_chains_and_hubs(spark):
+def test_fine_estimates_at_the_limit_stay_within_the_slack():
+    random_ = np.random.default_rng(3)
+    for n in (18, 99, 702, 2502, 30_006):
+        common = 8 * n // 9  # two sets of n with Jaccard similarity 0.8
+        a, b = [], []
+        for _ in range(150):
+            h = random_.integers(0, 1 << 64, 2 * n - common, dtype=np.uint64)
+            a.append(np.sort(h[:n]))
+            b.append(np.sort(h[n - common :]))
+        true = common / (2 * n - common)
+        made = [[odd_sketch(s) for s in x] for x in (a, b)]
+        sides = [(np.frombuffer(b"".join(m for m, _ in x), np.uint64).reshape(len(x), -1), np.array([f for _, f in x]), np.full(len(x), n)) for x in made]
+        found = np.diag(fine_estimate(*sides, 80))
+        assert abs(found.mean() - true) < 0.006 and found.std() < 1.15 * FINE_ERROR and found.min() > true - SLACK * FINE_ERROR
+
+
+def test_forests_link_what_all_pairs_link():
+    random_ = np.random.default_rng(4)
+    for _ in range(50):
+        n, m = 30, int(random_.integers(0, 80))
+        x, y = random_.integers(0, n, (2, m))
+        part = random_.integers(0, n, n)
+        keep = part[x] != part[y]
+        x, y = x[keep], y[keep]
+        chosen = forest(x, y, random_.random(len(x)).round(1), part)
+
+        def reach(edges, part=part, x=x, y=y):
+            label = part.copy()
+            for _ in range(n):
+                for k in edges:
+                    low = min(label[x[k]], label[y[k]])
+                    label[(label == label[x[k]]) | (label == label[y[k]])] = low
+            return label
+
+        assert (reach(chosen) == reach(range(len(x)))).all() and len(chosen) <= max(len(set(part)) - 1, 0)
+
+
+def test_many_rounds_give_the_links_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(module, "BLOCK", 8)
+    monkeypatch.setattr(module, "SLACK", 12.0)  # many candidates are refused
+    monkeypatch.setattr(component_module, "ONE_TASK", 0)
+    random.seed(9)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        text = list(base)
+        for _ in range(random.randint(2, 14)):
+            text[random.randrange(len(text))] = f"x{random.random()}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_copies(docs, 4).collect()), key=repr) == brute(rows, 4)
+
+
+def test_components_of_chains_and_hubs(spark, monkeypatch):
+    monkeypatch.setattr(component_module, "ONE_TASK", 0)
+    chains_and_hubs(spark)
+    monkeypatch.setattr(component_module, "ONE_TASK", 1 << 20)
+    chains_and_hubs(spark)
+
+
+def chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(100, 180)]
     hub = [(i, 500) for i in range(300, 400)]
     links = spark.createDataFrame(chain + hub + [(7, 7)], "a long, b long")

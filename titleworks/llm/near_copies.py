@@ -8,8 +8,7 @@ registers (less the ones equal by chance), and what may reach the limit is verif
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,44 +24,37 @@ ROWS = 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 SLACK = 4.0  # standard errors that an estimate may lie below the limit before a pair is left out
-ANCHORS = 2  # sets of a band that meet all its others before what is still apart is compared
 BLOCK = 256  # rows of a band that meet the same number of others in one step
 FORESTS = (1, 8, 0)  # spanning forests of candidates that a cell gives in the rounds; 0: all its pairs
 BROADCAST_IDS = 2_000_000  # 16 MB; more ids are joined by a shuffle
 
-FINE = 2048  # registers of the second estimate, for sets that are still apart; one bit of each is kept
+FINE_ERROR = 0.0145  # standard error of that estimate at 0.8, of sets with more shingles than registers; less of others
+FINE = 2048  # registers of the second estimate, for sets that are still apart; their odd sketch of as many bits is kept
 
 _BAND = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
 _EDGES = {m: np.array([-(-(b << 64) // m) for b in range(m)], dtype=np.uint64) for m in (REGISTERS, FINE)}
-_tries: dict[int, np.ndarray] = {}
+_TRIES = np.random.default_rng(20240301).integers(0, REGISTERS, (4096, REGISTERS), dtype=np.int16)
 
 
-def _orders(size: int) -> np.ndarray:
-    """Random buckets that empty ones look into, one row a try; made when first needed."""
-    if size not in _tries:
-        _tries[size] = np.random.default_rng([20240301, size]).integers(0, size, (1024, size), dtype=np.int16)
-    return _tries[size]
-
-
-def registers(sets: list[np.ndarray], size: int = REGISTERS) -> np.ndarray:
+def registers(sets: list[np.ndarray]) -> np.ndarray:
     """The sketch of each sorted set of hashes: a matrix of 16-bit registers. Sets must not be empty.
 
     An empty bucket takes the register of the first bucket in a fixed random order that is not
     empty, so that registers of small sets agree as often as those of large ones.
     """
-    least = np.zeros((len(sets), size), np.uint64)
-    full = np.zeros((len(sets), size), bool)
+    least = np.zeros((len(sets), REGISTERS), np.uint64)
+    full = np.zeros((len(sets), REGISTERS), bool)
     for i, s in enumerate(sets):
-        place = np.searchsorted(s, _EDGES[size])
+        place = np.searchsorted(s, _EDGES[REGISTERS])
         ends = np.append(place[1:], len(s))
         has = place < ends
         full[i] = has
-        least[i, has] = s[place[has]] * np.uint64(size)  # the low 64 bits: the place inside the bucket
+        least[i, has] = s[place[has]] * np.uint64(REGISTERS)  # the low 64 bits: the place inside the bucket
     part, power = np.frexp(least.astype(np.float64) + 1.0)
     out = (((65 - power) << MANTISSA) | ((part * 2 - 1) * (1 << MANTISSA)).astype(np.int64)).astype(np.uint16)
     todo = np.flatnonzero(~full.all(axis=1))
     held, done = full.copy(), full[todo].copy()
-    for order in _orders(size):
+    for order in _TRIES:
         if not len(todo):
             return out
         found = ~done & held[todo][:, order]
@@ -90,19 +82,25 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return (equal - chance) / (1 - chance)
 
 
-def fine_bits(s: np.ndarray) -> np.ndarray:
-    """One random bit of each of FINE registers of a set; what a bucket has borrowed gets bits of its own."""
-    held = registers([s], FINE)[0].astype(np.uint64)
-    own = mixed(held + (np.arange(1, FINE + 1, dtype=np.uint64) << np.uint64(16)))
-    return np.packbits((own >> np.uint64(63)).astype(bool))
+def odd_sketch(s: np.ndarray) -> tuple[bytes, int]:
+    """Bits that the registers of a set's FINE buckets turn over, each one its own by hash, and how many buckets are not empty."""
+    place = np.searchsorted(s, _EDGES[FINE])
+    has = np.flatnonzero(place < np.append(place[1:], len(s)))
+    turned = np.bincount((mixed(s[place[has]] ^ np.uint64(FINE)) >> np.uint64(53)).astype(np.int64), minlength=FINE)
+    return np.packbits((turned & 1).astype(bool)).tobytes(), len(has)
 
 
-def fine_estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard similarities of every row of a with every row of b from their bits (as 64-bit words): unequal registers agree in half of their bits."""
-    apart = np.zeros((len(a), len(b)), np.int64)
-    for k in range(a.shape[1]):
-        apart += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
-    return 1 - 2 * apart / FINE
+def fine_estimate(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], percent: int) -> np.ndarray:
+    """Similarities of all sets of x to all of y, each (bits as 64-bit words, buckets not empty, size): the bits that differ tell
+    how many registers do. Exact for its purpose near the limit: the buckets of a union are those of a pair at the limit.
+    """
+    apart = np.zeros((len(x[0]), len(y[0])), np.int64)
+    for k in range(FINE // 64):
+        apart += np.bitwise_count(x[0][:, k, None] ^ y[0][None, :, k])
+    differ = -FINE / 2 * np.log(np.maximum(1 - 2 * apart / FINE, 1e-3))
+    same = (x[1][:, None] + y[1][None, :] - differ) / 2
+    union = (x[2][:, None] + y[2][None, :]) / (1 + percent / 100)
+    return same / (FINE * -np.expm1(-union / FINE))
 
 
 def forest(x: np.ndarray, y: np.ndarray, weight: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -220,13 +218,6 @@ def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _anchored(apart: DataFrame) -> DataFrame:
-    """Pairs of the sets of a band with a few of them, chosen by hash, of other components."""
-    chosen = [F.min(F.struct(F.xxhash64("set_id", F.lit(k)).alias("h"), F.col("set_id").alias("anchor"), F.col("part").alias("anchor_part"))) for k in range(ANCHORS)]
-    anchors = apart.groupBy("band").agg(F.array_distinct(F.array(*chosen)).alias("x")).select("band", F.explode("x").alias("x")).select("band", "x.anchor", "x.anchor_part")
-    return apart.join(anchors, "band").where("part <> anchor_part").select(*_pair("anchor", "set_id")).distinct()
-
-
 def _cells(own: DataFrame, fine: DataFrame, whole: bool) -> DataFrame:
     """Rows of bands in cells (band, i, j) of at most about two blocks, with the bits of their sets.
 
@@ -236,7 +227,8 @@ def _cells(own: DataFrame, fine: DataFrame, whole: bool) -> DataFrame:
     own = own.withColumn("other", F.col("part") != F.col("main"))
     block = lambda count, seed: F.ceil(F.col(count) / BLOCK).cast("int")
     at = lambda of: F.pmod(F.xxhash64("set_id"), F.col(of)).cast("int")
-    columns = ["band", "i", "j", "seeks", "set_id", "part", "n", "bits"]
+    columns = ["band", "i", "j", "seeks", "set_id", "part", "n", "filled", "bits"]
+    fine = fine.select("set_id", "n", "filled", "bits")
     if not whole:
         cells = own.withColumn("i_of", block("rows", 0)).select("band", "set_id", "part", at("i_of").alias("i"), F.lit(0).alias("j"), F.lit(True).alias("seeks"))
         return cells.join(fine, "set_id").select(*columns)
@@ -254,17 +246,17 @@ def _across(cells: DataFrame, percent: int, forests: int) -> DataFrame:
     of the edges that the ones before have left): pairs that a link found elsewhere would make needless are not made.
     With 0 forests all pairs leave. more: there were others.
     """
-    limit = percent / 100 - SLACK * 2 * math.sqrt((1 + percent / 100) / 2 * (1 - percent / 100) / 2 / FINE)
+    limit = percent / 100 - SLACK * FINE_ERROR
     cells = cells.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "seeks", "set_id")
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
-        ids, n = (rows.column(k).to_numpy() for k in ("set_id", "n"))
+        ids, n, filled = (rows.column(k).to_numpy() for k in ("set_id", "n", "filled"))
         part = np.unique(rows.column("part").to_numpy(), return_inverse=True)[1]
         bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, FINE // 64)
         seeks = rows.column("seeks").to_numpy(zero_copy_only=False)
         asking = np.flatnonzero(seeks)
         asked = asking if seeks.all() else np.flatnonzero(~seeks)
-        likely = fine_estimate(bits[asking], bits[asked])
+        likely = fine_estimate(*((bits[k], filled[k], n[k]) for k in (asking, asked)), percent)
         size = 100 * np.minimum(n[asking, None], n[None, asked]) >= percent * np.maximum(n[asking, None], n[None, asked])
         x, y = np.nonzero(size & (likely >= limit) & (part[asking, None] != part[None, asked]))
         weight = likely[x, y]
@@ -299,9 +291,9 @@ def _across(cells: DataFrame, percent: int, forests: int) -> DataFrame:
     return cells.mapInArrow(run, "a bigint, b bigint, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
-def _made_again(wanted: DataFrame, docs: DataFrame, sets: DataFrame, words: int, make: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(set_id, made) for the wanted sets: their texts are read again, and `made` holds the bytes that `make` gives for a set."""
-    wanted = settle(wanted.join(sets.select("set_id", "place"), "set_id"), "wanted")
+def _full_sets(members: DataFrame, docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+    """(set_id, n, filled, bits, hashes) of all sets that share a band: their texts are read again, once."""
+    wanted = settle(members.select("set_id").distinct().join(sets.select("set_id", "place"), "set_id"), "wanted")
     ids = wanted.select("place").distinct()
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
     texts = _placed(docs).join(ids, "place", "left_semi").select("text")
@@ -310,16 +302,17 @@ def _made_again(wanted: DataFrame, docs: DataFrame, sets: DataFrame, words: int,
         for batch in batches:
             for found in sets_of(batch.column(0), words):
                 own = [s for s in found if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in own], pa.int64()), pa.array([make(s).tobytes() for s in own], pa.binary())], names=["set_id", "made"])
+                odd = [odd_sketch(s) for s in own]
+                columns = [([_set_id(s) for s in own], pa.int64()), ([len(s) for s in own], pa.int64()), ([f for _, f in odd], pa.int32()), ([b for b, _ in odd], pa.binary()), ([s.tobytes() for s in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in columns], names=["set_id", "n", "filled", "bits", "hashes"])
 
-    made = texts.mapInArrow(run, "set_id bigint, made binary")
-    return made.join(wanted.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.first("made").alias("made"))
+    made = texts.mapInArrow(run, "set_id bigint, n bigint, filled int, bits binary, hashes binary")
+    same = made.join(wanted.select("set_id"), "set_id", "left_semi").groupBy("set_id")  # equal ids may name several texts
+    return settle(same.agg(*(F.first(c).alias(c) for c in ("n", "filled", "bits", "hashes"))), "full-sets")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets reach the limit. Texts are read again, of these sets alone."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    full = settle(_made_again(wanted, docs, sets, words, lambda s: s), "full-sets").withColumnRenamed("made", "hashes")
+def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose full sets reach the limit."""
     one = lambda side: full.select(F.col("set_id").alias(side), F.col("hashes").alias(f"hashes_{side}"))
     both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "hashes_a", "hashes_b")
 
@@ -356,9 +349,8 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     Documents are linked if their sets of `words`-word shingles have a Jaccard similarity of at least
     `percent` %. component_id is the smallest doc_id reachable over links, kept marks the rows that
     carry it. Equal sets are one set from the start, so exact copies cost one row each. Sets that
-    share a band are compared with the band's smallest set first, then with a few chosen by hash; what
-    that links is one component, and then only sets of different components that share a band are
-    compared, all of them, in rounds: a round verifies spanning forests of the pairs that may pass, what they link is
+    share a band are compared with the band's smallest set first; what that links is one component, and then
+    only sets of different components that share a band are compared, all of them, in rounds: a round verifies spanning forests of the pairs that may pass, what they link is
     one component in the next, and the last round takes every pair that is still apart. So no pair that
     shares a band is left out, and a large group of copies costs a few comparisons a member.
 
@@ -376,41 +368,27 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     bands = settle(_banded(sets), "bands")
     shared = bands.groupBy("band").agg(F.count("*").alias("rows"), F.min("set_id").alias("anchor")).where("rows > 1").select("band", "anchor")
     members = settle(bands.join(shared, "band"), "shared-bands")
+    full = _full_sets(members, docs, sets, words)
     stars = settle(_estimated(members.where("set_id <> anchor").select(*_pair("anchor", "set_id")).distinct(), sets, percent), "candidates")
-    first = components(_verified(stars, docs, sets, words, percent))
-    label = settle(members.select(F.col("set_id").alias("node")).distinct().join(first, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    first = components(_verified(stars, full, percent))
+    label = settle(full.select(F.col("set_id").alias("node")).join(first, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
     tested = [stars]
-
-    def link(found: DataFrame, label: DataFrame) -> DataFrame:
-        found = settle(_tested(found, tested), "candidates")
-        if found.isEmpty():
-            return label
-        tested.append(found)
-        return _linked(label, settle(_verified(found, docs, sets, words, percent), "links"))
-
-    apart = _apart(members, label)
-    if not apart.isEmpty():
-        label = link(_estimated(_anchored(apart), sets, percent), label)
+    for forests in (None, *FORESTS):
         apart = _apart(members, label)
-    fine = None
-    for step in ("blocks", *FORESTS):
+        if forests is None:  # large bands first: what a block links by itself need not be found between blocks
+            apart = apart.where(F.col("rows") > BLOCK)
         if apart.isEmpty():
-            break
-        if fine is None:
-            made = _made_again(apart.select("set_id").distinct(), docs, sets, words, fine_bits).withColumnRenamed("made", "bits")
-            fine = settle(made.join(sets.select("set_id", "n"), "set_id"), "fine")
-        if step == "blocks":  # large bands alone: what a block links by itself need not be found between blocks
-            apart_now = apart.where(F.col("rows") > BLOCK)
-            if apart_now.isEmpty():
+            if forests is None:
                 continue
-        found = settle(_across(_cells(apart if step != "blocks" else apart_now, fine, step != "blocks"), percent, 1 if step == "blocks" else step), "passing")
-        more = step == "blocks" or not found.where("more").isEmpty()
-        label = link(found, label)
-        if not more:
             break
-        apart = _apart(members, label)
-    first = label
-    named = sets.select("set_id", "doc_id").join(first.withColumnRenamed("node", "set_id"), "set_id", "left")
+        found = settle(_across(_cells(apart, full, forests is not None), percent, 1 if forests is None else forests), "passing")
+        untested = settle(_tested(found, tested), "candidates")
+        if not untested.isEmpty():
+            tested.append(untested)
+            label = _linked(label, _verified(untested, full, percent))
+        if forests is not None and found.where("more").isEmpty():
+            break
+    named = sets.select("set_id", "doc_id").join(label.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = named.select("set_id", "doc_id", F.coalesce("label", "set_id").alias("label"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_set = named.join(smallest, "label").select("set_id", "component_id", F.col("label").alias("group"))
