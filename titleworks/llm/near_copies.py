@@ -28,8 +28,7 @@ BLOCK = 256  # rows of a band that meet the same number of others in one step
 FORESTS = (1, 8, 0)  # spanning forests of candidates that a cell gives in the rounds; 0: all its pairs
 BROADCAST_IDS = 2_000_000  # 16 MB; more ids are joined by a shuffle
 
-FINE_ERROR = 0.0145  # standard error of that estimate at 0.8, of sets with more shingles than registers; less of others
-FINE = 2048  # registers of the second estimate, for sets that are still apart; their odd sketch of as many bits is kept
+FINE = 2048  # registers of the second estimate, for sets that are still apart; an odd sketch of as many bits is kept
 
 _BAND = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
 _EDGES = {m: np.array([-(-(b << 64) // m) for b in range(m)], dtype=np.uint64) for m in (REGISTERS, FINE)}
@@ -82,25 +81,32 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return (equal - chance) / (1 - chance)
 
 
-def odd_sketch(s: np.ndarray) -> tuple[bytes, int]:
-    """Bits that the registers of a set's FINE buckets turn over, each one its own by hash, and how many buckets are not empty."""
+def odd_sketch(s: np.ndarray) -> bytes:
+    """Two rows of FINE bits: which buckets of a set are not empty, and which bits their registers turn over, each one its own by hash."""
     place = np.searchsorted(s, _EDGES[FINE])
-    has = np.flatnonzero(place < np.append(place[1:], len(s)))
+    has = place < np.append(place[1:], len(s))
     turned = np.bincount((mixed(s[place[has]] ^ np.uint64(FINE)) >> np.uint64(53)).astype(np.int64), minlength=FINE)
-    return np.packbits((turned & 1).astype(bool)).tobytes(), len(has)
+    return np.packbits(np.concatenate([has, (turned & 1).astype(bool)])).tobytes()
 
 
-def fine_estimate(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], percent: int) -> np.ndarray:
-    """Similarities of all sets of x to all of y, each (bits as 64-bit words, buckets not empty, size): the bits that differ tell
-    how many registers do. Exact for its purpose near the limit: the buckets of a union are those of a pair at the limit.
+def fine_estimate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Similarities of all sets of x to all of y (sketches as 64-bit words), and their standard errors near 0.8.
+
+    The turned bits that differ tell how many registers do, the buckets of either set what they are a share of. Errors come
+    from bits turned twice, and from registers standing for more elements than one; sets of few shingles have hardly any.
     """
-    apart = np.zeros((len(x[0]), len(y[0])), np.int64)
-    for k in range(FINE // 64):
-        apart += np.bitwise_count(x[0][:, k, None] ^ y[0][None, :, k])
+    half = FINE // 64
+    apart, either = np.zeros((len(x), len(y)), np.int64), np.zeros((len(x), len(y)), np.int64)
+    for k in range(half):
+        either += np.bitwise_count(x[:, k, None] | y[None, :, k])
+        apart += np.bitwise_count(x[:, half + k, None] ^ y[None, :, half + k])
+    full = [np.bitwise_count(z[:, :half]).sum(axis=1, dtype=np.int64) for z in (x, y)]
     differ = -FINE / 2 * np.log(np.maximum(1 - 2 * apart / FINE, 1e-3))
-    same = (x[1][:, None] + y[1][None, :] - differ) / 2
-    union = (x[2][:, None] + y[2][None, :]) / (1 + percent / 100)
-    return same / (FINE * -np.expm1(-union / FINE))
+    same = (full[0][:, None] + full[1][None, :] - differ) / 2
+    elements = -FINE * np.log(np.maximum(1 - either / FINE, 1e-4))  # of the union, about
+    turned = 0.25 * (np.expm1(0.8 * either / FINE) * FINE - 0.8 * either) / np.maximum(either, 1) ** 2  # 0.4 of the buckets' registers differ
+    sampled = 0.16 / np.maximum(either, 1) * (1 - either / np.maximum(elements, either + 1e-9))
+    return same / np.maximum(either, 1), np.sqrt(turned + sampled)
 
 
 def forest(x: np.ndarray, y: np.ndarray, weight: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -227,8 +233,8 @@ def _cells(own: DataFrame, fine: DataFrame, whole: bool) -> DataFrame:
     own = own.withColumn("other", F.col("part") != F.col("main"))
     block = lambda count, seed: F.ceil(F.col(count) / BLOCK).cast("int")
     at = lambda of: F.pmod(F.xxhash64("set_id"), F.col(of)).cast("int")
-    columns = ["band", "i", "j", "seeks", "set_id", "part", "n", "filled", "bits"]
-    fine = fine.select("set_id", "n", "filled", "bits")
+    columns = ["band", "i", "j", "seeks", "set_id", "part", "n", "bits"]
+    fine = fine.select("set_id", "n", "bits")
     if not whole:
         cells = own.withColumn("i_of", block("rows", 0)).select("band", "set_id", "part", at("i_of").alias("i"), F.lit(0).alias("j"), F.lit(True).alias("seeks"))
         return cells.join(fine, "set_id").select(*columns)
@@ -246,19 +252,18 @@ def _across(cells: DataFrame, percent: int, forests: int) -> DataFrame:
     of the edges that the ones before have left): pairs that a link found elsewhere would make needless are not made.
     With 0 forests all pairs leave. more: there were others.
     """
-    limit = percent / 100 - SLACK * FINE_ERROR
     cells = cells.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "seeks", "set_id")
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
-        ids, n, filled = (rows.column(k).to_numpy() for k in ("set_id", "n", "filled"))
+        ids, n = (rows.column(k).to_numpy() for k in ("set_id", "n"))
         part = np.unique(rows.column("part").to_numpy(), return_inverse=True)[1]
-        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, FINE // 64)
+        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, FINE // 32)
         seeks = rows.column("seeks").to_numpy(zero_copy_only=False)
         asking = np.flatnonzero(seeks)
         asked = asking if seeks.all() else np.flatnonzero(~seeks)
-        likely = fine_estimate(*((bits[k], filled[k], n[k]) for k in (asking, asked)), percent)
+        likely, error = fine_estimate(bits[asking], bits[asked])
         size = 100 * np.minimum(n[asking, None], n[None, asked]) >= percent * np.maximum(n[asking, None], n[None, asked])
-        x, y = np.nonzero(size & (likely >= limit) & (part[asking, None] != part[None, asked]))
+        x, y = np.nonzero(size & (likely >= percent / 100 - SLACK * error - 1e-6) & (part[asking, None] != part[None, asked]))
         weight = likely[x, y]
         x, y = asking[x], asked[y]
         kept = np.zeros(len(x), bool)
@@ -292,7 +297,7 @@ def _across(cells: DataFrame, percent: int, forests: int) -> DataFrame:
 
 
 def _full_sets(members: DataFrame, docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
-    """(set_id, n, filled, bits, hashes) of all sets that share a band: their texts are read again, once."""
+    """(set_id, n, bits, hashes) of all sets that share a band: their texts are read again, once."""
     wanted = settle(members.select("set_id").distinct().join(sets.select("set_id", "place"), "set_id"), "wanted")
     ids = wanted.select("place").distinct()
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
@@ -302,13 +307,12 @@ def _full_sets(members: DataFrame, docs: DataFrame, sets: DataFrame, words: int)
         for batch in batches:
             for found in sets_of(batch.column(0), words):
                 own = [s for s in found if len(s)]
-                odd = [odd_sketch(s) for s in own]
-                columns = [([_set_id(s) for s in own], pa.int64()), ([len(s) for s in own], pa.int64()), ([f for _, f in odd], pa.int32()), ([b for b, _ in odd], pa.binary()), ([s.tobytes() for s in own], pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in columns], names=["set_id", "n", "filled", "bits", "hashes"])
+                columns = [([_set_id(s) for s in own], pa.int64()), ([len(s) for s in own], pa.int64()), ([odd_sketch(s) for s in own], pa.binary()), ([s.tobytes() for s in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in columns], names=["set_id", "n", "bits", "hashes"])
 
-    made = texts.mapInArrow(run, "set_id bigint, n bigint, filled int, bits binary, hashes binary")
+    made = texts.mapInArrow(run, "set_id bigint, n bigint, bits binary, hashes binary")
     same = made.join(wanted.select("set_id"), "set_id", "left_semi").groupBy("set_id")  # equal ids may name several texts
-    return settle(same.agg(*(F.first(c).alias(c) for c in ("n", "filled", "bits", "hashes"))), "full-sets")
+    return settle(same.agg(*(F.first(c).alias(c) for c in ("n", "bits", "hashes"))), "full-sets")
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
