@@ -144,6 +144,37 @@ def test_metadata(spark, store, reference, tmp_path):
     assert facts.data_last_updated is not None
 
 
+def test_a_refresh_writes_the_touched_buckets_alone(spark, reference, tmp_path):
+    store = Q.Store(spark, str(tmp_path / "store"), buckets=8)
+    rows = [{"mal_id": str(i), "title": f"Title {i}", "genres": "Drama", "studios": f"Studio {i % 5}"} for i in range(200)]
+    Q.run(store, reference, write_snapshot(tmp_path / "s.csv", rows))
+    first = store.newest()
+    before, old = {(e["table_name"], e["bucket"]): e["folder"] for e in store.manifest(first)}, content(store.current())
+    opened = store.current()
+    batch = N.prepare(records(spark, [{"mal_id": "17", "title": "New", "genres": "Adventure"}], "api"))
+    store.merge("attempt", first, batch, reference)  # not logged: readers see the old tables
+    assert content(store.current()) == old
+    assert Q.run(store, reference, None, land(tmp_path / "pages", [page(1, [17], more=False)]), 1) == "success"
+    after = {(e["table_name"], e["bucket"]): e["folder"] for e in store.manifest(store.newest())}
+    changed = {k for k in after if k[1] is not None and after[k] != before.get(k)}
+    assert {name for name, _ in changed} <= {"titles", "title_tags", "title_companies"} and len({b for _, b in changed}) == 1
+    assert len(before) == len(after) and content(store.current())["titles"][17] == (17, "T17", "api")
+    assert [t for t in content(store.current())["titles"] if t[0] != 17] == [t for t in old["titles"] if t[0] != 17]
+    assert content(opened) == old  # a reader keeps the folders it has opened
+    whole, _ = Q.load(store.tables(first), Q.page_records(Q.read_pages(spark, str(tmp_path / "pages"), "top", 1)), reference)
+    assert content(whole) == content(store.current())
+
+
+def test_a_bucket_that_loses_all_rows_is_left_out(spark, reference, tmp_path):
+    store = Q.Store(spark, str(tmp_path / "store"), buckets=4, files=3)
+    assert store.merge("a", None, N.prepare(records(spark, ROWS)), reference).count() == 1
+    store.merge("b", "a", N.prepare(records(spark, [{"mal_id": "1", "title": "Bare"}])), reference)
+    assert content(store.tables("b"))["title_tags"] == [(3, 8), (3, 26), (3, 27)]
+    store.merge("c", "b", N.prepare(records(spark, [{"mal_id": "3", "title": "Bare"}])), reference)
+    assert content(store.tables("c"))["title_tags"] == [] and content(store.tables("c"))["titles"] == [(1, "Bare", "kaggle"), (3, "Bare", "kaggle")]
+    assert content(store.tables("a"))["title_tags"] == [(1, 8), (3, 8), (3, 26), (3, 27)]
+
+
 def test_streamed_pages_merge_like_a_batch(spark, store, reference, tmp_path):
     Q.run(store, reference, write_snapshot(tmp_path / "s.csv", ROWS))
     folder = land(tmp_path / "pages", [page(1, [1, 9])])

@@ -1,7 +1,8 @@
 """Refreshing the tables from newly landed pages as a stream.
 
 Each trigger takes the pages that arrived since the last one and merges them like a batch run.
-The merge is repeatable, so a batch that runs again after a failure changes nothing.
+The merge is repeatable, so a batch that runs again after a failure changes nothing. It reads and writes
+only the buckets of the tables that the batch touches.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from titleworks.operators.cleaning import prepare
-from titleworks.plans.pipeline import Store, load, page_records
+from titleworks.plans.pipeline import Store, page_records
 from titleworks.schemas import PAGE
 from titleworks.session import settle
 
@@ -36,8 +37,7 @@ def refresh(pages: DataFrame, store: Store, reference: DataFrame, checkpoint: st
         # A name of its own for every attempt: readers keep the folder they have opened, and neither a
         # repeated batch nor a new checkpoint can write over a run that is logged as finished.
         run_id = f"refresh-{batch_id:06d}-{uuid.uuid4().hex}"
-        merged, _ = load(store.current(), records, reference)
-        store.write(run_id, merged)
+        store.merge(run_id, store.newest(), records, reference)
         now = store.spark.sql("select current_timestamp()").first()[0]
         store.log(
             run_id=run_id, started_at=now, finished_at=now, base_source="none", api_pages_requested=0,
