@@ -217,7 +217,7 @@ def page_folder(spark, folder: str, gaps: bool = False) -> str:  # noqa: ANN001
             + f", 'genres', {named(('1L', 'type'), ('mal_id', 'season'))}, 'explicit_genres', {none}, 'themes', {none}"
             + f", 'demographics', CASE WHEN mal_id % 2 = 0 THEN {named(('27L', chr(39) + 'Group1' + chr(39)))} END"
             + f", 'studios', {named(('mal_id % 40', chr(39) + 'Studio ' + chr(39) + ' || CAST(mal_id % 40 AS STRING)'))}"
-            + f", 'producers', {none}, 'licensors', {named(('CAST(NULL AS BIGINT)', chr(39) + 'Horgos' + chr(39)))}) AS item",
+            + f", 'producers', {none}, 'licensors', {named(('CAST(NULL AS BIGINT)', chr(39) + 'Pelmora' + chr(39)))}) AS item",
         )
         last = t.agg(F.max("page")).first()[0]
         items = t.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("id", "item"))).alias("i"))
@@ -279,7 +279,7 @@ check(
         F.concat_ws("|", F.transform("companies", lambda c: F.concat_ws("/", c["role"], c["name"], c["mal_id"]))).alias("companies"),
     ),
     f"""WITH {PAGE_RECORDS_SQL} SELECT {', '.join(SCALARS)}, score, concat_ws('|', type, season, CASE WHEN mal_id % 2 = 0 THEN 'Group1' END) AS tags,
-    'studio/Studio ' || (mal_id % 40) || '/' || (mal_id % 40) || '|licensor/Horgos' AS companies FROM page_records""",
+    'studio/Studio ' || (mal_id % 40) || '/' || (mal_id % 40) || '|licensor/Pelmora' AS companies FROM page_records""",
 )
 
 
@@ -345,7 +345,7 @@ check(
     "dim_companies",
     lambda s, d: G.merge_companies(_old_companies(s, d), G.batch_companies(prepared(s, d))).select("name", "mal_id"),
     f"""WITH {RECORDS_SQL}, {CREDITS}, {PAGES_SQL}, old AS (SELECT 'Studio ' || (mal_id % 40) AS name, mal_id % 40 AS mal_id FROM landed
-      UNION SELECT 'Horgos', NULL FROM landed)
+      UNION SELECT 'Pelmora', NULL FROM landed)
     SELECT name, max(mal_id) AS mal_id FROM (SELECT name, mal_id FROM old UNION ALL SELECT name, NULL FROM credits) GROUP BY name""",
 )
 

@@ -245,6 +245,25 @@ check(
     f"""{CATALOG} SELECT {SUMMARY} FROM catalog WHERE contains(lower(title), 'machinery (199') OR contains(lower(title_english), 'machinery (199')
     ORDER BY members DESC NULLS LAST, mal_id LIMIT 20""",
 )
+# Queries of a batch: every segment with every year in brackets, and the (one-letter) states of orders.
+SEARCHES = """SELECT DISTINCT c_mktsegment || ' (' || CAST(year(o_orderdate) AS STRING) || ')' AS query FROM orders JOIN customer ON c_custkey = o_custkey
+  UNION SELECT o_orderstatus FROM orders UNION SELECT substring(c_name, 12, 5) FROM customer"""
+
+
+def _searches(spark, folder: str) -> DataFrame:  # noqa: ANN001
+    for name in ("orders", "customer"):
+        X.read(spark, folder, name).createOrReplaceTempView(name)
+    return spark.sql(SEARCHES).select(F.col("query").alias("query_id"), "query")
+
+
+check(
+    "serve_search_batch",
+    lambda s, d: L.search_many(catalog(s, d), _searches(s, d), 5),
+    f"""{CATALOG}, q AS ({SEARCHES.replace("STRING", "VARCHAR")}),
+    hits AS (SELECT q.query AS query_id, row_number() OVER (PARTITION BY q.query ORDER BY members DESC NULLS LAST, mal_id) AS rank, {SUMMARY}
+      FROM q JOIN catalog ON contains(lower(title), lower(query)) OR coalesce(contains(lower(title_english), lower(query)), false))
+    SELECT * FROM hits WHERE rank <= 5""",
+)
 RECS = blend_sql(True) + f", {DOC_CATALOG}"
 PICKED = "SELECT mal_id FROM docs WHERE mal_id IN (SELECT anime_id FROM picks) ORDER BY n_chars DESC, mal_id LIMIT 1"
 

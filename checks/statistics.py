@@ -333,28 +333,42 @@ check(
 )
 
 
-def _line_coefficients(spark, folder: str) -> DataFrame:  # noqa: ANN001
-    """A coefficient-shaped table from the lines: each brand's mean discount against the overall one."""
-    line = X.read(spark, folder, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_discount", "l_tax")
-    part = X.read(spark, folder, "part").select("p_partkey", "p_brand")
-    rows = line.join(part, "p_partkey").groupBy("p_brand").agg(F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"))
-    return rows.select(
-        F.concat(F.lit("demographic="), F.col("p_brand")).alias("term"), F.round(F.col("d") - 0.05, 9).alias("coef"), F.round(F.col("t"), 9).alias("p_value")
-    )
+def _studio_coefficients(spark, folder: str) -> DataFrame:  # noqa: ANN001
+    """The fit's own coefficients of one factor with many levels."""
+    df = kept_factors(spark, folder)
+    return spark.createDataFrame(fit(df, "mal_id", "score", design(df, {}, ["studio_group"], {}))[0])
 
 
-LINE_COEF_SQL = """WITH c AS (SELECT 'demographic=' || p_brand AS term, round(avg(l_discount) - 0.05, 9) AS coef, round(avg(l_tax), 9) AS p_value
-  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand)"""
+STUDIO_SQL = f"""{BASE}, {FACTORS_SQL}, {GROUPS_SQL.replace("season", "studio_group")},
+c AS (SELECT 'studio_group=' || s.g AS term, s.g || ' (studio)' AS name, s.mean - b.mean AS coef, sqrt(s.var + b.var) AS std_err FROM spread s, base b WHERE s.g <> b.g)"""
 check(
     "top_coefficients",
-    lambda s, d: P.top_coefficients(_line_coefficients(s, d)),
-    f"""{LINE_COEF_SQL} SELECT *, substring(term, 13) || ' (demographic)' AS name, abs(coef) AS size FROM c ORDER BY size DESC, term LIMIT 15""",
+    lambda s, d: rounded(P.top_coefficients(_studio_coefficients(s, d), 10), coef=9, std_err=9, size=9).select("term", "name", "coef", "std_err", "size"),
+    f"""{STUDIO_SQL} SELECT term, name, round(coef, 9) AS coef, round(std_err, 9) AS std_err, round(abs(coef), 9) AS size FROM c ORDER BY abs(coef) DESC, term LIMIT 10""",
 )
 check(
     "coef_extremes",
-    lambda s, d: P.coefficient_extremes(_line_coefficients(s, d)),
-    f"""{LINE_COEF_SQL}, u AS (SELECT * FROM c WHERE p_value < 0.05) SELECT * FROM (SELECT * FROM u ORDER BY coef DESC, term LIMIT 10)
-    UNION SELECT * FROM (SELECT * FROM u ORDER BY coef, term DESC LIMIT 10)""",
+    lambda s, d: rounded(P.coefficient_extremes(_studio_coefficients(s, d), 4), coef=9).select("term", "coef"),
+    f"""{STUDIO_SQL}, u AS (SELECT * FROM c WHERE abs(coef / std_err) > 1.959963984540054)
+    SELECT term, round(coef, 9) AS coef FROM (SELECT * FROM (SELECT * FROM u ORDER BY coef DESC, term LIMIT 4) UNION SELECT * FROM (SELECT * FROM u ORDER BY coef, term DESC LIMIT 4))""",
+)
+check(
+    "group_report",
+    lambda s, d: P.group_report(analysis(s, d).tables["factor_groups"]).select("factor", "group", "n", "median"),
+    f"""{BASE}, {FACTORS_SQL}, {CATEGORY_SQL} SELECT factor, grp AS "group", count(*) AS n, quantile_cont(score, 0.5) AS median FROM category_rows GROUP BY factor, grp""",
+)
+check(
+    "strongest_factors",
+    lambda s, d: rounded(P.strongest(analysis(s, d).tables["tests"]), statistic=6, effect_size=9).select("factor", "n", "statistic", "effect_size"),
+    f"""{ALL_SQL} SELECT factor, n, statistic, effect_size FROM (
+      SELECT * FROM ({kruskal_sql('category_rows')}) UNION ALL SELECT * FROM ({kruskal_sql('tag_rows')})
+      UNION ALL SELECT factor, n, round(statistic, 6), effect_size FROM ({' UNION ALL '.join(rho_sql(c, 'factors') for c in M.NUMERIC_FACTORS)}))
+    ORDER BY effect_size DESC, factor LIMIT 3""",
+)
+check(
+    "factor_test",
+    lambda s, d: rounded(P.factor_test(analysis(s, d).tables["tests"], "source"), statistic=6, effect_size=9).select("factor", "n", "statistic", "effect_size"),
+    f"""{BASE}, {FACTORS_SQL}, {CATEGORY_SQL} SELECT * FROM ({kruskal_sql('category_rows')}) WHERE factor = 'source'""",
 )
 check(
     "findings_facts",

@@ -58,7 +58,7 @@ RAW = {
     "broadcast_day": "CASE WHEN o_orderkey % 3 = 0 THEN 'Fridays' ELSE '' END",
     "broadcast_time": "CASE WHEN o_orderkey % 3 = 0 THEN '23:00' ELSE '' END",
     "producers": "CASE o_orderkey % 4 WHEN 0 THEN c_name || ', Inc., Studio ' || CAST(o_custkey % 40 AS STRING) WHEN 1 THEN 'Unknown' WHEN 2 THEN 'Ltd., A' || CAST(o_custkey % 40 AS STRING) || ', LLC, Inc.,  , B' ELSE '' END",
-    "licensors": "CASE WHEN o_orderkey % 5 = 0 THEN 'Horgos Pictures Co., Ltd., ' || c_name ELSE 'unknown' END",
+    "licensors": "CASE WHEN o_orderkey % 5 = 0 THEN 'Pelmora Pictures Co., Ltd., ' || c_name ELSE 'unknown' END",
     "studios": "'Studio ' || CAST(o_custkey % 40 AS STRING) || CASE WHEN o_orderkey % 6 = 0 THEN ', LLC.' ELSE '' END",
     "genres": "CASE o_orderkey % 3 WHEN 0 THEN 'SMALL, Shoujo Ai' WHEN 1 THEN 'Brand#' || CAST(1 + o_custkey % 30 AS STRING) || ',MEDIUM,  Made Up' ELSE 'SMALL, SMALL' END",
     "explicit_genres": "CASE WHEN o_orderkey % 50 = 0 THEN 'Explicit' ELSE '' END",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from titleworks.functions.titles import title_contains, title_label
@@ -11,6 +11,10 @@ from titleworks.plans.marts import watched
 SUMMARY = ["mal_id", "title", "title_english", "type", "year", "score", "members"]
 
 
+GRAM = 3
+ASKED_GRAMS = 2  # of a query, the rarest ones, that a title must have to be compared with it
+
+
 class UnknownTitle(LookupError):
     """The id is not in the catalog (a known title may still have no picks)."""
 
@@ -27,6 +31,49 @@ def search(catalog: DataFrame, query: str, limit: int = 10) -> DataFrame:
     return hits.select(*SUMMARY).orderBy(F.desc_nulls_last("members"), "mal_id").limit(limit)
 
 
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of `size` characters of a text."""
+    last = F.length(text) - F.lit(size - 1)
+    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(text, i, F.lit(size)))
+    return F.when(last >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def postings(catalog: DataFrame, sizes: list[int]) -> DataFrame:
+    """(gram, mal_id): the titles that hold each run of characters, in either of their names."""
+    names = [F.lower("title"), F.lower("title_english")]
+    every = F.array_distinct(F.concat(*[F.coalesce(_grams(name, size), F.array().cast("array<string>")) for name in names for size in sizes]))
+    return catalog.select("mal_id", F.explode(every).alias("gram"))
+
+
+def search_many(catalog: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """`search` for a table of queries (query_id, query): (query_id, rank, ...), up to `limit` titles each.
+
+    Titles that have a query's rarest trigrams are compared with it as a whole; other titles are never looked at. A
+    query of fewer than three letters is itself the run that is looked up. Queries that are null or empty find nothing; equal
+    queries under several ids are answered for each; ids should be unique.
+    """
+    if not 1 <= limit <= 50:
+        raise ValueError("a limit is from 1 to 50")
+    folded = F.lower("query")
+    asked = queries.where(F.length("query") > 0).select("query_id", folded.alias("query"))
+    size = F.least(F.length("query"), F.lit(GRAM))
+    own = F.coalesce(*[F.when(size == n, _grams(F.col("query"), n)) for n in range(1, GRAM + 1)])
+    wanted = asked.select("query_id", "query", F.explode(own).alias("gram"))
+    held = postings(catalog, list(range(1, GRAM + 1))).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    common = held.groupBy("gram").agg(F.count("*").alias("titles"))
+    rarest = F.row_number().over(Window.partitionBy("query_id").orderBy("titles", "gram"))
+    # A gram that no title has ranks first, so such a query finds nothing.
+    chosen = wanted.join(common, "gram", "left").fillna(0, ["titles"]).withColumn("place", rarest).where(F.col("place") <= ASKED_GRAMS)
+    needed = F.count("*").over(Window.partitionBy("query_id"))
+    chosen = chosen.select("query_id", "query", "gram", needed.alias("needed"))
+    likely = chosen.join(held, "gram").groupBy("query_id", "query", "needed", "mal_id").agg(F.count("*").alias("found")).where("found = needed")
+    rows = likely.join(catalog.select(*SUMMARY), "mal_id")
+    holds = [F.coalesce(F.contains(F.lower(name), F.col("query")), F.lit(False)) for name in ("title", "title_english")]
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("members"), "mal_id"))
+    hits = rows.where(holds[0] | holds[1])
+    return hits.withColumn("rank", best).where(F.col("rank") <= limit).select("query_id", "rank", *SUMMARY)
+
+
 def recommend(catalog: DataFrame, recs: DataFrame, title_id: int, k: int = 10) -> DataFrame:
     """Up to k picks for a title, best first."""
     if not 1 <= k <= 10:
