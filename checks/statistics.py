@@ -339,8 +339,10 @@ def _studio_coefficients(spark, folder: str) -> DataFrame:  # noqa: ANN001
     return spark.createDataFrame(fit(df, "mal_id", "score", design(df, {}, ["studio_group"], {}))[0])
 
 
-STUDIO_SQL = f"""{BASE}, {FACTORS_SQL}, {GROUPS_SQL.replace("season", "studio_group")},
-c AS (SELECT 'studio_group=' || s.g AS term, s.g || ' (studio)' AS name, s.mean - b.mean AS coef, sqrt(s.var + b.var) AS std_err FROM spread s, base b WHERE s.g <> b.g)"""
+_COEFFICIENTS = f"""{GROUPS_SQL},
+c AS (SELECT 'season=' || s.g AS term, s.g || ' (studio)' AS name, s.mean - b.mean AS coef, sqrt(s.var + b.var) AS std_err FROM spread s, base b WHERE s.g <> b.g)"""
+STUDIO_SQL = f"{BASE}, {FACTORS_SQL}, " + _COEFFICIENTS.replace("season", "studio_group")
+SEASON_SQL = f"{BASE}, {FACTORS_SQL}, {_COEFFICIENTS}"
 check(
     "top_coefficients",
     lambda s, d: rounded(P.top_coefficients(_studio_coefficients(s, d), 10), coef=9, std_err=9, size=9).select("term", "name", "coef", "std_err", "size"),
@@ -348,8 +350,8 @@ check(
 )
 check(
     "coef_extremes",
-    lambda s, d: rounded(P.coefficient_extremes(_studio_coefficients(s, d), 4), coef=9).select("term", "coef"),
-    f"""{STUDIO_SQL}, u AS (SELECT * FROM c WHERE abs(coef / std_err) > 1.959963984540054)
+    lambda s, d: rounded(P.coefficient_extremes(s.createDataFrame(_one_factor(s, d)[0]), 4), coef=9).select("term", "coef"),
+    f"""{SEASON_SQL}, u AS (SELECT * FROM c WHERE abs(coef / std_err) > 1.959963984540054)
     SELECT term, round(coef, 9) AS coef FROM (SELECT * FROM (SELECT * FROM u ORDER BY coef DESC, term LIMIT 4) UNION SELECT * FROM (SELECT * FROM u ORDER BY coef, term DESC LIMIT 4))""",
 )
 check(
