@@ -10,13 +10,14 @@ from checks.catalog import BASE, FACTORS_SQL, QUESTION_TAGS_SQL, factors, popula
 from checks.cleaning import _funnel
 from checks.registry import check, once
 from titleworks.operators import rank_tests as R
-from titleworks.operators.merge import table_counts
 from titleworks.operators.ranks import average_ranks
 from titleworks.operators.regression import design, fit, level_counts, nonzero_entries, reference_levels
 from titleworks.plans import analysis as A
 from titleworks.plans import marts as M
+from titleworks.plans import outputs as O
 from titleworks.plans import report as P
-from titleworks.session import settle
+from titleworks.session import settle, working_path
+from titleworks.sources import sinks as S
 
 CATEGORIES = list(M.CATEGORICAL_FACTORS)
 CATEGORY_SQL = "category_rows AS (" + " UNION ALL ".join(
@@ -280,7 +281,85 @@ check(
       CASE WHEN effect_size < 0.01 THEN 'negligible' WHEN effect_size < 0.06 THEN 'small' WHEN effect_size < 0.14 THEN 'medium' ELSE 'large' END AS effect_label
     FROM found""",
 )
-check("analysis_all", lambda s, d: table_counts(A.analyze(X.titles(s, d), X.tables(s, d)).tables))
+
+
+def _whole_analysis(spark, folder: str) -> DataFrame:  # noqa: ANN001
+    """Every row of every result table of a run, as (table_name, row)."""
+    results = A.analyze(X.titles(spark, folder), X.tables(spark, folder))
+    rows = None
+    for name, table in {**results.tables, "summary": O.summary(spark, results)}.items():
+        part = table.select(F.lit(name).alias("table_name"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+check("analysis_all", _whole_analysis)
+check(
+    "median_ci_resampled",
+    lambda s, d: R.resampled_medians(R.category_cells(kept_factors(s, d), CATEGORIES)),
+)
+check(
+    "group_report",
+    lambda s, d: P.group_report(analysis(s, d).tables["factor_groups"]).select("place", "factor", "group", "n", "median"),
+    f"""{BASE}, {FACTORS_SQL}, {CATEGORY_SQL}, medians AS (SELECT factor, grp AS "group", count(*) AS n, quantile_cont(score, 0.5) AS median FROM category_rows GROUP BY ALL)
+    SELECT CAST(row_number() OVER (ORDER BY list_position({CATEGORIES!r}, factor), median DESC, "group") AS INTEGER) AS place, * FROM medians""",
+)
+LABEL_SQL = "CASE WHEN {0} < 0.01 THEN 'negligible' WHEN {0} < 0.06 THEN 'small' WHEN {0} < 0.14 THEN 'medium' ELSE 'large' END"
+
+
+def _outputs(spark, folder: str) -> DataFrame:  # noqa: ANN001
+    """The analysis tables and the summary of a run, written, opened again, and put into one table."""
+    root = working_path(spark, "outputs")
+    O.write_analysis(spark, root, analysis(spark, folder), _funnel(spark, folder)[0])
+    t = S.load_tables(spark, root, O.ANALYSIS_TABLES, "summary")
+    slash = lambda *c: F.concat_ws("/", *c)
+    parts = {
+        "tests": (slash("question", "factor"), "n", F.round("effect_size", 9)),
+        "factor_groups": (slash("factor", "group"), "n", "median"),
+        "tag_effects": ("factor", "n_with", F.round("difference", 6)),
+        "ols_coefficients": ("term", F.lit(1), F.lit(0)),
+        "popularity_deciles": ("decile", "n", "median"),
+        "top250_tags": ("factor", "n_with_top250", F.round("share_population", 9)),
+        "numeric_bins": (slash("factor", "group"), "n", "median"),
+    }
+    rows = t["summary"].select(
+        F.lit("summary").alias("table_name"),
+        F.inline(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("n"), F.lit(0.0).alias("value")) for c in ("model_n", "rows_dropped", "population_n", "top250_n")])),
+    )
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    for name, (key, n, value) in parts.items():
+        rows = rows.unionByName(t[name].select(
+            F.lit(name).alias("table_name"), column(key).cast("string").alias("key"), column(n).cast("bigint").alias("n"), column(value).cast("double").alias("value")
+        ))
+    return rows
+
+
+check(
+    "outputs",
+    _outputs,
+    f"""{ALL_SQL}, {RANGE_SQL}, {_COMPLETE}, {LEVELS_SQL.replace("FROM factors", "FROM complete")},
+    rhos AS ({' UNION ALL '.join([rho_sql(c, 'factors') for c in M.NUMERIC_FACTORS] + [rho_sql('members', 'population')])}),
+    deciles AS (SELECT *, ntile(10) OVER (ORDER BY members, mal_id) AS decile FROM population),
+    bins AS ({" UNION ALL ".join(_bin_sql(f) for f in M.BIN_EDGES)}),
+    found AS (SELECT 'Q1' AS question, factor, n, effect_size FROM ({kruskal_sql('category_rows')}) UNION ALL SELECT 'Q1', factor, n, effect_size FROM ({kruskal_sql('tag_rows')})
+      UNION ALL SELECT 'Q3', factor, n, effect_size FROM ({kruskal_sql('top_rows')})
+      UNION ALL SELECT CASE factor WHEN 'members' THEN 'Q2' ELSE 'Q1' END, factor, n, effect_size FROM rhos),
+    terms AS (SELECT unnest(['const', 'log1p(episodes)', 'log1p(duration_min)', 'year']) AS term UNION ALL SELECT factor FROM chosen
+      {" ".join(f"UNION ALL SELECT DISTINCT '{c}=' || {c} FROM complete WHERE {c} <> (SELECT reference FROM refs WHERE factor = '{c}')" for c in CATEGORIES)}),
+    rows AS (SELECT 'tests' AS table_name, question || '/' || factor AS key, n, effect_size AS value FROM found
+      UNION ALL SELECT 'factor_groups', factor || '/' || grp, count(*), quantile_cont(score, 0.5) FROM category_rows GROUP BY factor, grp
+      UNION ALL SELECT 'tag_effects', factor, count(*) FILTER (grp = 'true'),
+        round(quantile_cont(score, 0.5) FILTER (grp = 'true') - quantile_cont(score, 0.5) FILTER (grp = 'false'), 6) FROM tag_rows GROUP BY factor
+      UNION ALL SELECT 'ols_coefficients', term, 1, 0 FROM terms
+      UNION ALL SELECT 'popularity_deciles', CAST(decile AS VARCHAR), count(*), quantile_cont(CAST(score AS DOUBLE), 0.5) FROM deciles GROUP BY decile
+      UNION ALL SELECT 'top250_tags', factor, n_with_top250, round(share_population, 9) FROM ranges
+      UNION ALL SELECT 'numeric_bins', factor || '/' || "group", n, median FROM bins
+      UNION ALL SELECT 'summary', 'model_n', count(*), 0 FROM complete
+      UNION ALL SELECT 'summary', 'rows_dropped', (SELECT count(*) FROM factors) - count(*), 0 FROM complete
+      UNION ALL SELECT 'summary', 'population_n', count(*), 0 FROM factors
+      UNION ALL SELECT 'summary', 'top250_n', count(*), 0 FROM top_ids)
+    SELECT table_name, key, CAST(n AS BIGINT) AS n, CAST(value AS DOUBLE) AS value FROM rows""",
+)
 
 
 # -- report tables: checked on what the statistics above gave ------------------------------------
@@ -374,13 +453,22 @@ check(
 )
 check(
     "findings_facts",
-    lambda s, d: P.findings(analysis(s, d).tables, _funnel(s, d)[0]).select(
-        "n_tests", "n_tags", F.round("popularity_rho", 6).alias("popularity_rho"), F.round("year_rho", 6).alias("year_rho"),
+    lambda s, d: P.findings(analysis(s, d).tables, _funnel(s, d)[0], O.summary(s, analysis(s, d))).select(
+        "n_tests", "n_tags", "model_n", "rows_dropped", "population_n", "top250_n", "popularity_label", "year_label", "any_large",
+        F.array_join(F.transform(F.array_sort(F.map_entries("references")), lambda e: F.concat_ws("=", e["key"], e["value"])), "|").alias("references"),
+        F.round("popularity_rho", 6).alias("popularity_rho"), F.round("year_rho", 6).alias("year_rho"),
         F.round("mean_gap_population", 6).alias("mean_gap_population"), F.round("mean_gap_top250", 6).alias("mean_gap_top250"),
         "recent_titles", "lowest_decile_median", "highest_decile_median",
     ),
-    f"""{ALL_SQL}, {RANGE_SQL}, {DIFFERENCE_SQL}, k3 AS ({kruskal_sql('top_rows')}), t AS (SELECT *, ntile(10) OVER (ORDER BY members, mal_id) AS decile FROM population)
+    f"""{ALL_SQL}, {RANGE_SQL}, {DIFFERENCE_SQL}, {_COMPLETE}, {LEVELS_SQL.replace("FROM factors", "FROM complete")}, k3 AS ({kruskal_sql('top_rows')}), t AS (SELECT *, ntile(10) OVER (ORDER BY members, mal_id) AS decile FROM population)
     SELECT (SELECT count(*) FROM chosen) + (SELECT count(*) FROM k3) + 10 AS n_tests, (SELECT count(*) FROM chosen) AS n_tags,
+      (SELECT count(*) FROM complete) AS model_n, (SELECT count(*) FROM factors) - (SELECT count(*) FROM complete) AS rows_dropped,
+      (SELECT count(*) FROM factors) AS population_n, (SELECT count(*) FROM top_ids) AS top250_n,
+      (SELECT {LABEL_SQL.format('effect_size')} FROM ({rho_sql('members', 'population')})) AS popularity_label,
+      (SELECT {LABEL_SQL.format('effect_size')} FROM ({rho_sql('year', 'factors')})) AS year_label,
+      (SELECT max(effect_size) >= 0.14 FROM (SELECT effect_size FROM ({kruskal_sql('category_rows')}) UNION ALL SELECT effect_size FROM ({kruskal_sql('tag_rows')})
+        UNION ALL SELECT effect_size FROM ({' UNION ALL '.join(rho_sql(c, 'factors') for c in M.NUMERIC_FACTORS)}))) AS any_large,
+      (SELECT string_agg(factor || '=' || reference, '|' ORDER BY factor) FROM refs) AS "references",
       (SELECT round(statistic, 6) FROM ({rho_sql('members', 'population')})) AS popularity_rho,
       (SELECT round(statistic, 6) FROM ({rho_sql('year', 'factors')})) AS year_rho,
       (SELECT round(avg(abs(difference)), 6) FROM gaps) AS mean_gap_population,

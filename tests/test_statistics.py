@@ -1,5 +1,7 @@
 """Statistics give known answers and agree with brute force."""
 
+from decimal import Decimal, localcontext
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -200,3 +202,40 @@ def test_regression_recovers_a_plane(spark):
         row = table.set_index("term").loc[term]
         assert abs(row.coef - value) < 4 * row.std_err < 0.2
     assert facts["n"] == 1500 and facts["model_r2"] == pytest.approx(facts["r2"], abs=0.02)
+
+
+def _log_gamma(z):
+    z = Decimal(z)
+    rest = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    return (z - Decimal("0.5")) * z.ln() - z + Decimal("6.283185307179586476925286766559005768394").ln() / 2 + rest
+
+
+@pytest.mark.parametrize("n", [1_000, 1_000_000, 1_000_000_000])
+def test_tails_keep_their_digits_at_every_size(n):
+    with localcontext() as digits:
+        digits.prec = 60
+        for a, step in ((n // 2, 1), (n // 2, -2), (n // 5 * 2, 0)):
+            b, k = n - a + 1, a + step * int(n**0.5)
+            x = Decimal(k) / n
+            true = (_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * x.ln() + b * (1 - x).ln()).exp()
+            assert B.beta_front(k / n, (n - k) / n, a, b) == pytest.approx(float(true), rel=1e-11)
+        h = n + 3 * int(n**0.5)
+        true = (n * Decimal(h).ln() - h - _log_gamma(n)).exp()
+        assert B.gamma_front(h, n) == pytest.approx(float(true), rel=1e-11)
+
+
+@pytest.mark.parametrize("n", [301, 400])
+def test_resampled_medians_are_near_the_exact_limits_and_repeat(spark, n):
+    random = np.random.default_rng(n)
+    scores = np.round(random.normal(7, 1, n), 2)
+    values, counts = np.unique(scores, return_counts=True)
+    cells = spark.createDataFrame([("a", "x", float(v), int(c)) for v, c in zip(values, counts, strict=True)], "factor string, group string, score double, n long")
+    first = R.resampled_medians(cells.repartition(1)).collect()
+    assert first == R.resampled_medians(cells.repartition(5, "score")).collect()
+    assert first != R.resampled_medians(cells, seed=1, resamples=999).collect()
+    exact = R.group_medians(cells).first()
+    for share, limit, found in ((0.025, exact.ci_low, first[0].ci_low), (0.975, exact.ci_high, first[0].ci_high)):
+        medians = np.sort([np.median(random.choice(scores, n)) for _ in range(4000)])
+        low, high = np.quantile(medians, [max(0, share - 0.02), min(1, share + 0.02)])
+        assert low <= found <= high and low <= limit <= high
+    assert first[0].n == n

@@ -1,6 +1,7 @@
 """Tail probabilities for small result tables (one row per test or group).
 
-Public formulas (continued fractions for the incomplete gamma and beta functions).
+Public formulas: continued fractions for the incomplete gamma and beta functions, and deviances with Stirling
+corrections for what stands before them, as differences of log-gammas would lose digits with growing sizes.
 """
 
 from __future__ import annotations
@@ -34,12 +35,48 @@ def _fraction(step, start: float, most: int) -> float:  # noqa: ANN001
     raise ArithmeticError(f"a continued fraction did not settle in {most} steps")
 
 
-def beta_cdf(x: float, a: float, b: float) -> float:
-    """Regularised incomplete beta function."""
-    if x <= 0.0 or x >= 1.0:
-        return float(x >= 1.0)
+def _stirling_rest(z: float) -> float:
+    """log(z!) less Stirling's (z + 1/2) log z - z + log(2 pi) / 2."""
+    if z < 15.0:
+        return math.lgamma(z + 1.0) - (z + 0.5) * math.log(z) + z - 0.5 * math.log(2.0 * math.pi)
+    w = 1.0 / (z * z)
+    return (1 / 12 - w * (1 / 360 - w * (1 / 1260 - w * (1 / 1680 - w / 1188)))) / z
+
+
+def _deviance(seen: float, expected: float) -> float:
+    """seen log(seen / expected) + expected - seen, also where both are nearly equal."""
+    gap = seen - expected
+    if abs(gap) >= 0.1 * (seen + expected):
+        return seen * math.log(seen / expected) - gap
+    v = gap / (seen + expected)
+    total, power = gap * v, 2.0 * seen * v
+    for j in range(3, 400, 2):
+        power *= v * v
+        last, total = total, total + power / j
+        if total == last:
+            break
+    return total
+
+
+def beta_front(x: float, y: float, a: float, b: float) -> float:
+    """x^a y^b / B(a, b), with y = 1 - x."""
+    n = a + b
+    rest = _stirling_rest(n) - _stirling_rest(a) - _stirling_rest(b) - _deviance(a, n * x) - _deviance(b, n * y)
+    return math.sqrt(a / n * b / (2.0 * math.pi)) * math.exp(rest)
+
+
+def gamma_front(h: float, a: float) -> float:
+    """h^a e^-h / Gamma(a)."""
+    return math.sqrt(a / (2.0 * math.pi)) * math.exp(-_stirling_rest(a) - _deviance(a, h))
+
+
+def beta_cdf(x: float, a: float, b: float, y: float | None = None) -> float:
+    """Regularised incomplete beta function; y is 1 - x, where that is known better than x tells."""
+    y = 1.0 - x if y is None else y
+    if x <= 0.0 or y <= 0.0:
+        return float(y <= 0.0)
     if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - beta_cdf(1.0 - x, b, a)
+        return 1.0 - beta_cdf(y, b, a, x)
 
     def step(i: int) -> tuple[float, float]:
         m = i // 2
@@ -47,8 +84,7 @@ def beta_cdf(x: float, a: float, b: float) -> float:
             return -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)), 1.0
         return m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), 1.0
 
-    log_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    return math.exp(log_front) / (a * _fraction(step, 1.0, _steps(a + b)))
+    return beta_front(x, y, a, b) / (a * _fraction(step, 1.0, _steps(a + b)))
 
 
 def chi2_tail(x: float, df: float) -> float:
@@ -56,20 +92,19 @@ def chi2_tail(x: float, df: float) -> float:
     a, half = df / 2.0, x / 2.0
     if half <= 0.0:
         return 1.0
-    log_front = a * math.log(half) - half - math.lgamma(a)
     if half < a + 1.0:
         term = total = 1.0 / a
         for i in range(1, _steps(a)):
             term *= half / (a + i)
             total += term
             if term < total * 1e-16:
-                return 1.0 - math.exp(log_front) * total
+                return 1.0 - gamma_front(half, a) * total
         raise ArithmeticError(f"a series for {df} degrees of freedom did not settle")
 
     def step(i: int) -> tuple[float, float]:
         return -i * (i - a), half + 2 * i + 1 - a
 
-    return math.exp(log_front) / _fraction(step, half + 1.0 - a, _steps(a))
+    return gamma_front(half, a) / _fraction(step, half + 1.0 - a, _steps(a))
 
 
 def normal_two_sided(z: float) -> float:
@@ -77,7 +112,7 @@ def normal_two_sided(z: float) -> float:
 
 
 def t_two_sided(t: float, df: float) -> float:
-    return beta_cdf(df / (df + t * t), df / 2.0, 0.5)
+    return beta_cdf(df / (df + t * t), df / 2.0, 0.5, t * t / (df + t * t))
 
 
 def median_rank(n: int, middle: int, share: float) -> int:
@@ -88,7 +123,7 @@ def median_rank(n: int, middle: int, share: float) -> int:
     """
     z = -1.959963984540054 if share < 0.5 else 1.959963984540054
     guess = min(max(math.ceil(middle + z * math.sqrt(n) / 2.0), 1), n)
-    reaches = lambda k: beta_cdf(k / n, middle, n - middle + 1) >= share
+    reaches = lambda k: beta_cdf(k / n, middle, n - middle + 1, (n - k) / n) >= share
     low, high = max(1, guess - 8), min(n, guess + 8)
     while low > 1 and reaches(low - 1):
         low = max(1, low - 32)
@@ -126,3 +161,27 @@ def interval_ranks(n: pd.Series) -> pd.Series:
         return [median_rank(int(rows), m, share) for share in (0.025, 0.975) for m in middles]
 
     return n.map(one)
+
+
+def resample_medians(resamples: int, seed: int):  # noqa: ANN201
+    """A function of (key, scores, counts) that gives the medians of `resamples` resamples of those cells.
+
+    How often a resample holds each score is drawn cell by cell from the binomial that the cells before leave over,
+    with a generator seeded by (seed, key, resample), so the result does not depend on how rows are laid out.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def medians(key: pd.Series, scores: pd.Series, counts: pd.Series) -> pd.Series:
+        def one(k: int, values: np.ndarray, sizes: np.ndarray) -> list[float]:
+            values, sizes = np.asarray(values, "float64"), np.asarray(sizes, "int64")
+            n = int(sizes.sum())
+            low, high = (n + 1) // 2, n // 2 + 1
+            found = []
+            for i in range(resamples):
+                draws = np.random.default_rng([seed, k % (1 << 64), i]).multinomial(n, sizes / n).cumsum()
+                found.append(float(values[np.searchsorted(draws, low)] + values[np.searchsorted(draws, high)]) / 2.0)
+            return found
+
+        return pd.Series([one(*row) for row in zip(key, scores, counts, strict=True)])
+
+    return medians

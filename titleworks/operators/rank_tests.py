@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from titleworks.functions.probability import interval_ranks
+from titleworks.functions.probability import interval_ranks, resample_medians
 from titleworks.operators.ranks import running_totals
 
 
@@ -73,6 +73,26 @@ def group_medians(cells: DataFrame, *keys: str) -> DataFrame:
     return ranks.select(*keys, "n", "median", low.alias("ci_low"), high.alias("ci_high"))
 
 
+def resampled_medians(cells: DataFrame, *keys: str, resamples: int = 1000, seed: int = 0, share: float = 0.95) -> DataFrame:
+    """n and the middle `share` of the medians of seeded resamples, per group.
+
+    Cells are resampled, not titles: a group of any size costs its number of different scores. Same seed, same limits.
+    """
+    keys = keys or ("factor", "group")
+    sizes = cells.groupBy(*keys, "score").agg(F.sum("n").alias("n")).where("n > 0")
+    groups = sizes.groupBy(*keys).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("score", "n"))).alias("cells"))
+    medians = resample_medians(resamples, seed)(F.xxhash64(*keys), F.col("cells.score").cast("array<double>"), F.col("cells.n"))
+    ordered = groups.select(*keys, "n", F.array_sort(medians).alias("medians"))
+
+    def at(part: float) -> Column:
+        place = part * (resamples - 1)
+        low, over = int(place), place - int(place)
+        first, second = F.get("medians", F.lit(low)), F.get("medians", F.lit(min(low + 1, resamples - 1)))
+        return first + (second - first) * over
+
+    return ordered.select(*keys, "n", at((1 - share) / 2).alias("ci_low"), at((1 + share) / 2).alias("ci_high"))
+
+
 def kruskal(cells: DataFrame) -> DataFrame:
     """Kruskal-Wallis per factor, corrected for ties: (n - 1) x between / total rank variation."""
     values = cells.groupBy("factor", "score").agg(F.sum("n").alias("t"))
