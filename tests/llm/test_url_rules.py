@@ -53,3 +53,11 @@ def test_wildcards_and_more_than_one_word_of_bits():
 def test_no_pages(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert judge(empty, URL_RULES).agg(F.count("*")).first()[0] == 0
+
+
+def test_columns_of_any_name_are_kept(spark):
+    pages = spark.createDataFrame([("http://a.net/x", "kept", 1), ("http://b.org/", None, 2)], "url string, _Canonical string, __canonical int")
+    got = {r.url: r for r in judge(pages, URL_RULES).collect()}
+    row = got["http://a.net/x"]
+    assert (row.url_host, row.url_path, row.url_rule, row.url_allowed, row["_Canonical"], row["__canonical"]) == ("a.net", "/x", "net/", False, "kept", 1)
+    assert (got["http://b.org/"].url_rule, got["http://b.org/"].url_allowed, got["http://b.org/"]["_Canonical"]) == (None, True, None)

@@ -139,8 +139,11 @@ def judge(pages: DataFrame, rules: list[Rule], otherwise: bool = True, url: str
     allows = [r.allow for r in machine.rules]
     kept = pages.drop("url_host", "url_path", "url_rule", "url_allowed")
     shown = kept.withColumns({"url_host": host_of(F.col(url)), "url_path": path_of(F.col(url))})
-    shown = shown.withColumn("_canonical", F.concat(F.lit("."), "url_host", "url_path"))
-    schema = shown.drop("_canonical").withColumns({"url_rule": F.lit(None).cast("string"), "url_allowed": F.lit(True)}).schema
+    schema = shown.withColumns({"url_rule": F.lit(None).cast("string"), "url_allowed": F.lit(True)}).schema
+    last = "_canonical"  # must be a name that pages do not have, so that it is the last column
+    while last in (c.lower() for c in shown.columns):
+        last = f"_{last}"
+    shown = shown.withColumn(last, F.concat(F.lit("."), "url_host", "url_path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
