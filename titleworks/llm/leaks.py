@@ -373,7 +373,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     cosine. Whole texts are searched, whole items are searched for. Items are passages of up to PASSAGE
     words, which overlap in longer items; one passage found, or LONG words of an item one after the other, is a leak. Letter case and ASCII punctuation behind words do not count. Null
     and empty texts leak nothing, null and empty items are found nowhere. Repeated rows are judged alike, repeated
-    item ids are one item; a column `leaks` is replaced. Benchmarks of more than PASSAGES passages take a
+    item ids are one item; a column `leaks` is replaced, and columns named `_leaks_` and a number are not supported. Benchmarks of more than PASSAGES passages take a
     pass over the documents for each block of whole items with as many, so what tasks hold is bounded, but by the
     longest item. Nothing is shuffled but counts of benchmark words.
     """

@@ -112,7 +112,7 @@ class Classifier:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
-    """Fit on the templates and about `sample` paragraphs of docs that hold no template's bigram of two telling words."""
+    """Fit on the templates and about `sample` lines of docs that hold fewer than two of the templates' words, plain ones aside."""
     spark = docs.sparkSession
     examples = _examples(spark)
     marks = [w for (w,) in examples.where(F.col("family") != NONE).select(F.explode(F.array_except("words", F.array(*[F.lit(x) for x in PLAIN_WORDS])))).distinct().collect()]

@@ -145,7 +145,10 @@ def mix(entries: DataFrame, targeted: DataFrame) -> DataFrame:
 
 
 def in_training_order(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the plan takes it, range-sorted by training position."""
+    """The rows of docs, each as often as the plan takes it, range-sorted by training position.
+
+    Columns of docs named _words, _id, _source, _size or _position are not supported: rename them first.
+    """
     takes = plan.where("takes > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.explode("positions").alias("_position"))
     sized = docs.withColumn("_words", word_count(F.col("text")))
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
