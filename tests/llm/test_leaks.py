@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from titleworks.llm import leaks
@@ -125,3 +126,73 @@ def test_blocks_are_bounded_by_passages(spark, monkeypatch):
     found = {r.doc_id: [x.item_id for x in r.leaks] for r in find_leaks(docs, benchmark).collect()}
     assert len(held) > 1 and sum(held) == sum(made.values())
     assert all(found[i] == [i] for i, t in items if t)
+
+
+def latent_space(spark, items, texts):
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    own = leaks.Passages(overlapping([(k, " ".join(w)) for k, w in enumerate(items)]))
+    leaks._frequencies(docs, [own])
+    own.place(leaks._directions(spark, own))
+    return own
+
+
+def topical(topics):
+    """A passage of three words in four of two topics, so that passages share directions."""
+    some = random.sample(topics, 2)
+    return [random.choice(random.choice(some)) if random.random() < 0.75 else "".join(random.choices("abcdefghij", k=6)) for _ in range(random.randint(20, 50))]
+
+
+def test_the_latent_space_finds_what_all_cosines_find(spark):
+    random.seed(31)
+    topics = [["".join(random.choices("klmnopqrst", k=5)) for _ in range(60)] for _ in range(12)]
+    items = [topical(topics) for _ in range(150)]
+    texts, parts = [], []
+    for i in range(1500):
+        text = prose(random.choice([40, 120]))
+        if i % 2:
+            k = random.randrange(len(items))
+            part = [w for w in items[k] if random.random() < 0.8]  # words out here and there
+            at = random.randrange(len(text))
+            text[at:at] = part
+            parts.append((i, k))
+        texts.append(text)
+    own = latent_space(spark, items, texts)
+    assert own.pull.shape[1] == 75 < len(items) / 1.9
+    data, at = leaks.flat(leaks.pa.array([" ".join(t) for t in texts]))
+    hashes, rows = leaks.word_hashes(data, at, bare=True)
+    found = {(r, k) for r, _, k, _ in leaks._windows(hashes, rows, own)}
+    term, passages = own.term_of(hashes), own.rows()
+    passages /= np.linalg.norm(passages, axis=1)[:, None]
+    dense = set()
+    for r in range(len(texts)):
+        for start in range(rows[r], max(rows[r] + 1, rows[r + 1] - leaks.WINDOW + leaks.STRIDE), leaks.STRIDE):
+            window = term[start : min(start + leaks.WINDOW, rows[r + 1])]
+            vector = np.zeros(len(own.terms))
+            np.add.at(vector, window[window >= 0], own.idf[window[window >= 0]])
+            full = (own.idf[window[window >= 0]] ** 2).sum() + (window < 0).sum() * own.other**2
+            dense |= {(r, int(k)) for k in np.flatnonzero(passages @ vector / np.sqrt(max(full, 1e-9)) >= 0.5)}
+    assert len(dense) > 700 and len(dense & found) >= 0.97 * len(dense)
+    assert sum(p in found for p in parts) >= 0.97 * len(parts)
+
+
+def test_a_paraphrase_that_only_the_latent_space_finds(spark, monkeypatch):
+    random.seed(32)
+    items = [["".join(random.choices("abcdefghij", k=7)) for _ in range(random.randint(24, 40))] for _ in range(60)]
+    rows, expected = [], set()
+    for i in range(240):
+        text = ["".join(random.choices("klmnopqrst", k=6)) for _ in range(80)]
+        if i % 4 == 0:
+            k = i // 4 % len(items)
+            n = len(items[k])
+            retold = [w if (n - 1 - j) % 5 != 2 else f"other{j}" for j, w in enumerate(items[k])]  # no run of RUN words is left
+            retold = [w for j, w in enumerate(retold) if j % 13 != 5 or j >= n - 10]
+            at = random.randrange(len(text))
+            text[at:at] = retold
+            expected.add((i, k))
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    pairs = lambda: {(r.doc_id, x.item_id) for r in find_leaks(docs, benchmark).collect() for x in r.leaks}
+    assert pairs() == expected
+    monkeypatch.setattr(leaks, "_windows", lambda hashes, rows, own: iter(()))
+    assert pairs() == set()

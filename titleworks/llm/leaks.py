@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 
 from titleworks.llm.text import flat, mixed, pieces, word_count, word_hashes
 
-SPACE = 240  # passages of one latent space at most
-RANK = 240  # of it
+SPACE = 2000  # passages of one latent space at most: a whole block's
+RANK = 128  # of it at most; half as many as its passages where those are few
 SPARE = 8  # further random directions
 PASSAGE = 64  # words of a benchmark passage at most; a longer item is several
 WINDOW, STRIDE = 32, 8  # words of a document's window, and from one window to the next
 COMMON = 3.0  # taken off every inverse document frequency: what one passage in 20 has says next to nothing
 LITTLE = 0.05  # what is left of such a word's
-COSINE = 0.35  # of a window with a passage; 14 of its 32 words in a window give about 0.65
+COSINE = 0.35  # of a window with a passage in the latent space; 14 of its 32 words in a window give about 0.65
 _AT_ONCE = 512  # windows projected at once
 COPIED = 0.8  # of a passage's words in order: a copy
 RETOLD = 0.5  # the same of its telling words for a paraphrase, if ANSWERED of the answer is there, too
@@ -34,7 +34,7 @@ ANSWER, ANSWERED = 8, 0.75
 SHORT = 8  # words; a passage with fewer must be there as it is
 LONG = 50  # words of an item one after the other: a copy, however much more the item has
 RUN = 6  # words of a longer passage one after the other: a candidate
-PASSAGES = 5000  # searched for in one pass over the documents, in several spaces; more take more passes
+PASSAGES = 2000  # searched for in one pass over the documents; more take more passes
 
 _LEAKS = "array<struct<item_id:bigint,common:int,words:int,cosine:double>>"
 
@@ -161,7 +161,6 @@ class Passages:
         own = np.stack([self.pull[np.searchsorted(self.terms, w)].sum(axis=0) for w in self.words])
         length = np.array([np.sqrt((self.idf[np.searchsorted(self.terms, w)] ** 2).sum()) for w in self.words])
         # Scaled so that a window with exactly the passage's words has cosine 1, however much of the passage the space holds.
-        self.least = min(1.0, float((np.linalg.norm(own, axis=1) / np.maximum(length, 1e-9)).min()))
         self.seek = (own * (length / np.maximum((own**2).sum(axis=1), 1e-9))[:, None]).astype(np.float32)
 
 
@@ -198,12 +197,13 @@ def _frequencies(docs: DataFrame, spaces: list[Passages]) -> None:
 
 
 def _directions(spark, found: Passages) -> np.ndarray:  # noqa: ANN001
-    """A basis (terms x rank) of the passages' TF-IDF matrix, by a randomised SVD over tasks of passages.
+    """The first singular directions (terms x rank) of the passages' TF-IDF matrix, by a randomised SVD over tasks of passages.
 
     Every task multiplies its rows A by the same random matrix; the sums of (A R)'(A R) give an orthonormal
     basis Q of A R, and the sums of (A R)' A give Q' A, whose singular vectors are the directions.
     """
-    size, terms = min(RANK + SPARE, len(found.words)), len(found.terms)
+    rank = min(RANK, -(-len(found.words) // 2))
+    size, terms = min(rank + SPARE, len(found.words)), len(found.terms)
     shared = spark.sparkContext.broadcast(found)
     parts = spark.range(0, len(found.words), 1, max(1, -(-len(found.words) // 64)))
 
@@ -237,14 +237,14 @@ def _directions(spark, found: Passages) -> np.ndarray:  # noqa: ANN001
     keep = values > values.max() * 1e-10
     q = (vectors[:, keep] / np.sqrt(values[keep])).T @ np.concatenate(cuts, axis=1)  # Q' A
     _, _, directions = np.linalg.svd(q, full_matrices=False)
-    return directions[:RANK].T
+    return directions[:rank].T
 
 
 def _windows(hashes: np.ndarray, rows: np.ndarray, own: Passages) -> Iterator[tuple[int, int, int, float]]:
     """(row, first word of the window, passage, cosine) of the candidates.
 
-    A cosine is at most the root of the share that the space's words have in a window's squared weights, so
-    only windows where that can reach the limit are projected.
+    The cosine of a window's TF-IDF vector with any passage is at most the root of the share that the space's
+    words have in the window's squared weights, so windows where that stays below the limit are not projected.
     """
     term = own.term_of(hashes)
     weight = np.where(term >= 0, own.idf[term] ** 2, own.other**2)
@@ -255,7 +255,7 @@ def _windows(hashes: np.ndarray, rows: np.ndarray, own: Passages) -> Iterator[tu
     start = rows[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)) * STRIDE
     end = np.minimum(start + WINDOW, rows[1:][row])
     full = every[end] - every[start]
-    rich = np.flatnonzero(known[end] - known[start] >= (COSINE * own.least) ** 2 * full)
+    rich = np.flatnonzero(known[end] - known[start] >= COSINE**2 * full)
     pull = np.concatenate([own.pull, np.zeros((1, own.pull.shape[1]), np.float32)])  # the last for other words
     for low in range(0, len(rich), _AT_ONCE):
         some = rich[low : low + _AT_ONCE]
