@@ -54,3 +54,29 @@ def test_awkward_documents(spark, awkward, nothing):
     assert quality.score(nothing, model).count() == 0
     unknown = quality.train(nothing, labels.limit(0), F.lit(True))
     assert {r.quality_score for r in quality.score(spark.createDataFrame([(1, None)], "doc_id long, text string"), unknown).collect()} == {0.5}
+
+
+def plain_grams(text, size):
+    """n-grams of characters inside words, "_" for a word's boundary, without those of boundaries alone."""
+    out = []
+    for word in text.replace("\t", " ").replace("\n", " ").split(" "):
+        padded = f"\0{word}\0"
+        if word:
+            out += [padded[i : i + size] for i in range(len(padded) - size + 1) if padded[i : i + size].strip("\0")]
+    return out
+
+
+def test_grams_of_characters_against_plain_ones():
+    random.seed(4)
+    letters = "ab é漢😀 \t\n "
+    texts = ["", " ", "a", "é", "漢字 ab", "  x  ", *("".join(random.choices(letters, k=random.randint(0, 30))) for _ in range(200))]
+    column = quality.pa.array([*texts, None])
+    data, at = quality.flat(column)
+    for size, (places, to) in zip(quality.GRAMS, quality._grams(data, at), strict=True):
+        number = {}
+        for i, text in enumerate([*texts, ""]):
+            own, expected = places[to[i] : to[i + 1]].tolist(), plain_grams(text, size)
+            assert len(own) == len(expected)
+            assert all(number.setdefault(gram, place) == place for gram, place in zip(expected, own, strict=True))
+        assert len(set(number.values())) >= 0.97 * len(number)  # few share a place
+    assert [len(p) for p, _ in quality._grams(*quality.flat(quality.pa.array([], quality.pa.string())))] == [0] * len(quality.GRAMS)

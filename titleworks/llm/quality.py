@@ -1,7 +1,7 @@
 """Document quality from supervised subword embeddings.
 
-A document is the average of learned vectors of its hashed words and byte n-grams, and of how far back
-each word occurred before (which tells texts that repeat themselves). A softmax over the average gives the class. The model is trained by stochastic gradient descent in numpy on a bounded
+A document is the average of learned vectors of its hashed words and of their n-grams of characters, word boundaries
+included, and of how far back each word occurred before (which tells texts that repeat themselves). A softmax over the average gives the class. The model is trained by stochastic gradient descent in numpy on a bounded
 sample of labelled rows, whose features, not texts, come to the driver. Since the softmax is linear in the
 average, a trained model scores a text by one number for each feature.
 """
@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from titleworks.llm.text import flat, pieces, word_hashes
+from titleworks.llm.text import SPACES, flat, pieces, word_hashes
 
 BITS = 15  # of a feature's place, for words and for each length of n-gram
-GRAMS = (1, 2, 3, 4)
+GRAMS = (1, 2, 3, 4)  # characters, one longer than the one before
 KINDS = 2 + len(GRAMS)
 SIZE = (1 + len(GRAMS)) * (1 << BITS) + 64
 WIDTH = 8  # of a vector
@@ -44,21 +44,41 @@ def features(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.
     words, rows = word_hashes(data, at, fold=False)
     yield (words >> np.uint64(64 - BITS)).astype(np.int32), rows
     yield _recurrence(words, rows), rows
-    wide = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.uint32)
-    n = len(data)
-    code = np.zeros(n, np.uint32)
-    lengths = np.diff(at)
+    yield from _grams(data, at)
+
+
+def _characters(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' characters as numbers, white space as 0, with a 0 before every text and after the last; and the place of each of these 0."""
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    size = np.diff(np.append(starts, len(data)))
+    code = data[starts].astype(np.uint32)
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        code[more] |= data[starts[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    code[np.isin(data[starts], np.frombuffer(SPACES, np.uint8))] = 0
+    first = np.searchsorted(starts, at)
+    return np.insert(code, first, 0), first + np.arange(len(at))
+
+
+def _grams(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for the n-grams of characters: those inside a word, and those that take in one of its boundaries or both."""
+    code, first = _characters(data, at)
+    gap = code == 0
+    gaps = np.append(np.flatnonzero(gap), len(code))
+    ahead = gaps[np.cumsum(gap)] - np.arange(len(code))  # characters to the next boundary
+    ahead[-1] = 0  # nothing begins at the last
+    hashes = np.zeros(len(code), np.uint32)
     for k, size in enumerate(GRAMS):
-        code = code | (wide[size - 1 : size - 1 + n] << np.uint32(8 * (size - 1)))
-        place = ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int32) + np.int32((k + 1) << BITS)
-        counts = np.maximum(lengths - size + 1, 0)
-        if size > 1:  # n-grams that reach into the next text go
-            keep = np.ones(n, bool)
-            for back in range(1, size):
-                ends = at[1:] - back
-                keep[ends[(ends >= at[:-1])]] = False
-            place = place[keep]
-        yield place, np.concatenate([[0], np.cumsum(counts)])
+        there = len(code) - size + 1
+        if there <= 0:
+            yield np.zeros(0, np.int32), np.zeros(len(at), np.int64)
+            continue
+        hashes = (hashes[:there] ^ code[size - 1 :]) * np.uint32(0x9E3779B1)
+        hashes ^= hashes >> np.uint32(15)
+        whole = ~gap if size == 1 else ahead[:there] >= np.where(gap[:there], max(2, size - 1), size - 1)
+        begins = np.flatnonzero(whole)
+        places = ((hashes[begins] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)).astype(np.int32) + np.int32((k + 1) << BITS)
+        yield places, np.searchsorted(begins, first)
 
 
 def _bags(docs: DataFrame) -> DataFrame:
@@ -138,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, label: str = "qu
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of docs, with `quality_score`: the probability, 0 to 1, that a text's label is 1.
 
-    Whole texts are scored, by nothing but their bytes; null and empty texts have no features and get the
+    Whole texts are scored, by nothing but their characters; null and empty texts have no features and get the
     model's constant. Every row is scored on its own. A column `quality_score` is replaced; an empty table
     gives no rows.
     """
