@@ -49,15 +49,20 @@ def with_pairs(words: Column) -> Column:
 
 
 def term_counts(titles: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """(mal_id, term, tf).
+    """(mal_id, term, tf), for one row a title.
 
-    The texts are shuffled by id first: they are smaller than their terms, and the count per
-    (id, term) then needs no shuffle of its own. The word list is a column of its own because
-    an expression that is used several times would be computed as often.
+    A title's terms are sorted inside its row and counted by where each begins, so neither texts nor
+    terms are shuffled. Lists are columns of their own because an expression that is used several
+    times would be computed as often.
     """
     texts = titles.select("mal_id", usable_text(F.col("synopsis")).alias("text")).where("text is not null")
-    words = texts.repartition("mal_id").select("mal_id", word_list(F.col("text"), stop_words).alias("words"))
-    return words.select("mal_id", F.explode(with_pairs(F.col("words"))).alias("term")).groupBy("mal_id", "term").agg(F.count("*").alias("tf"))
+    words = texts.select("mal_id", word_list(F.col("text"), stop_words).alias("words")).where("size(words) > 0")
+    terms = words.select("mal_id", F.array_sort(with_pairs(F.col("words"))).alias("terms")).withColumn("n", F.size("terms"))
+    new = lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1))
+    starts = terms.withColumn("starts", F.filter(F.sequence(F.lit(0), F.col("n") - 1), new))
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array("n"))
+    runs = F.zip_with("starts", ends, lambda low, high: F.struct(F.get("terms", low).alias("term"), (high - low).cast("bigint").alias("tf")))
+    return starts.select("mal_id", F.inline(runs))
 
 
 def vocabulary(counts: DataFrame, n_titles: int, max_terms: int = MAX_TERMS, min_titles: int = MIN_TITLES) -> DataFrame:
