@@ -1,7 +1,9 @@
 """Reading the snapshot, the pages and the tag reference."""
 
 import csv
+import io
 import json
+import random
 
 import pytest
 
@@ -134,3 +136,54 @@ def test_served_tables_must_all_exist(spark, tmp_path):
     tables = S.load_tables(spark, str(tmp_path), ["catalog", "recommendations"], "metadata")
     assert tables["recommendations"].count() == 9
     assert "gone" in tables["metadata"].columns
+
+
+def torn_file(path, seed, end, mark=""):
+    """A snapshot whose cells hold line breaks, quotes, empty lines and lines like records, some longer than a split."""
+    random.seed(seed)
+    kinds = ["", "plain", 'say "so", she', "two\nlines", "\n\n", '"\n"', 'x,"\n5,6,7', "é\n漢字 😀"]
+    rows = []
+    for k in range(300):
+        text = "".join(random.choices(kinds, k=random.randint(0, 4))) + "line\n" * random.choice([0, 0, 0, 3, 40, 900])
+        rows.append({"mal_id": str(k), "title": random.choice(kinds[1:]).strip() or "t", "synopsis": text + random.choice(["", "end"]), "members": str(random.randint(1, 9))})
+    out = io.StringIO()
+    writer = csv.DictWriter(out, [*SNAPSHOT_COLUMNS, "image_url"], restval="", lineterminator=end)
+    writer.writeheader()
+    writer.writerows(rows)
+    text = out.getvalue()
+    if end != "\n":  # as an editor leaves it: line breaks in cells end alike
+        text = text.replace(end, "\n").replace("\n", end)
+    path.write_bytes((mark + text).encode())
+    return rows
+
+
+@pytest.mark.parametrize(("end", "mark"), [("\n", ""), ("\r\n", "\ufeff")])
+def test_large_files_with_line_breaks_in_cells_are_split(spark, tmp_path, end, mark):
+    expected = {}
+    for name in ("a", "b"):
+        for row in torn_file(tmp_path / f"{name}.csv", name, end, mark):
+            expected[name, int(row["mal_id"])] = (row["title"], row["synopsis"] or None, int(row["members"]))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("1500", "9000", "100000000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "100")
+            frame = read_snapshot(spark, str(tmp_path), with_order=True)
+            assert size != "1500" or frame.rdd.getNumPartitions() > 100
+            rows = frame.orderBy("_seq").collect()
+            got = [((r["_seq"]["file"][-5], r.mal_id), (r.title, r.synopsis, r.members)) for r in rows]
+            assert [k for k, _ in got] == sorted(expected)  # in file order, each once
+            assert dict(got) == expected
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    whole = {(r.mal_id, r.title, r.synopsis, r.members) for r in read_snapshot(spark, str(tmp_path), whole_files=True).collect()}
+    assert whole == {(k, *v) for (_, k), v in expected.items()}
+
+
+def test_a_file_that_ends_inside_a_cell_is_refused(spark, tmp_path):
+    path = write_snapshot(tmp_path / "a.csv", [{"mal_id": "1", "title": "x"}])
+    with open(path, "a") as out:
+        out.write('2,"open\n')
+    with pytest.raises(ValueError, match="inside a quoted cell"):
+        read_snapshot(spark, path)

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,23 +52,179 @@ def _files_by_header(spark: SparkSession, path: str) -> list[tuple[list[str], li
     return [(next(csv.reader([r.header])), r.files) for r in found]
 
 
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The lines in file order, with their file and split; a line belongs to the split that it begins in."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select(F.make_valid_utf8("value").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+
+
+def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], Iterator[pa.Array]]]:
+    """The lines of each split, which follow each other in a task, as they come."""
+
+    def stretches() -> Iterator[tuple[tuple[str, int], pa.Array]]:
+        for batch in batches:
+            values, *keys = batch.columns
+            change = [pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False) for key in keys]
+            cuts = (np.flatnonzero(change[0] | change[1]) + 1).tolist()
+            for low, high in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if high > low:
+                    yield tuple(key[low].as_py() for key in keys), values.slice(low, high - low)
+
+    for key, own in groupby(stretches(), key=lambda x: x[0]):
+        yield key, (values for _, values in own)
+
+
+def _count_quotes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every split its lines, quotes, whether any line leaves an odd number of quotes behind, the header and its line."""
+    for (file, split), own in _by_split(batches):
+        lines, quotes, odd, header, at = 0, 0, False, None, -1
+        for values in own:
+            marks = quotes + np.cumsum(pc.count_substring(values, '"').to_numpy(zero_copy_only=False))
+            for k, value in enumerate(values if split == 0 and header is None else ()):
+                if value.as_py().strip("\ufeff\r "):
+                    header, at = value.as_py().lstrip("\ufeff"), lines + k
+                    break
+            lines, quotes, odd = lines + len(values), int(marks[-1]), odd or bool((marks % 2).any())
+        yield pa.RecordBatch.from_pylist([{"file": file, "split": split, "lines": lines, "quotes": quotes, "odd": odd, "header": header, "at": at}])
+
+
+_COUNTS = "file string, split bigint, lines bigint, quotes bigint, odd boolean, header string, at bigint"
+
+
+class ChangedSplits(RuntimeError):
+    """A file was cut differently, or changed, between counting its quotes and reading its records; read it again."""
+
+
+def _plan(lines: DataFrame) -> tuple[dict[tuple[str, int], dict], dict[str, str], set[str]]:
+    """What a task must know of each split, each file's header, and the files with records that lie across splits.
+
+    An odd number of quotes before a split means that it begins inside a quoted cell. The counts are a few
+    numbers for each block of a file.
+    """
+    found = sorted(lines.mapInArrow(_count_quotes, _COUNTS).collect(), key=lambda r: (r["file"], r["split"]))
+    splits: dict[tuple[str, int], dict] = {}
+    headers, cut = {}, set()
+    for file, group in groupby(found, key=lambda r: r["file"]):
+        marks, begun, returns = 0, 0, False
+        for r in group:
+            inside = marks % 2 == 1
+            if r["header"] is not None:
+                returns = r["header"].endswith("\r")
+                headers[file] = r["header"].rstrip("\r")
+            splits[file, r["split"]] = {"lines": r["lines"], "quotes": r["quotes"], "inside": inside, "begun": begun, "header": r["at"], "returns": returns}
+            if inside:
+                cut.add(file)
+            if not inside or r["odd"]:  # else the record that it begins in goes on behind it
+                begun = r["split"]
+            marks += r["quotes"]
+        if marks % 2:
+            raise ValueError(f"{file} ends inside a quoted cell; read it with whole_files=True if cells without quotes around them hold some")
+    return splits, headers, cut
+
+
+def _records(lines: DataFrame, splits: dict[tuple[str, int], dict], whole: bool) -> DataFrame:
+    """(file, split, row, part, record): the records that lie in one split or, with whole=False, the pieces of all others.
+
+    split and row are of the line that a record begins with; a piece has its own split as `part`, and row -1
+    where the record has begun before.
+    """
+    known = lines.sparkSession.sparkContext.broadcast(splits)  # a few numbers for each block of a file
+
+    def of_split(file: str, split: int, batches: Iterator[pa.Array]) -> Iterator[pa.RecordBatch]:
+        own = known.value.get((file, split))
+        if own is None:
+            raise ChangedSplits(f"{file} from byte {split}")
+        seen, marks = 0, int(own["inside"])
+        open_, row = [], -1 if own["inside"] else 0  # lines of the record that is not closed yet, and where it begins
+
+        def made(rows: np.ndarray, records: pa.Array, begun: int) -> pa.RecordBatch:
+            keep = np.flatnonzero((rows > own["header"]) | (rows < 0))
+            columns = [pa.array([file] * len(keep), pa.string()), np.full(len(keep), begun), rows[keep], np.full(len(keep), split), records.take(pa.array(keep))]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["file", "split", "row", "part", "record"])
+
+        for values in batches:
+            if own["returns"]:
+                values = pc.replace_substring_regex(values, "\r$", "")
+            after = marks + np.cumsum(pc.count_substring(values, '"').to_numpy(zero_copy_only=False))
+            ends = np.flatnonzero(after % 2 == 0) + 1  # a record ends with a line that leaves no cell open
+            done = int(ends[-1]) if len(ends) else 0
+            if done:
+                starts = np.concatenate([[0], ends])
+                offsets, rows = pa.array(starts, pa.int32()), seen + starts[:-1].astype(np.int64)
+                records = pc.binary_join(pa.ListArray.from_arrays(offsets, values), "\n").cast(pa.string())
+                if open_:
+                    first = pa.array(["\n".join([*open_, records[0].as_py()])], pa.string())
+                    records = pa.concat_arrays([first, records.slice(1)])
+                rows[0] = row
+                head = int(row < 0)
+                if whole:
+                    yield made(rows[head:], records.slice(head), split)
+                elif head:
+                    yield made(rows[:1], records.slice(0, 1), own["begun"])
+                open_, row = [], seen + done
+            open_ += values.slice(done).to_pylist()
+            seen, marks = seen + len(values), int(after[-1])
+        if (seen, marks - int(own["inside"])) != (own["lines"], own["quotes"]):
+            raise ChangedSplits(f"{file} from byte {split}")
+        if open_ and not whole:
+            yield made(np.array([row]), pa.array(["\n".join(open_)], pa.string()), own["begun"] if row < 0 else split)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (file, split), own in _by_split(batches):
+            yield from of_split(file, split, own)
+
+    return lines.mapInArrow(run, "file string, split bigint, row bigint, part bigint, record string")
+
+
+def _quoted(spark: SparkSession, path: str) -> list[tuple[list[str], list[str], DataFrame]]:
+    """Column names, files and (file, split, row, record), for each distinct header; cells may hold line breaks.
+
+    Files are cut into splits: a first pass counts quotes, so that every task knows whether it begins inside a cell.
+    Records across splits are put together by a shuffle of their pieces alone; for these the files that have such are
+    read once more.
+    """
+    splits, headers, cut = _plan(_lines(spark, path))
+    out = []
+    for header in sorted(set(headers.values())):
+        files = sorted(f for f, h in headers.items() if h == header)
+        records = _records(_lines(spark, files), splits, True).drop("part")
+        if torn := [f for f in files if f in cut]:
+            pieces = F.sort_array(F.collect_list(F.struct("part", "record")))
+            text = F.concat_ws("\n", F.transform(pieces, lambda p: p["record"])).alias("record")
+            records = records.union(_records(_lines(spark, torn), splits, False).groupBy("file", "split").agg(F.max("row").alias("row"), text))
+        out.append((next(csv.reader([header])), files, records.where("trim(record) <> ''")))
+    return out
+
+
 def read_snapshot(
-    spark: SparkSession, path: str, multi_line: bool = True, with_order: bool = False
+    spark: SparkSession, path: str, multi_line: bool = True, with_order: bool = False, whole_files: bool = False
 ) -> DataFrame:
     """The snapshot's columns as text, except the whole-number ones, which become bigint.
 
     Every file has a header of its own: columns are taken by name, in whatever order a file has them,
-    and a file that lacks one is refused. Quoted cells may hold line breaks, so by default one
-    task reads one whole file: land a large snapshot as many files, or pass multi_line=False when no cell
-    has a line break, and files are split.
+    and a file that lacks one is refused. Quoted cells may hold line breaks; large files are split all the same. That
+    takes every quote for one around or inside a quoted cell. With whole_files=True Spark's reader alone decides, and one
+    task reads a whole file; with multi_line=False no cell may have a line break.
     """
     parts = []
-    for columns, files in _files_by_header(spark, path):
+    options = {"quote": '"', "escape": '"', "multiLine": multi_line}
+    if multi_line and not whole_files:
+        found = _quoted(spark, path)
+    else:
+        found = [(columns, files, None) for columns, files in _files_by_header(spark, path)]
+    for columns, files, records in found:
         if missing := missing_columns(columns):
             raise MissingColumns(f"{files[0]} is missing required columns: {', '.join(missing)}")
         schema = T.StructType([T.StructField(f"{k}", T.StringType()) for k in range(len(columns))])
-        raw = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line).schema(schema).csv(files)
-        parts.append(raw.select(*[F.col(str(columns.index(name))).alias(name) for name in SNAPSHOT_COLUMNS], *([file_order().alias("_seq")] if with_order else [])))
+        if records is None:
+            raw = spark.read.options(header=True, **options).schema(schema).csv(files)
+            order = file_order()
+        else:
+            cells = F.from_csv("record", ", ".join(f"`{name}` string" for name in schema.names), {k: str(v) for k, v in options.items()})
+            raw = records.select(cells.alias("cells"), F.struct("file", "split", "row").alias("order")).select("cells.*", "order")
+            order = F.col("order")
+        raw = raw.select(*[F.col(str(columns.index(name))).alias(name) for name in SNAPSHOT_COLUMNS], *([order.alias("_seq")] if with_order else []))
+        parts.append(raw)
     if not parts:
         raise MissingColumns(f"{path} has no header")
 
