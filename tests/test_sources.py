@@ -187,3 +187,18 @@ def test_a_file_that_ends_inside_a_cell_is_refused(spark, tmp_path):
         out.write('2,"open\n')
     with pytest.raises(ValueError, match="inside a quoted cell"):
         read_snapshot(spark, path)
+
+
+def test_files_of_two_headers_are_cut_alike_however_many_are_read(spark, tmp_path):
+    """Splits with and without a header in one task, and files that are cut by the size of all of them."""
+    swapped = [*reversed(SNAPSHOT_COLUMNS), "rank"]
+    for name, columns, first in (("a", SNAPSHOT_COLUMNS, 0), ("b", swapped, 1)):
+        write_snapshot(tmp_path / f"{name}.csv", [{"mal_id": str(k), "title": f"t {k}", "synopsis": 'one\n"two" ' + "x" * 50} for k in range(first, 2000, 2)], columns)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")  # a quarter of all bytes is a split
+        rows = read_snapshot(spark, str(tmp_path)).select("mal_id", "title", "synopsis").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(tuple(r) for r in rows) == [(k, f"t {k}", 'one\n"two" ' + "x" * 50) for k in range(2000)]
