@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from titleworks.operators import text_vectors as V
+from titleworks.operators import tiles
 from titleworks.operators.tiles import best_pairs, percentiles
 from titleworks.plans import lookup as L
 from titleworks.plans import recommender as R
@@ -195,6 +196,25 @@ def test_tiles_equal_brute_force(random_profiles, skip, blocks):
     assert found == expected
 
 
+@pytest.mark.parametrize("blocks", [(30, 1000), (30, 40)])
+def test_several_query_blocks_share_a_task(random_profiles, monkeypatch, blocks):
+    """Candidates go to groups of query blocks and not to each block; a part of the titles may ask."""
+    monkeypatch.setattr(tiles, "LEAST_TASKS", 1)
+    assert tiles._blocks(160, 112, *blocks)[0] == 1
+    expected = {q: found for q, found in brute_force(random_profiles.toPandas(), 7, True).items() if q % 3 == 0}
+    pairs = best_pairs(random_profiles.where("mal_id % 3 = 0"), random_profiles.where("eligible"), 7, True, *blocks).toPandas()
+    pairs = pairs.sort_values(["anime_id", "score", "similar_id"], ascending=[True, False, True])
+    assert {int(q): [(int(c), round(float(s), 5)) for c, s in zip(g.similar_id, g.score)] for q, g in pairs.groupby("anime_id")} == expected
+    asked = R.top_k(random_profiles, 3, asking=V.F.expr("mal_id % 3 = 0")).select("anime_id").distinct().collect()
+    assert {r.anime_id for r in asked} == set(expected)
+
+
+def test_candidates_are_sent_to_few_groups_of_queries():
+    assert tiles._blocks(5_000, 300_000, 320, 16_384) == (4, 19)
+    assert tiles._blocks(500_000, 300_000, 320, 16_384) == (49, 19)
+    assert tiles._blocks(1_000, 600, 320, 16_384) == (4, 1)
+
+
 def test_of_each_slot_the_best_stays(spark):
     rng = np.random.default_rng(8)
     rows = [(q, c, f"s{rng.integers(0, 6)}", float(x)) for q in range(5) for c, x in enumerate(rng.permutation(20) / 20)]
