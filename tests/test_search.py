@@ -22,3 +22,17 @@ def test_batch_search_against_every_title(spark):
     assert sorted((r.query_id, r["rank"], r.mal_id) for r in found) == sorted(expected)
     nothing = spark.createDataFrame([], SCHEMA)
     assert L.search_many(nothing, spark.createDataFrame(queries, "query_id int, query string")).count() == 0
+
+
+def test_titles_are_cut_into_grams_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    titles = spark.createDataFrame([(i, f"title {i}", None, "TV", 2000, 1.0, i) for i in range(50)], SCHEMA).mapInArrow(counted, SCHEMA)
+    found = L.search_many(titles, spark.createDataFrame([(1, "title 4"), (2, "9")], "query_id int, query string"), 3)
+    assert sorted((r.query_id, r.mal_id) for r in found.collect()) == [(1, 47), (1, 48), (1, 49), (2, 29), (2, 39), (2, 49)]
+    assert seen.value == 100  # for their grams, and for the rows that are found
