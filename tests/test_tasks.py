@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime
+import os
 
 from pyspark.sql import functions as F
 
+from checks import cleaning as Q
 from checks import tables as X
 from titleworks.functions import cells as C
 
@@ -34,6 +36,26 @@ def test_snapshot_rows_are_dealt_by_number(spark, tmp_path, monkeypatch):
     assert max(rows) < 250
 
 
+def test_pages_are_landed_packed_and_in_bounded_files(spark, tmp_path, monkeypatch):
+    folder = tables(spark, tmp_path, 2000)
+    monkeypatch.setattr(X, "TASK_ROWS", 250)
+    pages = Q.page_folder(spark, folder)
+    landed = [name for name in os.listdir(f"{pages}/endpoint=top") if not name.startswith((".", "_"))]
+    assert len(landed) > 4
+    assert all(name.endswith(".json.gz") for name in landed)
+    rows = spark.read.json(f"{pages}/endpoint=top")
+    assert rows.count() == 81  # 80 pages, and the titles without an id
+    assert rows.where("page is not null").select(F.sum(F.size("data"))).first()[0] == 2000
+
+
+def test_loaded_titles_hold_what_the_funnel_reads(spark, tmp_path):
+    folder = tables(spark, tmp_path, 400)
+    loaded = Q._loaded(spark, folder)
+    assert set(loaded.columns) == {*Q.FUNNEL_COLUMNS, "updated_at"}
+    assert loaded.count() == 200
+    assert loaded.where("data_source = 'api'").count() == 200
+
+
 def test_lists_are_cut_at_commas_with_any_white_space(spark):
     cells = ["a , b　, c", ",a,, b ,", " Unknown ", "", None, "x\x01y, z", "Unknown, a"]
     df = spark.createDataFrame([(c,) for c in cells], "cell string").select(
