@@ -64,3 +64,21 @@ def test_lists_are_cut_at_commas_with_any_white_space(spark):
     expected = [["a", "b", "c"], ["a", "b"], [], [], [], ["x\x01y", "z"], ["Unknown", "a"]]
     assert [r.plain for r in df.collect()] == expected
     assert [r.trimmed for r in df.collect()] == expected
+
+
+def test_links_are_dealt_by_the_number_of_lines(spark, tmp_path, monkeypatch):
+    folder = tables(spark, tmp_path, 10)
+    lines = spark.range(0, 6000).selectExpr("id DIV 3 AS l_orderkey", "id % 50 AS l_partkey", "id % 20 AS l_suppkey", "'A' AS l_returnflag")
+    lines = lines.union(lines.limit(300)).union(lines.selectExpr("NULL", "l_partkey", "l_suppkey", "l_returnflag").limit(60))  # repeats, and no key
+    lines.write.mode("overwrite").parquet(f"{folder}/lineitem.parquet")
+    parts = spark.range(0, 50).selectExpr("id AS p_partkey", "'Brand#' || (1 + id % 9) AS p_brand", "'SMALL' AS p_type", "CAST(id AS INT) AS p_size")
+    parts.write.parquet(f"{folder}/part.parquet")
+    spark.range(0, 20).selectExpr("id AS s_suppkey", "'S' || id AS s_name").write.parquet(f"{folder}/supplier.parquet")
+    monkeypatch.setattr(X, "TASK_LINES", 300)
+    made = X.tables(spark, folder)
+    for name in ("title_tags", "title_companies"):
+        rows = task_rows(made[name])
+        assert len(rows) > 15, name
+        assert max(rows) < 3 * sum(rows) / len(rows), name
+        assert made[name].count() == made[name].distinct().count() == sum(rows), name
+    assert sum(task_rows(made["title_companies"])) == 6000 + 20
