@@ -6,6 +6,7 @@ from titleworks.llm.components import components
 from titleworks.llm import components as component_module
 from titleworks.llm import near_copies as module
 from titleworks.llm.near_copies import REGISTERS, SLACK, estimate, fine_estimate, forest, near_copies, odd_sketch, registers
+from titleworks.session import settle
 
 
 def shingles(text, k):
@@ -129,6 +130,29 @@ def test_many_rounds_give_the_links_of_all_pairs(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_copies(docs, 4).collect()), key=repr) == brute(rows, 4)
 
 
+def test_a_large_group_of_unlinked_candidates_makes_no_row_for_each_pair(spark, monkeypatch):
+    made = {}
+
+    def counted(df, name="settled"):
+        out = settle(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(module, "settle", counted)
+    monkeypatch.setattr(module, "SLACK", 24.0)  # every pair that shares a band is a candidate
+    random.seed(10)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(160):  # pairs are below the limit
+        text = list(base)
+        for at in random.sample(range(120), 3):
+            text[at] = f"x{i}at{at}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_copies(docs, 4).collect()), key=repr) == brute(rows, 4)
+    assert max(made.values()) <= 2 * made["shared-bands"] < 160 * 159 / 2 and made["likely"] > 1000
+
+
 def test_components_of_chains_and_hubs(spark, monkeypatch):
     monkeypatch.setattr(component_module, "ONE_TASK", 0)
     chains_and_hubs(spark)

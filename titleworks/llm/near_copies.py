@@ -8,7 +8,7 @@ registers (less the ones equal by chance), and what may reach the limit is verif
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,6 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 SLACK = 4.0  # standard errors that an estimate may lie below the limit before a pair is left out
 BLOCK = 256  # rows of a band that meet the same number of others in one step
-FORESTS = (1, 8, 0)  # spanning forests of candidates that a cell gives in the rounds; 0: all its pairs
 BROADCAST_IDS = 2_000_000  # 16 MB; more ids are joined by a shuffle
 
 FINE = 2048  # registers of the second estimate, for sets that are still apart; an odd sketch of as many bits is kept
@@ -224,57 +223,28 @@ def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _cells(own: DataFrame, fine: DataFrame, whole: bool) -> DataFrame:
-    """Rows of bands in cells (band, i, j) of at most about two blocks, with the bits of their sets.
+def _cells(own: DataFrame, whole: bool) -> DataFrame:
+    """Rows of bands in cells (band, i, j) of at most about two blocks; other: outside the component of the band's smallest set.
 
-    whole: every row outside the component of the band's smallest set (those rows seek) meets all rows of the band;
-    they are few where a band is large, as that set's own copies are linked by now. Else each row meets its own block.
+    whole: every such row (those rows seek) meets all rows of the band; they are few where a band is large, as that set's
+    own copies are linked by now. Else each row meets its own block.
     """
     own = own.withColumn("other", F.col("part") != F.col("main"))
-    block = lambda count, seed: F.ceil(F.col(count) / BLOCK).cast("int")
+    block = lambda count: F.ceil(F.col(count) / BLOCK).cast("int")
     at = lambda of: F.pmod(F.xxhash64("set_id"), F.col(of)).cast("int")
-    columns = ["band", "i", "j", "seeks", "set_id", "part", "n", "bits"]
-    fine = fine.select("set_id", "n", "bits")
     if not whole:
-        cells = own.withColumn("i_of", block("rows", 0)).select("band", "set_id", "part", at("i_of").alias("i"), F.lit(0).alias("j"), F.lit(True).alias("seeks"))
-        return cells.join(fine, "set_id").select(*columns)
+        return own.withColumn("i_of", block("rows")).select("band", at("i_of").alias("i"), F.lit(0).alias("j"), F.lit(True).alias("seeks"), F.lit(True).alias("other"), "set_id", "part")
     others = own.where("other").groupBy("band").agg(F.count("*").alias("others"))
-    sized = own.join(others, "band").withColumns({"i_of": block("rows", 0), "j_of": block("others", 1)})
-    left = sized.select("band", "set_id", "part", at("i_of").alias("i"), F.explode(F.sequence(F.lit(0), F.col("j_of") - 1)).alias("j"), F.lit(False).alias("seeks"))
-    right = sized.where("other").select("band", "set_id", "part", F.explode(F.sequence(F.lit(0), F.col("i_of") - 1)).alias("i"), at("j_of").alias("j"), F.lit(True).alias("seeks"))
-    return left.union(right).join(fine, "set_id").select(*columns)
+    sized = own.join(others, "band").withColumns({"i_of": block("rows"), "j_of": block("others")})
+    left = sized.select("band", at("i_of").alias("i"), F.explode(F.sequence(F.lit(0), F.col("j_of") - 1)).alias("j"), F.lit(False).alias("seeks"), "other", "set_id", "part")
+    right = sized.where("other").select("band", F.explode(F.sequence(F.lit(0), F.col("i_of") - 1)).alias("i"), at("j_of").alias("j"), F.lit(True).alias("seeks"), "other", "set_id", "part")
+    return left.union(right)
 
 
-def _across(cells: DataFrame, percent: int, forests: int) -> DataFrame:
-    """Pairs (a, b) of sets that share a band, are of different components and may reach the limit.
-
-    Bits are compared inside a task, and of what passes only spanning forests of the components leave (each
-    of the edges that the ones before have left): pairs that a link found elsewhere would make needless are not made.
-    With 0 forests all pairs leave. more: there were others.
-    """
+def _by_cell(cells: DataFrame, of_cell: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """What of_cell makes of the rows of each cell."""
     cells = cells.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "seeks", "set_id")
 
-    def compare(rows: pa.Table) -> pa.RecordBatch:
-        ids, n = (rows.column(k).to_numpy() for k in ("set_id", "n"))
-        part = np.unique(rows.column("part").to_numpy(), return_inverse=True)[1]
-        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, FINE // 32)
-        seeks = rows.column("seeks").to_numpy(zero_copy_only=False)
-        asking = np.flatnonzero(seeks)
-        asked = asking if seeks.all() else np.flatnonzero(~seeks)
-        likely, error = fine_estimate(bits[asking], bits[asked])
-        size = 100 * np.minimum(n[asking, None], n[None, asked]) >= percent * np.maximum(n[asking, None], n[None, asked])
-        x, y = np.nonzero(size & (likely >= percent / 100 - SLACK * error - 1e-6) & (part[asking, None] != part[None, asked]))
-        weight = likely[x, y]
-        x, y = asking[x], asked[y]
-        kept = np.zeros(len(x), bool)
-        for _ in range(forests):
-            rest = np.flatnonzero(~kept)
-            kept[rest[forest(x[rest], y[rest], weight[rest], part)]] = True
-        if not forests:
-            kept[:] = True
-        x, y, more = ids[x[kept]], ids[y[kept]], np.full(kept.sum(), not kept.all())
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(more)], names=["a", "b", "more"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -282,18 +252,86 @@ def _across(cells: DataFrame, percent: int, forests: int) -> DataFrame:
             cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
             low = 0
             if held and batch.num_rows and any(held[0].column(k)[0].as_py() != batch.column(k)[0].as_py() for k in ("band", "i", "j")):
-                yield compare(pa.Table.from_batches(held))
+                yield of_cell(pa.Table.from_batches(held))
                 held = []
             for cut in cuts:
                 held.append(batch.slice(low, cut - low))
-                yield compare(pa.Table.from_batches(held))
+                yield of_cell(pa.Table.from_batches(held))
                 held, low = [], cut
             if low < batch.num_rows:
                 held.append(batch.slice(low))
         if held:
-            yield compare(pa.Table.from_batches(held))
+            yield of_cell(pa.Table.from_batches(held))
+
+    return cells.mapInArrow(run, schema)
+
+
+def _candidates(rows: pa.Table, percent: int, slack: float, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs in a cell that are of different components and may reach the limit, and how alike they look.
+
+    A pair whose sets both seek is met twice and counts once; a pair that shares several bands counts in the first of
+    them if bands are whole (there, sets of different components meet in every band that they share).
+    """
+    ids, n, part = (rows.column(k).to_numpy() for k in ("set_id", "n", "part"))
+    bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, FINE // 32)
+    seeks, other = (rows.column(k).to_numpy(zero_copy_only=False) for k in ("seeks", "other"))
+    asking = np.flatnonzero(seeks)
+    asked = asking if seeks.all() else np.flatnonzero(~seeks)
+    likely, error = fine_estimate(bits[asking], bits[asked])
+    size = 100 * np.minimum(n[asking, None], n[None, asked]) >= percent * np.maximum(n[asking, None], n[None, asked])
+    once = ~other[None, asked] | (ids[asking, None] < ids[None, asked])
+    x, y = np.nonzero(size & once & (likely >= percent / 100 - slack * error - 1e-6) & (part[asking, None] != part[None, asked]))
+    weight = likely[x, y]
+    x, y = asking[x], asked[y]
+    if whole and len(x):
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), "<u8").reshape(-1, BANDS)
+        first = (sketch[x] == sketch[y]).argmax(axis=1)
+        here = mixed(sketch[x, first] ^ _BAND[first]).view(np.int64) == rows.column("band")[0].as_py()
+        x, y, weight = x[here], y[here], weight[here]
+    return x, y, weight
+
+
+def _across(cells: DataFrame, full: DataFrame, sets: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """Links (a, b) between the components of cells: a spanning forest, for each cell, of the pairs whose full sets reach the limit.
+
+    Bits are compared inside a task, which leaves the rows that have a likely pair; those meet again with their full
+    sets, and pairs are verified where they meet, forest by forest: what a link has joined is not compared again. So no step makes
+    more rows than its cells have, however many pairs may pass.
+    """
+    alike, slack = sets.select("set_id", "sketch") if whole else None, SLACK
+
+    def filled(rows: DataFrame, *columns: str) -> DataFrame:
+        rows = rows.join(full.select("set_id", "n", "bits", *columns), "set_id")
+        return rows if alike is None else rows.join(alike, "set_id")
+
+    names = ["band", "i", "j", "seeks", "other", "set_id", "part"]
 
-    return cells.mapInArrow(run, "a bigint, b bigint, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    def likely(rows: pa.Table) -> pa.RecordBatch:
+        x, y, _ = _candidates(rows, percent, slack, whole)
+        some = pa.array(np.union1d(x, y), pa.int64())
+        return pa.RecordBatch.from_arrays([rows.column(k).combine_chunks().take(some) for k in names], names=names)
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        x, y, weight = _candidates(rows, percent, slack, whole)
+        ids, hashes = rows.column("set_id").to_numpy(), rows.column("hashes")
+        part = np.unique(rows.column("part").to_numpy(), return_inverse=True)[1]
+        own = lambda i: np.frombuffer(hashes[i].as_buffer(), np.uint64)
+        a, b = [], []
+        while len(x):
+            tried = forest(x, y, weight, part)
+            for k in tried:
+                if _reaches(own(int(x[k])), own(int(y[k])), percent):
+                    a.append(min(ids[x[k]], ids[y[k]]))
+                    b.append(max(ids[x[k]], ids[y[k]]))
+                    part[part == part[y[k]]] = part[x[k]]
+            left = part[x] != part[y]
+            left[tried] = False
+            x, y, weight = x[left], y[left], weight[left]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    kinds = "band bigint, i int, j int, seeks boolean, other boolean, set_id bigint, part bigint"
+    marked = settle(_by_cell(filled(cells), likely, kinds), "likely")
+    return _by_cell(filled(marked, "hashes"), links, "a bigint, b bigint").distinct()
 
 
 def _full_sets(members: DataFrame, docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
@@ -315,6 +353,11 @@ def _full_sets(members: DataFrame, docs: DataFrame, sets: DataFrame, words: int)
     return settle(same.agg(*(F.first(c).alias(c) for c in ("n", "bits", "hashes"))), "full-sets")
 
 
+def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets reach the limit."""
     one = lambda side: full.select(F.col("set_id").alias(side), F.col("hashes").alias(f"hashes_{side}"))
@@ -325,20 +368,12 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                keep.append(_reaches(x, y, percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(confirm, "a bigint, b bigint")
 
 
-def _tested(found: DataFrame, tested: list[DataFrame]) -> DataFrame:
-    """Those pairs that have not been verified before."""
-    for pairs in tested:
-        found = found.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    return found
-
-
 def _linked(label: DataFrame, links: DataFrame) -> DataFrame:
     """The labels after more links: only the labels at their ends are joined anew."""
     at = lambda side: label.select(F.col("node").alias(side), F.col("label").alias(f"of_{side}"))
@@ -354,9 +389,9 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     `percent` %. component_id is the smallest doc_id reachable over links, kept marks the rows that
     carry it. Equal sets are one set from the start, so exact copies cost one row each. Sets that
     share a band are compared with the band's smallest set first; what that links is one component, and then
-    only sets of different components that share a band are compared, all of them, in rounds: a round verifies spanning forests of the pairs that may pass, what they link is
-    one component in the next, and the last round takes every pair that is still apart. So no pair that
-    shares a band is left out, and a large group of copies costs a few comparisons a member.
+    only sets of different components that share a band are compared, all of them: large bands first inside blocks, then every pair that
+    is still apart. Pairs are verified where they meet, and only a forest of links leaves a cell, so no pair that
+    shares a band is left out, and no step makes a row for each pair of a large group.
 
     group is the component's smallest set, whether or not a row of it has an id; place and text_hash, the hash of the
     text, find a row's text again.
@@ -376,22 +411,12 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     stars = settle(_estimated(members.where("set_id <> anchor").select(*_pair("anchor", "set_id")).distinct(), sets, percent), "candidates")
     first = components(_verified(stars, full, percent))
     label = settle(full.select(F.col("set_id").alias("node")).join(first, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
-    tested = [stars]
-    for forests in (None, *FORESTS):
+    for whole in (False, True):  # large bands first: what a block links by itself need not be found between blocks
         apart = _apart(members, label)
-        if forests is None:  # large bands first: what a block links by itself need not be found between blocks
-            apart = apart.where(F.col("rows") > BLOCK)
-        if apart.isEmpty():
-            if forests is None:
-                continue
-            break
-        found = settle(_across(_cells(apart, full, forests is not None), percent, 1 if forests is None else forests), "passing")
-        untested = settle(_tested(found, tested), "candidates")
-        if not untested.isEmpty():
-            tested.append(untested)
-            label = _linked(label, _verified(untested, full, percent))
-        if forests is not None and found.where("more").isEmpty():
-            break
+        apart = apart if whole else apart.where(F.col("rows") > BLOCK)
+        if not apart.isEmpty():
+            links = settle(_across(_cells(apart, whole), full, sets, percent, whole), "links")
+            label = label if links.isEmpty() else _linked(label, links)
     named = sets.select("set_id", "doc_id").join(label.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = named.select("set_id", "doc_id", F.coalesce("label", "set_id").alias("label"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
