@@ -80,3 +80,17 @@ def test_grams_of_characters_against_plain_ones():
             assert all(number.setdefault(gram, place) == place for gram, place in zip(expected, own, strict=True))
         assert len(set(number.values())) >= 0.97 * len(number)  # few share a place
     assert [len(p) for p, _ in quality._grams(*quality.flat(quality.pa.array([], quality.pa.string())))] == [0] * len(quality.GRAMS)
+
+
+def test_the_sample_is_fitted_in_a_task_and_not_brought_to_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"good words {i}" if i % 2 else f"bad {i} bad") for i in range(20)], "doc_id long, text string").repartition(3)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    bags = quality._bags(docs.join(labels.withColumnRenamed("quality", "label"), "doc_id")).orderBy("doc_id").collect()
+    wanted = quality.Model().fit([(np.frombuffer(r.places, np.int32), np.frombuffer(r.shares, np.float32)) for r in bags], np.array([r.label for r in bags]))
+
+    def refused(self):
+        raise AssertionError("brought to the driver")
+
+    monkeypatch.setattr(type(docs), "toArrow", refused)
+    weights, bias = quality.train(docs, labels, F.lit(True)).pull()
+    assert np.allclose(weights, wanted.pull()[0], atol=1e-5) and abs(bias - wanted.pull()[1]) < 1e-5

@@ -136,10 +136,23 @@ class Model:
         return (self.vectors @ (self.weights[1] - self.weights[0])).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all bags, as bytes: one row, or none without bags."""
+    found = pa.Table.from_batches(held) if (held := [b for b in batches if b.num_rows]) else None
+    if found is None:
+        return
+    ids, marks, places, shares = found.columns
+    order = sorted(range(found.num_rows), key=lambda i: (ids[i].as_py(), marks[i].as_py(), zlib.crc32(places[i].as_buffer())))
+    bags = [(np.frombuffer(places[i].as_buffer(), np.int32), np.frombuffer(shares[i].as_buffer(), np.float32)) for i in order]
+    model = Model().fit(bags, np.array([marks[i].as_py() for i in order]))
+    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.vectors, model.weights, model.bias)], names=["vectors", "weights", "bias"])
+
+
 def train(docs: DataFrame, labels: DataFrame, training: Column, label: str = "quality", sample: int = SAMPLE) -> Model:
     """Fit on about `sample` labelled documents for which `training` (over doc_id) holds, chosen by a hash of the id.
 
     docs has doc_id and text; labels doc_id and the label, 0 or 1, other values and nulls are left out.
+    One task fits that bounded sample, so its features do not pass through the driver.
     Repeated ids are repeated examples. Without any labelled rows the model knows nothing and gives one half.
     """
     id_ = F.col("doc_id").cast("bigint")
@@ -147,12 +160,13 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, label: str = "qu
     n = rows.count()
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, sample / max(1, n)))))
     texts = docs.select(id_.alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # about `sample` rows
-    found = _bags(texts).toArrow()
-    ids, marks, places, shares = found.columns
-    order = sorted(range(found.num_rows), key=lambda i: (ids[i].as_py(), marks[i].as_py(), zlib.crc32(places[i].as_buffer())))
-    bags = [(np.frombuffer(places[i].as_buffer(), np.int32), np.frombuffer(shares[i].as_buffer(), np.float32)) for i in order]
+    found = _bags(texts).repartition(1).mapInArrow(_fitted, "vectors binary, weights binary, bias binary").first()
     model = Model()
-    return model.fit(bags, np.array([marks[i].as_py() for i in order])) if bags else model
+    if found is not None:
+        model.vectors = np.frombuffer(found.vectors, np.float32).reshape(model.vectors.shape)
+        model.weights = np.frombuffer(found.weights, np.float32).reshape(model.weights.shape)
+        model.bias = np.frombuffer(found.bias, np.float32)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
