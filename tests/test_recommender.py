@@ -4,6 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+import checks.recommend  # noqa: F401
+from checks.registry import QUERIES
 from titleworks.operators import text_vectors as V
 from titleworks.operators import tiles
 from titleworks.operators.tiles import best_pairs, percentiles
@@ -291,3 +293,44 @@ def test_histogram(spark):
     assert L.bin_label_for(bins, 6.75).first().label == "6.75-7.00"
     assert L.bin_label_for(bins, 1.0).first().label == "6.50-6.75"
     assert L.score_histogram(scores.where("score > 9")).count() == 0
+
+
+@pytest.fixture(scope="module")
+def tables_of_documents(spark, tmp_path_factory):
+    """Forty short documents, none with an id divisible by 100; half of them may be picked."""
+    folder = str(tmp_path_factory.mktemp("documents"))
+    words = "amber birch cedar delta ember frost grove heath inlet juniper".split()
+    texts = [" ".join(words[(i + j * j) % 10] for j in range(6)) for i in range(40)]
+    docs = [(i + 1, text, "en" if i % 3 else "fi", f"s{i % 4}", 400 + i) for i, text in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{folder}/documents.parquet")
+    labels = [(i + 1, i % 2, 0) for i in range(40)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    one = {
+        "customer": "1 AS c_custkey, 'Ann' AS c_name, 'TOYS' AS c_mktsegment",
+        "orders": "5 AS o_orderkey, 1 AS o_custkey, 900D AS o_totalprice, DATE'1996-01-02' AS o_orderdate, 'F' AS o_orderstatus, 'LOW' AS o_orderpriority",
+        "part": "1 AS p_partkey, 'SMALL' AS p_type, 'Brand#1' AS p_brand, 3 AS p_size",
+        "lineitem": "5 AS l_orderkey, 1 AS l_partkey, 1 AS l_suppkey, 'A' AS l_returnflag",
+        "supplier": "1 AS s_suppkey, 'Sun' AS s_name",
+    }
+    for name, row in one.items():
+        spark.sql(f"SELECT {row}").write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["rec_topk", "rec_topk_no_franchise", "rec_topk_blocks", "rec_pair_cosines", "serve_shared_tags", "sink_tables"])
+def test_every_title_asks(spark, tables_of_documents, name):
+    found = QUERIES[name](spark, tables_of_documents).select("anime_id").distinct().collect()
+    assert {r.anime_id for r in found} == set(range(1, 41))
+
+
+def test_the_evaluation_is_of_all_lists(spark, tables_of_documents):
+    lists = {r.anime_id: r["count"] for r in QUERIES["rec_topk"](spark, tables_of_documents).groupBy("anime_id").count().collect()}
+    facts = QUERIES["rec_eval"](spark, tables_of_documents).first()
+    assert facts.titles == len(lists) == 40 and facts.recommendation_rows == sum(lists.values())
+    assert facts.titles_with_fewer_than_k == sum(n < 10 for n in lists.values())
+    shared = QUERIES["serve_shared_tags"](spark, tables_of_documents).where("anime_id % 13 <> 0").collect()
+    genres = {"en", "fi"}
+    expected = sum(bool(genres & set(r.shared.split("|"))) for r in shared) / len(shared)
+    assert QUERIES["rec_eval_overlap"](spark, tables_of_documents).first().overlap == pytest.approx(expected, abs=1e-6)
+    assert QUERIES["serve_recommend"](spark, tables_of_documents).first().anime_id == 40
+    assert QUERIES["overview_kpis"](spark, tables_of_documents).first().titles_with_recommendations == 40
