@@ -334,3 +334,43 @@ def test_the_evaluation_is_of_all_lists(spark, tables_of_documents):
     assert QUERIES["rec_eval_overlap"](spark, tables_of_documents).first().overlap == pytest.approx(expected, abs=1e-6)
     assert QUERIES["serve_recommend"](spark, tables_of_documents).first().anime_id == 40
     assert QUERIES["overview_kpis"](spark, tables_of_documents).first().titles_with_recommendations == 40
+
+
+@pytest.mark.parametrize("skip", [True, False])
+def test_titles_whose_picks_lie_below_the_held_cosines_ask_again(random_profiles, monkeypatch, skip):
+    monkeypatch.setattr(tiles, "HELD", 3)
+    monkeypatch.setattr(tiles, "ALL_HELD", 8 * 112 * 4)  # four titles in a pack
+    expected = brute_force(random_profiles.toPandas(), 7, skip)
+    pairs = best_pairs(random_profiles, random_profiles.where("eligible"), 7, skip, 50, 40).toPandas()
+    pairs = pairs.sort_values(["anime_id", "score", "similar_id"], ascending=[True, False, True])
+    assert {int(q): [(int(c), round(float(s), 5)) for c, s in zip(g.similar_id, g.score)] for q, g in pairs.groupby("anime_id")} == expected
+
+
+def test_candidates_are_not_shuffled_to_the_queries(random_profiles):
+    """Only the titles that ask are dealt over tasks; candidates are read by each task."""
+    packed = random_profiles.select(*tiles.PROFILE).repartition(2).mapInArrow(lambda batches: tiles._packs(batches, 20), "number bigint, packed binary")
+    blocks = tiles.settle(packed, "blocks")
+    met = tiles._met(packed, blocks, tiles.PICK + ", again binary", 7, True, None, None, 1)
+    plan = met._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "CartesianProduct" in plan and plan.count("Exchange") == 1
+    assert met.select("anime_id").distinct().count() > 150
+
+
+def test_lists_need_only_the_best_of_each_slot(random_profiles):
+    pairs = best_pairs(random_profiles, random_profiles.where("eligible"), 20, True).toPandas().sort_values(["anime_id", "score", "similar_id"], ascending=[True, False, True])
+    short = best_pairs(random_profiles, random_profiles.where("eligible"), 20, True, lists=3).toPandas().sort_values(["anime_id", "score", "similar_id"], ascending=[True, False, True])
+    best = pairs.drop_duplicates(["anime_id", "slot"]).groupby("anime_id").head(3)
+    assert best.reset_index(drop=True).equals(short.reset_index(drop=True))
+
+
+def test_repeated_and_missing_ids_can_ask_and_be_picked(spark):
+    schema = "mal_id bigint, term_ids array<int>, weights array<double>, tags array<string>, series_rule string, series_codes array<string>, slot string, eligible boolean"
+    rows = [(i, [0, 1 + (i or 0) % 3], [0.6, 0.8], ["x"], None, [], f"s{i}", True) for i in (1, 2, 2, 3, None)]
+    rows.append((9, [0, 0, 5], [0.3, 0.3, 0.8], ["x"], None, [], "s9", True))  # a term twice counts with both weights
+    df = spark.createDataFrame(rows, schema)
+    found = best_pairs(df, df, 10, True).toPandas()
+    assert found.anime_id.isna().sum() == 6 and (found.anime_id == 2).sum() == 8 and not (found.anime_id == found.similar_id).any()
+    pair = found[(found.anime_id == 9) & (found.similar_id == 1)].iloc[0]
+    assert pair.text_cosine == pytest.approx(0.36)
+    assert best_pairs(df.where("mal_id = 77"), df, 10, True).count() == 0
+    assert best_pairs(df, df.where("mal_id = 77"), 10, True).count() == 0
