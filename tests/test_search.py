@@ -36,3 +36,24 @@ def test_titles_are_cut_into_grams_once(spark):
     found = L.search_many(titles, spark.createDataFrame([(1, "title 4"), (2, "9")], "query_id int, query string"), 3)
     assert sorted((r.query_id, r.mal_id) for r in found.collect()) == [(1, 47), (1, 48), (1, 49), (2, 29), (2, 39), (2, 49)]
     assert seen.value == 100  # for their grams, and for the rows that are found
+
+
+def test_only_the_first_titles_of_a_query_leave_a_task(spark):
+    """Digits are in nearly every title; each query's rows must not be."""
+    titles = spark.createDataFrame([(i, f"name {i:05d}", None, "TV", 2000, 1.0, i % 7) for i in range(4_000)], SCHEMA).coalesce(1)
+    asked = spark.createDataFrame([(k, f"{k:03d}") for k in range(200)], "query_id int, query string")
+    assert L._hits(titles, asked, 2).count() <= 2 * 200
+    found = {}
+    for r in L.search_many(titles, asked, 2).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.mal_id)
+    for k in range(200):
+        hits = [i for i in range(4_000) if f"{k:03d}" in f"{i:05d}"]
+        assert found[k] == sorted(hits, key=lambda i: (-(i % 7), i))[:2]
+
+
+def test_runs_of_other_scripts_and_of_repeated_ids(spark):
+    rows = [(1, "Déjà ÉTÉ", "été", 5), (1, "other", None, 9), (2, "日本語の本", None, None), (3, "日本", "x" * 70, 1), (None, "日本", None, 99)]
+    titles = spark.createDataFrame([(i, t, e, "TV", 2000, 1.0, m) for i, t, e, m in rows], SCHEMA)
+    asked = spark.createDataFrame(list(enumerate(["ÉTÉ", "日本", "語の", "x" * 65, "x" * 71, "r", "本日"])), "query_id int, query string")
+    found = sorted((r.query_id, r["rank"], r.mal_id, r.members) for r in L.search_many(titles, asked, 3).collect())
+    assert found == [(0, 1, 1, 5), (1, 1, 3, 1), (1, 2, 2, None), (2, 1, 2, None), (3, 1, 3, 1), (5, 1, 1, 9)]
