@@ -42,7 +42,8 @@ def test_only_the_first_titles_of_a_query_leave_a_task(spark):
     """Digits are in nearly every title; each query's rows must not be."""
     titles = spark.createDataFrame([(i, f"name {i:05d}", None, "TV", 2000, 1.0, i % 7) for i in range(4_000)], SCHEMA).coalesce(1)
     asked = spark.createDataFrame([(k, f"{k:03d}") for k in range(200)], "query_id int, query string")
-    assert L._hits(titles, asked, 2).count() <= 2 * 200
+    packs = asked.select("query").coalesce(1).mapInArrow(lambda batches: L._in_bytes(batches, 1_000), "packed binary")
+    assert L._hits(titles, packs, 2).count() <= 2 * 200
     found = {}
     for r in L.search_many(titles, asked, 2).orderBy("query_id", "rank").collect():
         found.setdefault(r.query_id, []).append(r.mal_id)
@@ -52,7 +53,7 @@ def test_only_the_first_titles_of_a_query_leave_a_task(spark):
 
 
 def test_runs_of_other_scripts_and_of_repeated_ids(spark):
-    rows = [(1, "Déjà ÉTÉ", "été", 5), (1, "other", None, 9), (2, "日本語の本", None, None), (3, "日本", "x" * 70, 1), (None, "日本", None, 99)]
+    rows = [(1, "Déjà ÉTÉ", "été", 5), (1, "other", None, 9), (2, "日本語の本", None, None), (3, "日本", "x" * 70, 1), (None, "日本", None, 99), (4, "日本 r", None, 7), (4, "日本 r", None, 7)]
     titles = spark.createDataFrame([(i, t, e, "TV", 2000, 1.0, m) for i, t, e, m in rows], SCHEMA)
     asked = spark.createDataFrame(list(enumerate(["ÉTÉ", "日本", "語の", "x" * 65, "x" * 71, "r", "本日"])), "query_id int, query string")
     found = sorted((r.query_id, r["rank"], r.mal_id, r.members) for r in L.search_many(titles, asked, 3).collect())
